@@ -26,8 +26,29 @@ INSTRUMENTS = ("click", "error", "purchase", "signup", "view")
 AXES = ("ax_1_1", "ax_1_2", "ax_1_3", "ax_1_4", "ax_2_1", "ax_2_2")
 
 
+# Declared schemas: no footer is read to plan a query.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double,"
+    " c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int,"
+    " p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+    " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+    " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,"
+    " value double, props string",
+    "documents": "doc_id bigint, text string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def dx_codes(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,3 +154,126 @@ def care_tables(spark: SparkSession, folder: str) -> CareTables:
         intervention_types=intervention_types(spark, folder),
         teams=teams(spark, folder),
     )
+
+
+# --- scores and diagnoses -----------------------------------------------------
+
+
+def scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as instrument scores: (client_id, year, month, date, score, rom, …)."""
+    day = F.col("ts").cast("date")
+    return table(spark, folder, "events").select(
+        F.col("user_id").alias("client_id"),
+        F.year(day).alias("year"),
+        F.month(day).alias("month"),
+        day.alias("date"),
+        F.col("value").alias("score"),
+        F.col("event_type").alias("rom"),
+        "ts",
+        "event_id",
+    )
+
+
+def score_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """One table per instrument, as separately scored questionnaires arrive."""
+    every = scores(spark, folder).select("client_id", "date", "score", "rom")
+    return {rom: every.filter(F.col("rom") == rom).drop("rom") for rom in INSTRUMENTS}
+
+
+def items(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as questionnaire answers: (client_id, date, rom, item, answer)."""
+    number = F.regexp_extract("props", r'"k": *(\d+)', 1).cast("int")
+    return table(spark, folder, "events").select(
+        F.col("user_id").alias("client_id"),
+        F.col("ts").cast("date").alias("date"),
+        F.col("event_type").alias("rom"),
+        F.pmod(number, F.lit(10)).alias("item"),
+        F.col("value").alias("answer"),
+    )
+
+
+# Scoring inputs of the test study, not of any published questionnaire.
+RULES = [
+    (rom, item, 1.0 + item % 3, item in (3, 7), 500.0) for rom in INSTRUMENTS for item in range(10)
+]
+NORMS = [(rom, 100.0 + 10 * i, 20.0 + i, 2) for i, rom in enumerate(INSTRUMENTS)]
+
+
+def rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        RULES, "rom string, item int, weight double, reverse boolean, top double"
+    )
+
+
+def norms(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(NORMS, "rom string, mean double, sd double, min_answered int")
+
+
+# --- postcodes and keys ---------------------------------------------------------
+
+SEGMENT_COLUMNS = {
+    "P_NL_ACHTG": "BUILDING",
+    "P_WE_MIG_A": "FURNITURE",
+    "P_NW_MIG_A": "MACHINERY",
+    "P_HUURWON": "HOUSEHOLD",
+    "P_KOOPWON": "AUTOMOBILE",
+}
+
+
+def postcode_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers by nation as area statistics; small shares are suppressed."""
+
+    def share(test):
+        percent = F.floor(F.count_if(test) * 100 / F.count(F.lit(1))).cast("double")
+        return F.when(percent < 19, F.lit(-99997.0)).otherwise(percent)
+
+    balance = F.col("c_acctbal")
+    return table(spark, folder, "customer").groupBy(F.col("c_nationkey").alias("PC4")).agg(
+        *[share(F.col("c_mktsegment") == v).alias(c) for c, v in SEGMENT_COLUMNS.items()],
+        F.pmod(F.count(F.lit(1)), F.lit(4)).alias("M_INKHH"),
+        share(balance < 0).alias("P_LINK_HH"),
+        share(balance > 5000).alias("P_HINK_HH"),
+        F.count(F.lit(1)).cast("double").alias("OAD"),
+        F.count_if(balance > 9000).cast("double").alias("STED"),
+    )
+
+
+def liveability(spark: SparkSession, folder: str) -> DataFrame:
+    years = F.explode(F.array(F.lit(2011), F.lit(2012))).alias("jaar")
+    counted = table(spark, folder, "supplier").select(F.col("s_nationkey").alias("pc4"), years)
+    return counted.groupBy("pc4", "jaar").agg(
+        ((F.count(F.lit(1)) + F.col("jaar")) / 10).alias("lbrmtr")
+    )
+
+
+def client_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys of all customers; one segment has no key."""
+    known = F.col("c_mktsegment") != "HOUSEHOLD"
+    return table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("client_id"),
+        F.when(known, F.md5(F.col("c_custkey").cast("string"))).alias("key"),
+    )
+
+
+# --- given clusters -------------------------------------------------------------
+
+
+def labelled_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers with nested labels: segment, and segment with region."""
+    nation = table(spark, folder, "nation")
+    joined = table(spark, folder, "customer").join(
+        nation, F.col("c_nationkey") == F.col("n_nationkey")
+    )
+    region = F.col("n_regionkey").cast("string")
+    return joined.select(
+        F.col("c_custkey").alias("client_id"),
+        F.col("c_mktsegment").alias("coarse"),
+        F.concat_ws(".", "c_mktsegment", region).alias("fine"),
+        F.col("c_acctbal").alias("measure"),
+    )
+
+
+def labelled_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings").select(
+        "vec_id", F.col("embedding").alias("x"), "label"
+    )

@@ -205,3 +205,295 @@ ORACLES: dict[str, str] = {
           SEMI JOIN costs USING (client_id) SEMI JOIN post USING (client_id)
         UNION ALL SELECT 9, 'enough_care', count(*) FROM patients""",
 }
+
+# --- scores, slots and diagnoses ----------------------------------------------
+
+PARTS["scores"] = """
+    SELECT user_id AS client_id, year(ts)::INT AS year, month(ts)::INT AS month, ts::DATE AS date,
+      value AS score, event_type AS rom, ts, event_id
+    FROM events"""
+PARTS["month_sizes"] = """
+    SELECT client_id, year, month, count(*) AS held FROM scores GROUP BY client_id, year, month"""
+PARTS["content"] = """
+    SELECT *, year(date)::INT AS year, month(date)::INT AS month FROM dx
+    WHERE gaf1 IS NOT NULL OR gaf2 IS NOT NULL OR ax_1_1 IS NOT NULL OR ax_1_2 IS NOT NULL
+      OR ax_1_3 IS NOT NULL OR ax_1_4 IS NOT NULL OR ax_2_1 IS NOT NULL OR ax_2_2 IS NOT NULL
+      OR ax_3 IS NOT NULL OR ax_4 IS NOT NULL"""
+
+
+def _slots(
+    source: str, keys: str, order: str, values: list[str], slots: int, name: str, width: int
+) -> str:
+    columns = ", ".join(
+        f"max(CASE WHEN rn = {i} THEN {v} END) AS {v}_{i:0{width}d}"
+        for i in range(1, slots + 1)
+        for v in values
+    )
+    return f"""
+        SELECT {keys}, count(*) AS {name}, greatest(count(*) - {slots}, 0) AS overflow_count,
+          {columns}
+        FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rn
+              FROM {source})
+        GROUP BY {keys}"""
+
+
+SCORE_FIELDS = ["date", "rom", "score"]
+DX_FIELDS = ["date", "gaf1", "gaf2", "ax_1_1", "ax_1_2", "ax_1_3", "ax_1_4", "ax_2_1", "ax_2_2"]
+DX_FIELDS += ["ax_3", "ax_4"]
+PARTS["score_wide"] = _slots(
+    "scores", "client_id, year, month", "rom, date, ts, event_id", SCORE_FIELDS, 12, "nrom", 2
+)
+PARTS["dx_wide"] = _slots(
+    "content", "client_id, year, month", "date, o_orderkey", DX_FIELDS, 9, "ndiag", 1
+)
+
+
+def _values(rows: list[tuple], types: list[str]) -> str:
+    def cell(value, kind: str) -> str:
+        return f"'{value}'" if kind == "VARCHAR" else f"{value}::{kind}"
+
+    return ", ".join(
+        "(" + ", ".join(cell(v, t) for v, t in zip(row, types)) + ")" for row in rows
+    )
+
+
+def _scoring() -> None:
+    from suite.bindings import NORMS, RULES
+
+    rules = _values(RULES, ["VARCHAR", "INT", "DOUBLE", "BOOLEAN", "DOUBLE"])
+    norms = _values(NORMS, ["VARCHAR", "DOUBLE", "DOUBLE", "INT"])
+    PARTS["answers"] = """
+        SELECT user_id AS client_id, ts::DATE AS date, event_type AS rom,
+          regexp_extract(props, '"k": *([0-9]+)', 1)::INT % 10 AS item, value AS answer
+        FROM events"""
+    PARTS["raw_table"] = f"""
+        SELECT client_id, date, rom, count(answer) AS answered,
+          sum(weight * CASE WHEN reverse THEN top - answer ELSE answer END) AS raw
+        FROM answers
+          JOIN (VALUES {rules}) AS r(rom, item, weight, reverse, top) USING (rom, item)
+        GROUP BY client_id, date, rom"""
+    PARTS["scored"] = f"""
+        SELECT client_id, year(date)::INT AS year, month(date)::INT AS month, date,
+          round(CASE WHEN answered >= least_answers THEN (raw - mean) / sd * 10 + 50 END, 4)
+            AS score, rom
+        FROM raw_table
+          LEFT JOIN (VALUES {norms}) AS m(rom, mean, sd, least_answers) USING (rom)"""
+
+
+_scoring()
+
+ORACLES |= {
+    "score_union": "SELECT client_id, date, score, rom, year, month FROM scores",
+    "slot_occupancy": """
+        SELECT idx, count(*) AS n
+        FROM month_sizes, unnest(generate_series(1, held)) AS s(idx) GROUP BY idx""",
+    "score_months_wide": "SELECT * FROM score_wide",
+    "score_days_wide": _slots(
+        "scores", "client_id, date", "rom, date, ts, event_id", SCORE_FIELDS, 6, "nrom", 2
+    ),
+    "any_non_null": "SELECT * EXCLUDE (year, month) FROM content",
+    "diagnosis_months_wide": "SELECT * FROM dx_wide",
+    "raw_scores": "SELECT * REPLACE (round(raw, 4) AS raw) FROM raw_table",
+    "score_instruments": "SELECT * FROM scored",
+    "score_instrument": "SELECT * FROM scored WHERE rom = 'view'",
+}
+
+# --- postcodes, keys, text and files --------------------------------------------
+
+
+def _postcodes() -> None:
+    from suite.bindings import SEGMENT_COLUMNS
+
+    tests = {c.lower(): f"c_mktsegment = '{v}'" for c, v in SEGMENT_COLUMNS.items()}
+    tests |= {"p_link_hh": "c_acctbal < 0", "p_hink_hh": "c_acctbal > 5000"}
+    shares = ", ".join(
+        f"floor(count(*) FILTER ({test}) * 100 / count(*))::DOUBLE AS {c}"
+        for c, test in tests.items()
+    )
+    kept = ", ".join(f"CASE WHEN {c} >= 19 THEN {c} END AS {c}" for c in tests)
+    PARTS["postcodes"] = f"""
+        SELECT zip, {kept}, m_inkhh, oad, sted, lbrmtr
+        FROM (SELECT c_nationkey AS zip, {shares}, (count(*) % 4)::VARCHAR AS m_inkhh,
+                count(*)::DOUBLE AS oad, (count(*) FILTER (c_acctbal > 9000))::DOUBLE AS sted
+              FROM customer GROUP BY c_nationkey)
+          LEFT JOIN (SELECT s_nationkey AS zip, (count(*) + 2012) / 10.0::DOUBLE AS lbrmtr
+                     FROM supplier GROUP BY s_nationkey) USING (zip)"""
+
+
+_postcodes()
+PARTS["client_keys"] = """
+    SELECT c_custkey AS client_id,
+      CASE WHEN c_mktsegment <> 'HOUSEHOLD' THEN md5(c_custkey::VARCHAR) END AS key
+    FROM customer"""
+
+
+def _keyed(source: str) -> str:
+    return f"""SELECT * EXCLUDE (client_id, key), key AS client_id
+        FROM {source} LEFT JOIN client_keys USING (client_id)"""
+
+
+MINIMA = (
+    "zip p_nl_achtg p_we_mig_a p_nw_mig_a p_huurwon p_koopwon p_link_hh p_hink_hh oad sted lbrmtr"
+).split()
+
+ORACLES |= {
+    "postcode_dimension": "SELECT * FROM postcodes",
+    "numeric_min_check": f"SELECT {', '.join(f'min({c}) AS {c}' for c in MINIMA)} FROM postcodes",
+    "enrich_by_postcode": """
+        SELECT * EXCLUDE (zip, date), date AS enroll_date
+        FROM clients LEFT JOIN postcodes USING (zip)""",
+    "decimal_comma_csv": "SELECT c_custkey, c_name, c_acctbal FROM customer",
+    "clean_descriptions": r"""
+        SELECT doc_id, replace(
+          regexp_replace(regexp_replace(regexp_replace(text,
+            '[\x{0080}-\x{07FF}]', '  ', 'g'), '[\x{0800}-\x{FFFF}]', '   ', 'g'),
+            '[\x{10000}-\x{10FFFF}]', '    ', 'g'), '  ', ' ') AS text
+        FROM documents""",
+    "pseudonymise_patients": _keyed("patients"),
+    "pseudonymise_months": _keyed("month_care"),
+    "pseudonymise_scores": _keyed("score_wide"),
+    "pseudonymise_diagnoses": _keyed("dx_wide") + " WHERE key IS NOT NULL",
+}
+
+# --- profiles and distances -----------------------------------------------------
+
+PARTS["hours"] = " UNION ALL ".join(
+    f"SELECT client_id, '{c}' AS dim, \"mins_{c}\" / 60 AS hours FROM patients" for c in CATEGORIES
+)
+PARTS["varying"] = """
+    SELECT dim, min(log10(hours + 1)) AS low, max(log10(hours + 1)) AS high,
+      stddev_samp(hours) AS sd
+    FROM hours GROUP BY dim"""
+PARTS["log_scaled"] = """
+    SELECT client_id, dim,
+      CASE WHEN high > low THEN (log10(hours + 1) - low) / (high - low) ELSE 0.5 END AS value
+    FROM hours JOIN varying USING (dim)"""
+PARTS["all_pairs"] = """
+    SELECT a.client_id AS client_id, b.client_id AS anchor_id,
+      CASE WHEN sum(greatest(a.hours, b.hours)) = 0 THEN 0 ELSE
+        1 - sum(least(a.hours, b.hours)) / sum(greatest(a.hours, b.hours)) END AS dist
+    FROM hours a JOIN hours b USING (dim) GROUP BY a.client_id, b.client_id"""
+ABOVE = " + ".join(f"(value > {i * 0.1!r}::DOUBLE)::DOUBLE" for i in range(11))
+
+ORACLES |= {
+    "profile_long": "SELECT * FROM hours",
+    "zero_variance_filter": """
+        SELECT client_id, dim, hours FROM hours JOIN varying USING (dim) WHERE sd > 0""",
+    "rescale_log_minmax": "SELECT client_id, dim, round(value, 9) AS value FROM log_scaled",
+    "rescale_bins": f"SELECT client_id, dim, {ABOVE} + 1 AS value FROM log_scaled",
+    "rescale_max": """
+        SELECT client_id, dim, hours / (SELECT max(hours) FROM hours) AS value FROM hours""",
+    "rescale_over_one": "SELECT client_id, dim, (hours > 1)::DOUBLE AS value FROM hours",
+    "rescale_minus_one": "SELECT client_id, dim, hours - 1 AS value FROM hours",
+    "anchor_distances": """
+        SELECT client_id, anchor_id, round(dist, 9) AS dist FROM all_pairs
+        WHERE anchor_id IN (SELECT client_id FROM patients
+                            ORDER BY md5(client_id::VARCHAR), client_id LIMIT 64)""",
+    "distance_histogram": """
+        SELECT bin::INT AS bin, bin / 20.0::DOUBLE AS low, (bin + 1) / 20.0::DOUBLE AS high,
+          coalesce(pairs, 0) AS pairs
+        FROM (SELECT unnest(range(20)) AS bin) LEFT JOIN (
+          SELECT least(floor(round(dist, 12) * 20), 19)::BIGINT AS bin, count(*) AS pairs
+          FROM all_pairs WHERE client_id < anchor_id GROUP BY 1) USING (bin)""",
+}
+
+# --- clusters that are given ------------------------------------------------------
+
+
+def _silhouette(power: int) -> str:
+    return f"""
+        SELECT vec_id, label, neighbour,
+          CASE WHEN held < 2 THEN 0 ELSE (b - a) / greatest(a, b) END AS width
+        FROM (
+          SELECT vec_id, label, max(CASE WHEN label = other THEN total / (held - 1) END) AS a,
+            max(CASE WHEN label = other THEN held END) AS held,
+            min(CASE WHEN label <> other THEN total / held END) AS b,
+            arg_min(other, CASE WHEN label <> other THEN total / held END) AS neighbour
+          FROM (
+            SELECT p.vec_id, p.label, q.label AS other, count(*) AS held,
+              sum(list_distance(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) ** {power}) AS total
+            FROM embeddings p, embeddings q GROUP BY p.vec_id, p.label, q.label)
+          GROUP BY vec_id, label)"""
+
+
+PARTS["widths_squared"] = _silhouette(2)
+PARTS["people"] = """
+    SELECT c_custkey AS client_id, c_mktsegment AS coarse, c_mktsegment || '.' || n_regionkey AS fine,
+      c_acctbal AS measure
+    FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+PARTS["people_names"] = """
+    SELECT coarse, fine, coarse_rank, fine_rank, coarse_rank || '.' || fine_rank AS cluster
+    FROM (SELECT coarse, fine,
+            row_number() OVER (PARTITION BY coarse ORDER BY median(measure), fine)::INT AS fine_rank
+          FROM people GROUP BY coarse, fine)
+      JOIN (SELECT coarse, row_number() OVER (ORDER BY median(measure), coarse)::INT AS coarse_rank
+            FROM people GROUP BY coarse) USING (coarse)"""
+PARTS["extents"] = """
+    SELECT row_number() OVER (ORDER BY fine)::INT AS position, fine, n,
+      (sum(n) OVER (ORDER BY fine) - n + 1)::BIGINT AS first,
+      (sum(n) OVER (ORDER BY fine))::BIGINT AS last
+    FROM (SELECT fine, count(*) AS n FROM people GROUP BY fine)"""
+
+
+def _trimmed(source: str, group: str) -> str:
+    return f"""
+        SELECT {group}, dim, avg(score) AS score FROM (
+          SELECT *, row_number() OVER (PARTITION BY {group}, dim ORDER BY score) AS rn,
+            floor(0.3::DOUBLE * count(*) OVER (PARTITION BY {group}, dim)) AS cut,
+            count(*) OVER (PARTITION BY {group}, dim) AS total
+          FROM ({source}))
+        WHERE rn > cut AND rn <= total - cut GROUP BY {group}, dim"""
+
+
+PARTS["line_values"] = " UNION ALL ".join(
+    f"SELECT l_returnflag, '{c}' AS dim, {c} AS score FROM lineitem"
+    for c in ("l_quantity", "l_extendedprice", "l_discount")
+)
+PARTS["shares"] = " UNION ALL ".join(
+    ["SELECT gender, 'mins' AS dim, mins AS score FROM patients"]
+    + [
+        f"SELECT gender, 'mins_{c}' AS dim, \"mins_{c}\" / mins * 100 AS score FROM patients"
+        for c in CATEGORIES
+    ]
+)
+PARTS["share_means"] = _trimmed("SELECT * FROM shares", "gender")
+
+
+def _quantiles(value: str) -> str:
+    points = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+    columns = ", ".join(f"round(quantile_cont(v, {p}), 6) AS {c}" for c, p in points.items())
+    return f"""SELECT gender, count(*) AS n, {columns}
+        FROM (SELECT gender, {value} AS v FROM patients) WHERE v > 0 GROUP BY gender"""
+
+
+ORACLES |= {
+    "silhouette_squared": """
+        SELECT vec_id, label, neighbour, round(width, 6) AS width FROM widths_squared""",
+    "silhouette_euclidean": f"""
+        SELECT vec_id, label, neighbour, round(width, 6) AS width FROM ({_silhouette(1)})""",
+    "silhouette_by_label": """
+        SELECT label, count(*) AS n, round(avg(width), 6) AS mean_width
+        FROM widths_squared GROUP BY label""",
+    "canonical_labels": """
+        SELECT client_id, cluster FROM people JOIN people_names USING (fine)""",
+    "cluster_names": "SELECT * FROM people_names",
+    "cluster_sizes": "SELECT fine, count(*) AS n FROM people GROUP BY fine",
+    "cluster_extents": "SELECT * FROM extents",
+    "cluster_members": """
+        SELECT * FROM people WHERE fine IN (SELECT fine FROM extents WHERE position IN (1, 4))""",
+    "median_by_group": """
+        SELECT l_returnflag, count(*) AS n, median(l_extendedprice) AS median
+        FROM lineitem GROUP BY l_returnflag""",
+    "trimmed_mean_by_group": f"""
+        SELECT l_returnflag, dim, round(score, 6) AS score
+        FROM ({_trimmed("SELECT * FROM line_values", "l_returnflag")})""",
+    "cluster_profile": """
+        SELECT gender, dense_rank() OVER (ORDER BY mins, gender)::INT AS cluster_rank,
+          substr(dim, 6) AS dim, round(score, 6) AS score, round(mins, 6) AS mins,
+          round_even(mins / 60, 0) AS hours
+        FROM share_means JOIN (SELECT gender, score AS mins FROM share_means WHERE dim = 'mins')
+          USING (gender)
+        WHERE dim <> 'mins' AND score > 1""",
+    "hours_quantiles": _quantiles("mins / 60"),
+    "cost_quantiles": _quantiles("costs / 1000"),
+}

@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from cohortline.core.workspace import materialise
+from cohortline.core.workspace import materialise, scratch_dir
+from cohortline.functions import columns as fc
+from cohortline.functions import distribution as di
+from cohortline.operators import clustering as cl
 from cohortline.operators import cohort as co
+from cohortline.operators import distance as ds
+from cohortline.operators import embedding as em
+from cohortline.operators import labels as la
+from cohortline.operators import linkage as li
+from cohortline.operators import postcode as pc
+from cohortline.operators import privacy as pr
+from cohortline.operators import profile as pf
+from cohortline.operators import scoring as sc
+from cohortline.operators import silhouette as si
+from cohortline.operators import slots as sl
 from cohortline.operators import summaries as su
 from cohortline.operators import timeline as tl
+from cohortline.plans import extract as ex
 from cohortline.plans import patients as pl
+from cohortline.plans import trajectories as tr
+from cohortline.sources.tables import read_semicolon_csv
 from suite import bindings as b
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -176,3 +193,360 @@ def case_bundle_dbc(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def case_bundle_interventions(spark: SparkSession, folder: str) -> DataFrame:
     return _bundle(spark, folder, "interventions")
+
+
+# --- scores, slots and diagnoses ----------------------------------------------
+
+
+@query
+def score_union(spark: SparkSession, folder: str) -> DataFrame:
+    return sc.score_union(b.score_tables(spark, folder))
+
+
+@query
+def slot_occupancy(spark: SparkSession, folder: str) -> DataFrame:
+    return sl.slot_occupancy(b.scores(spark, folder), ["client_id", "year", "month"])
+
+
+@query
+def score_months_wide(spark: SparkSession, folder: str) -> DataFrame:
+    return sl.score_months_wide(b.scores(spark, folder), ("ts", "event_id"))
+
+
+@query
+def score_days_wide(spark: SparkSession, folder: str) -> DataFrame:
+    table = b.scores(spark, folder)
+    return sl.score_months_wide(table, ("ts", "event_id"), 6, ("client_id", "date"))
+
+
+@query
+def any_non_null(spark: SparkSession, folder: str) -> DataFrame:
+    return sl.with_content(b.dx(spark, folder))
+
+
+@query
+def diagnosis_months_wide(spark: SparkSession, folder: str) -> DataFrame:
+    return sl.diagnosis_months_wide(b.dx(spark, folder), ("date", "o_orderkey"))
+
+
+@query
+def raw_scores(spark: SparkSession, folder: str) -> DataFrame:
+    raw = sc.raw_scores(b.items(spark, folder), b.rules(spark))
+    return raw.withColumn("raw", F.round("raw", 4))
+
+
+@query
+def score_instruments(spark: SparkSession, folder: str) -> DataFrame:
+    scored = sc.score_instruments(b.items(spark, folder), b.rules(spark), b.norms(spark))
+    return scored.withColumn("score", F.round("score", 4))
+
+
+@query
+def score_instrument(spark: SparkSession, folder: str) -> DataFrame:
+    items = b.items(spark, folder).filter(F.col("rom") == "view").drop("rom")
+    scored = sc.score_instrument(items, b.rules(spark), b.norms(spark), "view")
+    return scored.withColumn("score", F.round("score", 4))
+
+
+# --- postcodes, keys, text and files --------------------------------------------
+
+
+def _postcode(spark: SparkSession, folder: str) -> DataFrame:
+    return pc.postcode_dimension(
+        b.postcode_statistics(spark, folder), b.liveability(spark, folder)
+    )
+
+
+@query
+def postcode_dimension(spark: SparkSession, folder: str) -> DataFrame:
+    return _postcode(spark, folder)
+
+
+@query
+def numeric_min_check(spark: SparkSession, folder: str) -> DataFrame:
+    return fc.numeric_minimum(_postcode(spark, folder))
+
+
+@query
+def enrich_by_postcode(spark: SparkSession, folder: str) -> DataFrame:
+    people = b.clients(spark, folder).withColumnRenamed("date", "enroll_date")
+    return pc.enrich_by_postcode(people, materialise(_postcode(spark, folder), "postcode"))
+
+
+@query
+def decimal_comma_csv(spark: SparkSession, folder: str) -> DataFrame:
+    customers = b.table(spark, folder, "customer")
+    path = f"{scratch_dir(spark)}/cohortline/csv-{uuid.uuid4().hex}"
+    text = F.regexp_replace(F.col("c_acctbal").cast("string"), r"\.", ",")
+    customers.select("c_custkey", "c_name", text.alias("c_acctbal")).write.option(
+        "sep", ";"
+    ).option("header", True).csv(path)
+    schema = T.StructType(
+        [
+            T.StructField("c_custkey", T.LongType()),
+            T.StructField("c_name", T.StringType()),
+            T.StructField("c_acctbal", T.DoubleType()),
+        ]
+    )
+    return read_semicolon_csv(spark, path, schema)
+
+
+@query
+def clean_descriptions(spark: SparkSession, folder: str) -> DataFrame:
+    documents = b.table(spark, folder, "documents")
+    return tl.clean_descriptions(documents, "text").select("doc_id", "text")
+
+
+@query
+def pseudonymise_patients(spark: SparkSession, folder: str) -> DataFrame:
+    table = _patients(spark, folder).withColumn("costs", F.round("costs", 2))
+    return pr.pseudonymise(table, b.client_keys(spark, folder))
+
+
+@query
+def pseudonymise_months(spark: SparkSession, folder: str) -> DataFrame:
+    months = su.client_month_summary(_timeline(spark, folder))
+    return pr.pseudonymise(months, b.client_keys(spark, folder))
+
+
+@query
+def pseudonymise_scores(spark: SparkSession, folder: str) -> DataFrame:
+    wide = sl.score_months_wide(b.scores(spark, folder), ("ts", "event_id"))
+    return pr.pseudonymise(wide, b.client_keys(spark, folder))
+
+
+@query
+def pseudonymise_diagnoses(spark: SparkSession, folder: str) -> DataFrame:
+    wide = sl.diagnosis_months_wide(b.dx(spark, folder), ("date", "o_orderkey"))
+    return pr.pseudonymise(wide, b.client_keys(spark, folder), "drop")
+
+
+# --- profiles and distances -----------------------------------------------------
+
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
+def _patients(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored patient table: the steps from here on start from a saved file."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORED:
+        _STORED[key] = materialise(pl.assemble_patients(_study(spark, folder)), "patients")
+    return _STORED[key]
+
+
+def _profile(spark: SparkSession, folder: str) -> DataFrame:
+    return pf.profile_matrix(_patients(spark, folder))
+
+
+@query
+def profile_long(spark: SparkSession, folder: str) -> DataFrame:
+    return pf.to_long(_profile(spark, folder))
+
+
+@query
+def zero_variance_filter(spark: SparkSession, folder: str) -> DataFrame:
+    profile = _profile(spark, folder).withColumn("never", F.lit(0.0))
+    return pf.to_long(pf.drop_constant(profile))
+
+
+@query
+def rescale_log_minmax(spark: SparkSession, folder: str) -> DataFrame:
+    scaled = pf.rescale(_profile(spark, folder), "log_minmax")
+    return pf.to_long(scaled, "value").withColumn("value", F.round("value", 9))
+
+
+@query
+def rescale_bins(spark: SparkSession, folder: str) -> DataFrame:
+    scaled = pf.rescale(pf.rescale(_profile(spark, folder), "log_minmax"), "bins")
+    return pf.to_long(scaled, "value")
+
+
+@query
+def rescale_max(spark: SparkSession, folder: str) -> DataFrame:
+    return pf.to_long(pf.rescale(_profile(spark, folder), "max"), "value")
+
+
+@query
+def rescale_over_one(spark: SparkSession, folder: str) -> DataFrame:
+    return pf.to_long(pf.rescale(_profile(spark, folder), "over_one"), "value")
+
+
+@query
+def rescale_minus_one(spark: SparkSession, folder: str) -> DataFrame:
+    return pf.to_long(pf.rescale(_profile(spark, folder), "minus_one"), "value")
+
+
+@query
+def anchor_distances(spark: SparkSession, folder: str) -> DataFrame:
+    found = ds.anchor_distances(pf.as_vector(_profile(spark, folder)), 64)
+    return found.withColumn("dist", F.round("dist", 9))
+
+
+@query
+def distance_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return ds.distance_histogram(pf.as_vector(_profile(spark, folder)))
+
+
+# --- clusters that are given ------------------------------------------------------
+
+
+@query
+def silhouette_squared(spark: SparkSession, folder: str) -> DataFrame:
+    widths = si.squared_silhouette(b.labelled_vectors(spark, folder), "vec_id", "label")
+    return widths.withColumn("width", F.round("width", 6))
+
+
+@query
+def silhouette_euclidean(spark: SparkSession, folder: str) -> DataFrame:
+    widths = si.euclidean_silhouette(b.labelled_vectors(spark, folder), "vec_id", "label")
+    return widths.withColumn("width", F.round("width", 6))
+
+
+@query
+def silhouette_by_label(spark: SparkSession, folder: str) -> DataFrame:
+    widths = si.squared_silhouette(b.labelled_vectors(spark, folder), "vec_id", "label")
+    means = si.mean_silhouette(widths, "label")
+    return means.withColumn("mean_width", F.round("mean_width", 6))
+
+
+@query
+def canonical_labels(spark: SparkSession, folder: str) -> DataFrame:
+    people = b.labelled_customers(spark, folder)
+    return la.canonical_labels(people, "coarse", "fine", "measure").select("client_id", "cluster")
+
+
+@query
+def cluster_names(spark: SparkSession, folder: str) -> DataFrame:
+    return la.cluster_names(b.labelled_customers(spark, folder), "coarse", "fine", "measure")
+
+
+@query
+def cluster_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return la.cluster_sizes(b.labelled_customers(spark, folder), "fine")
+
+
+@query
+def cluster_extents(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = la.cluster_sizes(b.labelled_customers(spark, folder), "fine")
+    return la.cluster_extents(sizes, "fine", "fine")
+
+
+@query
+def cluster_members(spark: SparkSession, folder: str) -> DataFrame:
+    people = b.labelled_customers(spark, folder)
+    extents = la.cluster_extents(la.cluster_sizes(people, "fine"), "fine", "fine")
+    return la.members(people, "fine", la.select_extents(extents, which=[1, 4]))
+
+
+@query
+def median_by_group(spark: SparkSession, folder: str) -> DataFrame:
+    lines = b.table(spark, folder, "lineitem")
+    return di.group_medians(lines, ["l_returnflag"], "l_extendedprice")
+
+
+@query
+def trimmed_mean_by_group(spark: SparkSession, folder: str) -> DataFrame:
+    lines = b.table(spark, folder, "lineitem")
+    means = la.trimmed_mean_by_group(
+        lines, "l_returnflag", ["l_quantity", "l_extendedprice", "l_discount"]
+    )
+    return means.withColumn("score", F.round("score", 6))
+
+
+@query
+def cluster_profile(spark: SparkSession, folder: str) -> DataFrame:
+    patients = _patients(spark, folder)
+    table = la.cluster_profile(patients, "gender", pf.profile_dims(patients))
+    return table.withColumns({"score": F.round("score", 6), "mins": F.round("mins", 6)})
+
+
+def _rounded(table: DataFrame) -> DataFrame:
+    return table.withColumns({c: F.round(c, 6) for c in la.SPREAD})
+
+
+@query
+def hours_quantiles(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(la.hours_by_cluster(_patients(spark, folder), "gender"))
+
+
+@query
+def cost_quantiles(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(la.costs_by_cluster(_patients(spark, folder), "gender"))
+
+
+# --- clusters that are found (no SQL: eigenvectors and linkage) --------------------
+
+
+def _embedded(spark: SparkSession, folder: str) -> tuple[DataFrame, em.Landmarks]:
+    return tr.embed_patients(_patients(spark, folder))
+
+
+@query
+def landmark_mds(spark: SparkSession, folder: str) -> DataFrame:
+    return _embedded(spark, folder)[0]
+
+
+@query
+def scree(spark: SparkSession, folder: str) -> DataFrame:
+    return em.scree(spark, _embedded(spark, folder)[1])
+
+
+@query
+def ward_labels(spark: SparkSession, folder: str) -> DataFrame:
+    coordinates, _ = _embedded(spark, folder)
+    return cl.assign(coordinates, cl.fit_micro(coordinates), {"c3": 3, "ck": 9}).drop("x")
+
+
+@query
+def merge_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return li.merge_table(spark, cl.fit_micro(_embedded(spark, folder)[0]).tree)
+
+
+@query
+def cut_by_height(spark: SparkSession, folder: str) -> DataFrame:
+    coordinates, _ = _embedded(spark, folder)
+    fitted = cl.fit_micro(coordinates)
+    k = li.clusters_for(fitted.tree, h=float(fitted.tree.height[-6]))
+    return la.cluster_sizes(cl.assign(coordinates, fitted, {"cluster": k}))
+
+
+@query
+def silhouette_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    coordinates, _ = _embedded(spark, folder)
+    return cl.silhouette_sweep(coordinates, cl.fit_micro(coordinates), list(range(2, 51)))
+
+
+@query
+def choose_k(spark: SparkSession, folder: str) -> DataFrame:
+    coordinates, _ = _embedded(spark, folder)
+    sweep = cl.silhouette_sweep(coordinates, cl.fit_micro(coordinates), tr.SWEEP)
+    return sweep.orderBy(F.desc("mean_silhouette"), "k").limit(1)
+
+
+@query
+def trajectory_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return tr.trajectory_clusters(_patients(spark, folder)).clusters
+
+
+@query
+def trajectory_silhouette(spark: SparkSession, folder: str) -> DataFrame:
+    found = tr.trajectory_clusters(_patients(spark, folder))
+    placed = found.coordinates.join(found.clusters, "client_id")
+    return si.euclidean_silhouette(placed, "client_id", "cluster")
+
+
+def _extract(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    tables = ex.build_extract(
+        b.care_tables(spark, folder),
+        b.scores(spark, folder).drop("ts", "event_id"),
+        materialise(_postcode(spark, folder), "postcode"),
+        b.client_keys(spark, folder),
+        b.SPEC,
+        ("date", "o_orderkey"),
+    )
+    return tables[name]
+
+
+@query
+def extract_patients(spark: SparkSession, folder: str) -> DataFrame:
+    return _extract(spark, folder, "patients")
