@@ -77,12 +77,3 @@ def lookup_join(
         return fact.join(F.broadcast(side), key, how)
     return spread_join(fact, side, key, how)
 
-
-def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on ``keys`` in which a missing key matches a missing key."""
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    match = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    condition = match[0]
-    for other in match[1:]:
-        condition = condition & other
-    return left.join(renamed, condition).drop(*[f"_r_{k}" for k in keys])

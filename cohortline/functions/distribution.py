@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortline.core.skew import null_safe_join
 from cohortline.core.workspace import materialise
 
 
@@ -21,33 +20,38 @@ def rank_intervals(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     The rows of a group sorted by ``value`` take the 0-based ranks
     ``before`` … ``before + copies - 1`` of ``total``.
     """
+    # One struct as key: missing groups compare equal in the join below.
     counted = (
         df.filter(F.col(value).isNotNull())
-        .groupBy(*groups, F.col(value).cast("double").alias("value"))
+        .groupBy(
+            F.struct(*groups).alias("_group"), F.col(value).cast("double").alias("value")
+        )
         .agg(F.count(F.lit(1)).alias("copies"))
     )
     # The range layout is stored: two passes must see the same ranges.
     laid = materialise(
-        counted.repartitionByRange(*groups, "value").withColumn("range", F.spark_partition_id()),
+        counted.repartitionByRange("_group", "value").withColumn(
+            "_range", F.spark_partition_id()
+        ),
         "ranges",
     )
     # At most one row per (group, range): as many as there are partitions and groups.
-    by_group = Window.partitionBy(*groups)
-    earlier = by_group.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = laid.groupBy(*groups, "range").agg(F.sum("copies").alias("_held")).select(
-        *groups,
-        "range",
+    by_group = Window.partitionBy("_group")
+    earlier = by_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = laid.groupBy("_group", "_range").agg(F.sum("copies").alias("_held")).select(
+        "_group",
+        "_range",
         F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_offset"),
         F.sum("_held").over(by_group).alias("total"),
     )
     inside = (
-        Window.partitionBy(*groups, "range")
+        Window.partitionBy("_group", "_range")
         .orderBy("value")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     local = laid.withColumn("_inside", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
-    return null_safe_join(local, ranges, [*groups, "range"]).select(
-        *groups,
+    return local.join(ranges, ["_group", "_range"]).select(
+        "_group.*",
         "value",
         "copies",
         (F.col("_offset") + F.col("_inside")).alias("before"),

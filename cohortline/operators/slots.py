@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from cohortline.core.skew import null_safe_join
 from cohortline.functions.columns import any_non_null, column_range, named
 
 
@@ -30,24 +29,26 @@ def widen_slots(
     leave each input partition, and the size comes from a separate aggregate, so
     a very large group is never gathered.
     """
-    sort: list[Column] = [
-        named(c).asc_nulls_last() for c in [*order, *[v for v in values if v not in order]]
-    ]
-    numbered = df.withColumn(
-        "_slot", F.row_number().over(Window.partitionBy(*keys).orderBy(*sort))
+    # One struct as key: missing parts compare equal, and both sides stay in place.
+    keyed = df.withColumn("_key", F.struct(*[named(k) for k in keys]))
+    ties = [v for v in values if v not in order]
+    sort = [named(c).asc_nulls_last() for c in [*order, *ties]]
+    numbered = keyed.withColumn(
+        "_slot", F.row_number().over(Window.partitionBy("_key").orderBy(*sort))
     ).filter(F.col("_slot") <= slots)
-    wide = numbered.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("_slot") == i, named(v))).alias(f"{v}_{i:0{width}d}")
-            for i in range(1, slots + 1)
-            for v in values
-        ]
+    # One aggregate per slot: a slot holds at most one record of a group.
+    record = F.struct(*[named(v).alias(f"v{j}") for j, v in enumerate(values)])
+    wide = numbered.groupBy("_key").agg(
+        *[F.max(F.when(F.col("_slot") == i, record)).alias(f"_s{i}") for i in range(1, slots + 1)]
     )
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_name))
-    joined = null_safe_join(sizes, wide, keys)
+    sizes = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias(count_name))
     overflow = F.greatest(F.col(count_name) - slots, F.lit(0)).alias("overflow_count")
-    columns = [c for c in wide.columns if c not in keys]
-    return joined.select(*keys, count_name, overflow, *[named(c) for c in columns])
+    columns = [
+        F.col(f"_s{i}.v{j}").alias(f"{v}_{i:0{width}d}")
+        for i in range(1, slots + 1)
+        for j, v in enumerate(values)
+    ]
+    return sizes.join(wide, "_key").select("_key.*", count_name, overflow, *columns)
 
 
 def slot_occupancy(df: DataFrame, keys: list[str], chunk: int = 1_000_000) -> DataFrame:

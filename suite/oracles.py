@@ -295,7 +295,7 @@ ORACLES |= {
     "diagnosis_months_wide": "SELECT * FROM dx_wide",
     "raw_scores": "SELECT * REPLACE (round(raw, 4) AS raw) FROM raw_table",
     "score_instruments": "SELECT * FROM scored",
-    "score_instrument": "SELECT * FROM scored WHERE rom = 'view'",
+    "score_instrument": "SELECT * FROM scored",
 }
 
 # --- postcodes, keys, text and files --------------------------------------------

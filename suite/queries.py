@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -243,9 +244,13 @@ def score_instruments(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def score_instrument(spark: SparkSession, folder: str) -> DataFrame:
-    items = b.items(spark, folder).filter(F.col("rom") == "view").drop("rom")
-    scored = sc.score_instrument(items, b.rules(spark), b.norms(spark), "view")
-    return scored.withColumn("score", F.round("score", 4))
+    """Every instrument scored from its own item table, one call each."""
+    items, rules, norms = b.items(spark, folder), b.rules(spark), b.norms(spark)
+    parts = [
+        sc.score_instrument(items.filter(F.col("rom") == rom).drop("rom"), rules, norms, rom)
+        for rom in b.INSTRUMENTS
+    ]
+    return reduce(DataFrame.unionByName, parts).withColumn("score", F.round("score", 4))
 
 
 # --- postcodes, keys, text and files --------------------------------------------
