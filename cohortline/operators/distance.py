@@ -100,7 +100,9 @@ def in_blocks(
     left = own.withColumn("_other", F.explode(F.sequence(first_of_left, last))).select(
         "*", F.col("_own").alias("_i"), F.col("_other").alias("_j")
     )
-    right = own.withColumn("_other", F.explode(F.sequence(F.lit(0), last_of_right))).select(
+    # Columns of their own on the right: both sides come from one table.
+    copied = own.select(*[F.col(c).alias(c) for c in own.columns])
+    right = copied.withColumn("_other", F.explode(F.sequence(F.lit(0), last_of_right))).select(
         "*", F.col("_other").alias("_i"), F.col("_own").alias("_j")
     )
     return (

@@ -461,7 +461,7 @@ PARTS["share_means"] = _trimmed("SELECT * FROM shares", "gender")
 
 def _quantiles(value: str) -> str:
     points = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
-    columns = ", ".join(f"round(quantile_cont(v, {p}), 6) AS {c}" for c, p in points.items())
+    columns = ", ".join(f"round(quantile_cont(v, {p}), 8) AS {c}" for c, p in points.items())
     return f"""SELECT gender, count(*) AS n, {columns}
         FROM (SELECT gender, {value} AS v FROM patients) WHERE v > 0 GROUP BY gender"""
 

@@ -466,7 +466,7 @@ def cluster_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _rounded(table: DataFrame) -> DataFrame:
-    return table.withColumns({c: F.round(c, 6) for c in la.SPREAD})
+    return table.withColumns({c: F.round(c, 8) for c in la.SPREAD})
 
 
 @query

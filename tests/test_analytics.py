@@ -256,6 +256,7 @@ def test_euclidean_silhouette_equals_brute_force(labelled, block_rows):
     found = si.euclidean_silhouette(df, "id", "label", block_rows=block_rows)
     assert np.allclose(widths(found), brute_silhouette(points, labels, 1))
     assert all(-1 <= w <= 1 for w in widths(found))
+    assert found.count() == len(points)
 
 
 def test_many_labels_are_refused(labelled):
