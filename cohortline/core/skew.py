@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_KEYS = 1024
+TRACKED_KEYS = 4096
 SALTS = 64
 
 
@@ -36,10 +37,27 @@ def table_bytes(df: DataFrame) -> int:
 
 
 def frequent_keys(df: DataFrame, key: str, limit: int = HOT_KEYS) -> list:
-    """The ``limit`` most frequent non-null keys; reads one column only."""
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).count()
-    top = counts.orderBy(F.desc("count"), F.col(key)).limit(limit)
-    return [row[0] for row in top.collect()]
+    """Up to ``limit`` of the most frequent non-null keys; reads one column only.
+
+    Each input partition keeps a bounded sketch of its frequent keys, and the
+    sketches are merged in two steps, so no key is shuffled. A key with more than
+    about a thousandth of the rows is always found. The answer only decides how
+    rows are routed; it never changes a result.
+    """
+    sketched = (
+        df.filter(F.col(key).isNotNull())
+        .select(F.col(key).alias("k"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("p"))
+        .groupBy("p")
+        .agg(F.expr(f"approx_top_k_accumulate(k, {TRACKED_KEYS})").alias("s"))
+    )
+    merged = f"approx_top_k_combine(s, {TRACKED_KEYS})"
+    # Grouped, so that no rows give no sketch instead of an empty one.
+    found = (
+        sketched.groupBy(F.lit(0).alias("all"))
+        .agg(F.expr(f"approx_top_k_estimate({merged}, {limit})").alias("top"))
+        .first()
+    )
+    return [row["item"] for row in found["top"]] if found else []
 
 
 def spread_join(

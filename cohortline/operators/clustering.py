@@ -16,7 +16,8 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortline.operators.linkage import Tree, euclidean, labels_at, ward_tree
+from cohortline.operators.linkage import Tree, euclidean, labels_at, leaf_order, ward_tree
+from cohortline.operators.silhouette import vector_sums
 
 MICRO = 2000
 COARSE, FINE = 3, 9
@@ -51,7 +52,7 @@ def fit_micro(coordinates: DataFrame, micro: int = MICRO, seed: int = 1) -> Micr
 
 
 def assign(coordinates: DataFrame, fitted: Micro, cuts: dict[str, int]) -> DataFrame:
-    """Coordinates with the nearest point and one label column per cut.
+    """Coordinates with the nearest point, its distance, and one label per cut.
 
     ``cuts`` maps column names to numbers of clusters. Labels of a finer cut are
     nested in those of a coarser one.
@@ -59,7 +60,7 @@ def assign(coordinates: DataFrame, fitted: Micro, cuts: dict[str, int]) -> DataF
     points = fitted.points
     labels = {name: labels_at(fitted.tree, k) for name, k in cuts.items()}
     kind = coordinates.schema["client_id"].dataType.simpleString()
-    columns = ", ".join(f"{name} int" for name in ["micro", *cuts])
+    columns = ", ".join(["micro int", "dist double", *(f"{name} int" for name in cuts)])
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -70,7 +71,9 @@ def assign(coordinates: DataFrame, fitted: Micro, cuts: dict[str, int]) -> DataF
             if len(batch):
                 x = np.stack(batch["x"].to_numpy())
                 micro = (norms - 2 * x @ points.T).argmin(axis=1)
+                dist = np.sqrt(((x - points[micro]) ** 2).sum(axis=1))
                 held = {"client_id": batch["client_id"], "x": batch["x"], "micro": micro}
+                held["dist"] = dist
                 yield pd.DataFrame({**held, **{n: v[micro] for n, v in labels.items()}})
 
     schema = f"client_id {kind}, x array<double>, {columns}"
@@ -86,16 +89,8 @@ def silhouette_sweep(coordinates: DataFrame, fitted: Micro, ks: list[int]) -> Da
     ks = [k for k in ks if 2 <= k <= fitted.tree.leaves]
     dims = fitted.points.shape[1]
     placed = assign(coordinates, fitted, {})
-    square = F.aggregate("x", F.lit(0.0), lambda total, v: total + v * v)
-    held = (
-        placed.groupBy("micro")
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.sum(square).alias("squares"),
-            F.array(*[F.sum(F.col("x")[i]) for i in range(dims)]).alias("sums"),
-        )
-        .collect()
-    )  # one row per point, so at most as many as ``fit_micro`` allows
+    # One row per point, so at most as many as ``fit_micro`` allows.
+    held = placed.groupBy("micro").agg(*vector_sums("x", dims)).collect()
     m = len(fitted.points)
     rows, squares, sums = np.zeros(m), np.zeros(m), np.zeros((m, dims))
     for row in held:
@@ -151,3 +146,10 @@ def micro_table(spark: SparkSession, fitted: Micro, cuts: dict[str, int]) -> Dat
     ]
     columns = ", ".join(f"{name} int" for name in cuts)
     return spark.createDataFrame(held, f"micro int, rows long, {columns}")
+
+
+def tree_order(spark: SparkSession, fitted: Micro, k: int, label: str = "cluster") -> DataFrame:
+    """(label, place) of the clusters of a cut, from left to right along the tree."""
+    along = labels_at(fitted.tree, k)[leaf_order(fitted.tree)]
+    places = [(int(c), i + 1) for i, c in enumerate(dict.fromkeys(along.tolist()))]
+    return spark.createDataFrame(places, f"{label} int, place int")

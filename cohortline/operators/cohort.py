@@ -12,9 +12,14 @@ from cohortline.functions.aggregates import first_per_group
 from cohortline.functions.columns import move_first
 
 
-def target_codes(dx_codes: DataFrame, pattern: str) -> DataFrame:
-    """Distinct diagnosis codes whose classification code matches ``pattern``."""
+def target_codes(dx_codes: DataFrame, pattern: str, major: str | None = None) -> DataFrame:
+    """Distinct diagnosis codes whose classification code matches ``pattern``.
+
+    ``major`` also asks for a major diagnosis group.
+    """
     matching = dx_codes.filter(F.col("icd9cm_code").rlike(pattern))
+    if major is not None:
+        matching = matching.filter(F.col("major_nl") == major)
     return matching.select("dx_code").distinct()
 
 
@@ -70,8 +75,13 @@ def newest_first(cohort: DataFrame) -> DataFrame:
     return cohort.orderBy(F.col("enroll_date").desc_nulls_last(), "client_id")
 
 
-def episode_costs(dbc: DataFrame, index: DataFrame) -> DataFrame:
-    """Claimed cost of episodes that ended after the index date, per client."""
+def episode_costs(dbc: DataFrame, index: DataFrame, kind: str | None = None) -> DataFrame:
+    """Claimed cost of episodes that ended after the index date, per client.
+
+    All episode types count unless ``kind`` names one.
+    """
+    if kind is not None:
+        dbc = dbc.filter(F.col("GGZ_type") == kind)
     closed = dbc.filter(F.col("date_stop").isNotNull()).select("client_id", "date_stop", "claimed")
     joined = lookup_join(closed, index.select("client_id", "dx_date"), "client_id")
     later = joined.filter(F.col("date_stop") > F.col("dx_date"))

@@ -61,6 +61,14 @@ def score_instrument(
     return score_instruments(items.withColumn("rom", F.lit(rom)), rules, norms)
 
 
+def score_bundle(
+    tables: dict[str, DataFrame], rules: DataFrame, norms: DataFrame
+) -> DataFrame:
+    """All instruments of a bundle of item tables, scored together."""
+    tagged = [df.withColumn("rom", F.lit(rom)) for rom, df in tables.items()]
+    return score_instruments(reduce(DataFrame.unionByName, tagged), rules, norms)
+
+
 def tag_scores(scored: DataFrame, rom: str) -> DataFrame:
     """Bring a table of (client_id, date, score) to the common score layout."""
     dated = scored.filter(F.col("date").isNotNull()).withColumn("rom", F.lit(rom))

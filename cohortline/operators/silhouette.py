@@ -9,10 +9,11 @@ block; it is exact and quadratic.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortline.core.workspace import materialise
 from cohortline.operators.distance import BLOCK_ROWS, in_blocks
@@ -20,16 +21,22 @@ from cohortline.operators.distance import BLOCK_ROWS, in_blocks
 MAX_LABELS = 10_000
 
 
+def vector_sums(vector: str, width: int) -> list[Column]:
+    """Aggregates over vectors of one width: rows, sum of squares, sums per place."""
+    places = [F.col(vector)[i].cast("double") for i in range(width)]
+    square = reduce(lambda a, b: a + b, [p * p for p in places], F.lit(0.0))
+    return [
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(square).alias("squares"),
+        F.array(*[F.sum(p) for p in places]).alias("sums"),
+    ]
+
+
 def label_sums(df: DataFrame, label: str, vector: str = "x", limit: int = MAX_LABELS) -> pd.DataFrame:
     """Rows, sum of squares and coordinate sums per label; labels must be few."""
-    width = df.select(F.max(F.size(vector))).first()[0] or 0
-    sums = df.groupBy(label).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(
-            F.aggregate(vector, F.lit(0.0), lambda total, v: total + v.cast("double") * v)
-        ).alias("squares"),
-        F.array(*[F.sum(F.col(vector)[i].cast("double")) for i in range(width)]).alias("sums"),
-    )
+    first = df.select(F.size(vector)).first()
+    width = first[0] if first else 0
+    sums = df.groupBy(label).agg(*vector_sums(vector, width))
     found = sums.limit(limit + 1).toPandas()
     if len(found) > limit:
         raise ValueError(f"more than {limit} labels: silhouettes are for few clusters")

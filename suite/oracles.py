@@ -296,6 +296,7 @@ ORACLES |= {
     "raw_scores": "SELECT * REPLACE (round(raw, 4) AS raw) FROM raw_table",
     "score_instruments": "SELECT * FROM scored",
     "score_instrument": "SELECT * FROM scored",
+    "score_bundle": "SELECT * FROM scored",
 }
 
 # --- postcodes, keys, text and files --------------------------------------------

@@ -253,6 +253,15 @@ def score_instrument(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).withColumn("score", F.round("score", 4))
 
 
+@query
+def score_bundle(spark: SparkSession, folder: str) -> DataFrame:
+    """Item tables of all instruments, scored in one aggregate."""
+    items = b.items(spark, folder)
+    tables = {rom: items.filter(F.col("rom") == rom).drop("rom") for rom in b.INSTRUMENTS}
+    scored = sc.score_bundle(tables, b.rules(spark), b.norms(spark))
+    return scored.withColumn("score", F.round("score", 4))
+
+
 # --- postcodes, keys, text and files --------------------------------------------
 
 
@@ -515,6 +524,15 @@ def cut_by_height(spark: SparkSession, folder: str) -> DataFrame:
     return la.cluster_sizes(cl.assign(coordinates, fitted, {"cluster": k}))
 
 
+@query
+def tree_extents(spark: SparkSession, folder: str) -> DataFrame:
+    coordinates, _ = _embedded(spark, folder)
+    fitted = cl.fit_micro(coordinates)
+    sizes = la.cluster_sizes(cl.assign(coordinates, fitted, {"cluster": 9}))
+    placed = sizes.join(cl.tree_order(spark, fitted, 9), "cluster")
+    return la.cluster_extents(placed, "cluster", "place")
+
+
 @query
 def silhouette_sweep(spark: SparkSession, folder: str) -> DataFrame:
     coordinates, _ = _embedded(spark, folder)

@@ -309,6 +309,23 @@ def test_sweep_equals_one_silhouette_per_cut(blobs):
     assert cl.choose_k(cl.silhouette_sweep(df, fitted, list(range(2, 9)))) in (3, 5)
 
 
+def test_tree_order_gives_extents_of_whole_clusters(spark, blobs):
+    fitted = cl.fit_micro(blobs[2], micro=30)
+    placed = cl.assign(blobs[2], fitted, {"cluster": 5})
+    order = cl.tree_order(spark, fitted, 5)
+    extents = la.cluster_extents(la.cluster_sizes(placed).join(order, "cluster"), "cluster", "place")
+    found = extents.orderBy("position").collect()
+    along = li.labels_at(fitted.tree, 5)[li.leaf_order(fitted.tree)]
+    assert [r["cluster"] for r in found] == list(dict.fromkeys(along))
+    assert found[0]["first"] == 1 and found[-1]["last"] == 300
+
+
+def test_rows_carry_the_distance_to_their_point(blobs):
+    exact = cl.assign(blobs[2], cl.fit_micro(blobs[2]), {})
+    near = cl.assign(blobs[2], cl.fit_micro(blobs[2], micro=30), {})
+    assert exact.agg(F.max("dist")).first()[0] < 1e-9 < near.agg(F.max("dist")).first()[0]
+
+
 def test_micro_table_lists_every_point(spark, blobs):
     fitted = cl.fit_micro(blobs[2], micro=30)
     found = cl.micro_table(spark, fitted, {"c3": 3})

@@ -55,6 +55,18 @@ def test_target_codes_match_as_an_unanchored_pattern(codes, rows):
     assert rows(co.target_codes(codes, SPEC.code_pattern)) == [("dep1",), ("dep2",)]
 
 
+def test_optional_filters(spark, codes, rows):
+    major = codes.selectExpr("*", "if(dx_code = 'dep1', 'mood', 'other') as major_nl")
+    assert rows(co.target_codes(major, SPEC.code_pattern, "mood")) == [("dep1",)]
+    index = spark.createDataFrame([(1, D(2010, 1, 1))], "client_id long, dx_date date")
+    dbc = spark.createDataFrame(
+        [(1, D(2011, 1, 1), 5.0, "SGGZ"), (1, D(2011, 1, 1), 7.0, "BGGZ")],
+        "client_id long, date_stop date, claimed double, GGZ_type string",
+    )
+    assert rows(co.episode_costs(dbc, index, "SGGZ")) == [(1, 5.0)]
+    assert rows(co.episode_costs(dbc, index)) == [(1, 12.0)]
+
+
 def test_code_is_tested_after_the_first_diagnosis(dx, codes, rows):
     found = co.index_event(dx, codes, SPEC)
     assert [r[0] for r in rows(found)] == sorted([1, 3, 4, 8, 9, 10, 11], key=lambda i: repr((i,)))
