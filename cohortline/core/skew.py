@@ -13,6 +13,8 @@ salt, and identical copies of one row still spread.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -65,11 +67,12 @@ def spread_join(
     side: DataFrame,
     key: str,
     how: str = "inner",
-    hot_keys: int = HOT_KEYS,
+    hot: list | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Shuffle join in which frequent and missing keys use ``salts`` partitions."""
-    hot = frequent_keys(fact, key, hot_keys)
+    if hot is None:
+        hot = frequent_keys(fact, key)
     column = F.col(key)
     is_hot = column.isin(hot) if hot else F.lit(False)
     salt = F.pmod(F.spark_partition_id(), F.lit(salts))
@@ -83,15 +86,40 @@ def spread_join(
     return salted.join(copied, [key, "_salt"], how).drop("_salt")
 
 
+@dataclass(frozen=True)
+class Lookup:
+    """A side of a join, measured once."""
+
+    table: DataFrame
+    key: str
+    fits: bool
+
+    def join(
+        self, fact: DataFrame, how: str = "inner", source: DataFrame | None = None
+    ) -> DataFrame:
+        """Join ``fact``; its frequent keys are looked up in ``source`` if given.
+
+        ``source`` holds the key column of ``fact`` (or of more rows) and is
+        cheaper to read, for a ``fact`` that is itself the result of joins.
+        """
+        if self.fits:
+            return fact.join(F.broadcast(self.table), self.key, how)
+        hot = frequent_keys(fact if source is None else source, self.key)
+        return spread_join(fact, self.table, self.key, how, hot)
+
+
+def measured(side: DataFrame, key: str, max_bytes: int | None = None) -> Lookup:
+    """Measure a side and decide whether it may be broadcast."""
+    bound = BROADCAST_BYTES if max_bytes is None else max_bytes
+    return Lookup(side, key, table_bytes(side) <= bound)
+
+
 def lookup_join(
     fact: DataFrame,
     side: DataFrame,
     key: str,
     how: str = "inner",
-    max_bytes: int = BROADCAST_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Join ``fact`` to a side with unique keys: broadcast if it fits, else spread."""
-    if table_bytes(side) <= max_bytes:
-        return fact.join(F.broadcast(side), key, how)
-    return spread_join(fact, side, key, how)
-
+    return measured(side, key, max_bytes).join(fact, how)

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortline.core.skew import lookup_join
+from cohortline.core.skew import measured
 from cohortline.core.spec import CohortSpec
+from cohortline.core.workspace import materialise
 from cohortline.functions.columns import ascii_text
 
 HISTORY = "history"
@@ -42,16 +43,18 @@ def category_values(types: DataFrame, limit: int = 1000) -> list[str]:
     return [*sorted(c for c in found if c != UNMATCHED), UNMATCHED]
 
 
-def relative_days(interventions: DataFrame, index: DataFrame) -> DataFrame:
-    """Events of the indexed clients with ``day``, the days since the index date."""
-    joined = lookup_join(interventions, index.select("client_id", "dx_date"), "client_id")
-    return joined.withColumn("day", F.datediff("date", "dx_date"))
-
-
 def event_timeline(
-    interventions: DataFrame, types: DataFrame, index: DataFrame, spec: CohortSpec
+    interventions: DataFrame,
+    types: DataFrame,
+    index: DataFrame,
+    spec: CohortSpec,
+    derived: bool = False,
 ) -> DataFrame:
-    """Additive event rows up to the end of follow-up, with period and category."""
+    """Additive event rows up to the end of follow-up, with period and category.
+
+    ``derived`` says that ``interventions`` is itself a result of joins. It is
+    then stored first, if it has to be searched for frequent keys.
+    """
     read = interventions.select(
         "client_id",
         "date",
@@ -61,9 +64,15 @@ def event_timeline(
         "intervention_type_id",
         "team_id",
     )
-    events = relative_days(read, index).filter(F.col("day") <= spec.follow_up_days)
-    categories = types.select("intervention_type_id", "description_cat")
-    events = lookup_join(events, categories, "intervention_type_id", "left")
+    dates = measured(index.select("client_id", "dx_date"), "client_id")
+    categories = measured(
+        types.select("intervention_type_id", "description_cat"), "intervention_type_id"
+    )
+    if derived and not (dates.fits and categories.fits):
+        read = materialise(read, "events")
+    events = dates.join(read).withColumn("day", F.datediff("date", "dx_date"))
+    events = events.filter(F.col("day") <= spec.follow_up_days)
+    events = categories.join(events, "left", source=read)
 
     basic = F.coalesce(F.col("dbc_id") < 0, F.lit(False)).cast("long")
     direct, indirect = F.col("mins_direct_staff"), F.col("mins_indirect_staff")

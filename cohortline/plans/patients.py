@@ -34,7 +34,8 @@ def stored_cohort(care: CareTables, spec: CohortSpec) -> DataFrame:
 
 def cohort_timeline(care: CareTables, cohort: DataFrame, spec: CohortSpec) -> DataFrame:
     events = care.interventions_of(cohort.select("client_id"))
-    return event_timeline(events, care.intervention_types, cohort, spec)
+    derived = not isinstance(care.interventions, DataFrame)
+    return event_timeline(events, care.intervention_types, cohort, spec, derived)
 
 
 def start_study(care: CareTables, spec: CohortSpec) -> Study:

@@ -173,6 +173,15 @@ def as_dicts(df, key="client_id"):
     return {r[key]: r.asDict() for r in df.collect()}
 
 
+def test_large_sides_give_the_same_timeline(timeline, events, types, spark, rows, monkeypatch):
+    from cohortline.core import skew
+
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", -1)
+    index = spark.createDataFrame([(i, INDEX) for i in (1, 2, 3)], "client_id long, dx_date date")
+    spread = tl.event_timeline(events.repartition(3), types, index, SPEC, derived=True)
+    assert rows(spread) == rows(timeline)
+
+
 def test_windows_are_closed_and_separate(timeline):
     found = {(r["client_id"], r["day_first"]): r["period"] for r in timeline.collect()}
     assert found[1, -731] == "history" and found[1, -730] == "look_back"

@@ -16,7 +16,7 @@ def hot(spark):
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
 def test_spread_join_equals_plain_join(hot, rows, how):
     fact, side = hot
-    got = skew.spread_join(fact, side, "k", how, hot_keys=5, salts=8)
+    got = skew.spread_join(fact, side, "k", how, salts=8)
     want = fact.join(side, "k", how)
     assert got.columns == want.columns
     assert rows(got.groupBy(*got.columns).count()) == rows(want.groupBy(*want.columns).count())
@@ -37,6 +37,19 @@ def test_lookup_join_switches_by_measured_size(hot, rows):
     assert "_salt" not in large.columns
 
 
+def test_hot_keys_may_come_from_another_table(hot, rows, monkeypatch):
+    fact, side = hot
+    asked = []
+    found = skew.frequent_keys
+    monkeypatch.setattr(skew, "frequent_keys", lambda df, key: asked.append(df) or found(df, key))
+    source = fact.select("k")
+    got = skew.measured(side, "k", 0).join(fact, "left", source)
+    assert len(asked) == 1 and asked[0] is source
+    assert rows(got.groupBy(*got.columns).count()) == rows(
+        fact.join(side, "k", "left").groupBy(*got.columns).count()
+    )
+
+
 def test_frequent_keys_are_bounded(hot):
     found = skew.frequent_keys(hot[0], "k", 2)
     assert found[0] == 7 and len(found) == 2 and None not in found
