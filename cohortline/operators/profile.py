@@ -90,6 +90,5 @@ def rescale(profile: DataFrame, mode: str = "identity") -> DataFrame:
 
 def as_vector(profile: DataFrame) -> DataFrame:
     """(client_id, x): the profile as one array of doubles."""
-    return profile.select(
-        "client_id", F.array(*[named(d).cast("double") for d in dims_of(profile)]).alias("x")
-    )
+    values = F.array(*[named(d) for d in dims_of(profile)]).cast("array<double>")
+    return profile.select("client_id", values.alias("x"))

@@ -414,3 +414,12 @@ def test_trajectories_do_not_depend_on_partitions(care):
 def test_automatic_number_of_clusters(care):
     found = tr.trajectory_clusters(care[1], k="auto").clusters
     assert found.select("cluster").distinct().count() == 3
+
+
+@pytest.mark.parametrize("minutes", [[5.0], [5.0, 5.0], [5.0, 9.0]])
+def test_very_few_patients_still_get_a_cluster(spark, minutes):
+    data = [(i, m, m, 1.0) for i, m in enumerate(minutes)]
+    df = spark.createDataFrame(data, "client_id long, mins double, mins_a double, mins_b double")
+    found = tr.trajectory_clusters(df).clusters
+    assert found.count() == len(minutes)
+    assert found.select("cluster").distinct().count() == len(set(minutes))
