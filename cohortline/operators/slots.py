@@ -29,26 +29,33 @@ def widen_slots(
     leave each input partition, and the size comes from a separate aggregate, so
     a very large group is never gathered.
     """
-    # One struct as key: missing parts compare equal, and both sides stay in place.
-    keyed = df.withColumn("_key", F.struct(*[named(k) for k in keys]))
     ties = [v for v in values if v not in order]
-    sort = [named(c).asc_nulls_last() for c in [*order, *ties]]
-    numbered = keyed.withColumn(
-        "_slot", F.row_number().over(Window.partitionBy("_key").orderBy(*sort))
-    ).filter(F.col("_slot") <= slots)
-    # One aggregate per slot: a slot holds at most one record of a group.
+    sort = [named(c).asc_nulls_last() for c in order]
+    if ties:
+        sort.append(F.struct(*[named(v) for v in ties]).asc())
     record = F.struct(*[named(v).alias(f"v{j}") for j, v in enumerate(values)])
-    wide = numbered.groupBy("_key").agg(
-        *[F.max(F.when(F.col("_slot") == i, record)).alias(f"_s{i}") for i in range(1, slots + 1)]
+    group = [named(k) for k in keys]
+    numbered = (
+        df.withColumn("_slot", F.row_number().over(Window.partitionBy(*group).orderBy(*sort)))
+        .filter(F.col("_slot") <= slots)
+        .select(*group, "_slot", record.alias("_record"))
     )
-    sizes = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias(count_name))
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+    # Both parts lie by key already; grouping their union moves nothing again.
+    both = numbered.unionByName(sizes, allowMissingColumns=True)
+    # One aggregate per slot: a slot holds at most one record of a group.
+    held = [
+        F.max(F.when(F.col("_slot") == i, F.col("_record"))).alias(f"_s{i}")
+        for i in range(1, slots + 1)
+    ]
+    wide = both.groupBy(*group).agg(F.max("_size").alias(count_name), *held)
     overflow = F.greatest(F.col(count_name) - slots, F.lit(0)).alias("overflow_count")
     columns = [
         F.col(f"_s{i}.v{j}").alias(f"{v}_{i:0{width}d}")
         for i in range(1, slots + 1)
         for j, v in enumerate(values)
     ]
-    return sizes.join(wide, "_key").select("_key.*", count_name, overflow, *columns)
+    return wide.select(*group, count_name, overflow, *columns)
 
 
 def slot_occupancy(df: DataFrame, keys: list[str], chunk: int = 1_000_000) -> DataFrame:
