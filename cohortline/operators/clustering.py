@@ -80,59 +80,91 @@ def assign(coordinates: DataFrame, fitted: Micro, cuts: dict[str, int]) -> DataF
     return coordinates.select("client_id", "x").mapInPandas(nearest, schema)
 
 
-def silhouette_sweep(coordinates: DataFrame, fitted: Micro, ks: list[int]) -> DataFrame:
+def silhouette_sweep(
+    coordinates: DataFrame, fitted: Micro, ks: list[int], method: str = "euclidean"
+) -> DataFrame:
     """(k, mean_silhouette, method) for cuts into each of ``ks`` clusters.
 
-    Squared Euclidean widths. Sums are taken once per point and rolled up to
-    every cut, then one pass over the rows scores all cuts together.
+    One pass over the rows scores all cuts. ``euclidean`` sums distances to the
+    points, weighted by the rows behind them: exact if the points are, else each
+    row counts at its point. ``squared`` uses squared distances and exact sums
+    of the rows at any size.
     """
     ks = [k for k in ks if 2 <= k <= fitted.tree.leaves]
-    dims = fitted.points.shape[1]
-    placed = assign(coordinates, fitted, {})
-    # One row per point, so at most as many as ``fit_micro`` allows.
-    held = placed.groupBy("micro").agg(*vector_sums("x", dims)).collect()
-    m = len(fitted.points)
-    rows, squares, sums = np.zeros(m), np.zeros(m), np.zeros((m, dims))
-    for row in held:
-        i = row["micro"]
-        rows[i], squares[i], sums[i] = row["rows"], row["squares"], row["sums"]
+    # Cuts are nested: totals for the finest one are rolled up to the others.
+    finest = max(ks, default=1)
+    labels = {k: labels_at(fitted.tree, k) - 1 for k in [*ks, finest]}
+    fine = np.eye(finest)[labels[finest]]
+    placed = assign(coordinates, fitted, {}).select("x", "micro")
+    if method == "euclidean":
+        rows, points = fitted.sizes, fitted.points
+        weights = fine * rows[:, None]
+
+        def totals_of(x):
+            import numpy as np
+
+            squared = (x**2).sum(axis=1)[:, None] + (points**2).sum(axis=1) - 2 * x @ points.T
+            return np.sqrt(np.maximum(squared, 0.0)) @ weights
+
+    elif method == "squared":
+        rows, squares, sums = _point_sums(placed, fitted)
+        counts, squares, sums = fine.T @ rows, fine.T @ squares, fine.T @ sums
+
+        def totals_of(x):
+            import numpy as np
+
+            return np.maximum(counts * (x**2).sum(axis=1)[:, None] + squares - 2 * x @ sums.T, 0)
+
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    held = fine.T @ rows
     cuts = {}
     for k in ks:
-        label = labels_at(fitted.tree, k) - 1
-        member = np.eye(k)[label].T
-        cuts[k] = (label, member @ rows, member @ squares, member @ sums)
+        nested = np.zeros((finest, k))
+        nested[labels[finest], labels[k]] = 1.0
+        cuts[k] = (labels[k], nested, nested.T @ held)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
         import pandas as pd
 
         for batch in batches:
-            if not len(batch):
-                continue
-            x = np.stack(batch["x"].to_numpy())
-            norm, line = (x**2).sum(axis=1)[:, None], np.arange(len(x))
-            totals = []
-            for k, (label, n, q, s) in cuts.items():
-                own = label[batch["micro"].to_numpy()]
-                full = n > 0
-                total = np.maximum(n * norm + q - 2 * x @ s.T, 0.0)
-                inside = total[line, own] / np.maximum(n[own] - 1, 1)
-                outside = np.where(full, total / np.where(full, n, 1), np.inf)
-                outside[line, own] = np.inf
-                gap = outside.min(axis=1)
-                larger = np.maximum(inside, gap)
-                known = (n[own] > 1) & (larger > 0) & np.isfinite(gap)
-                width = np.where(known, (gap - inside) / np.where(larger > 0, larger, 1), 0.0)
-                totals.append((k, float(width[known].sum()), len(x)))
-            yield pd.DataFrame(totals, columns=["k", "total", "rows"])
-
-    parts = placed.select("x", "micro").mapInPandas(score, "k int, total double, rows long")
+            # Small slices: a slice is compared with all points at once.
+            for start in range(0, len(batch), 1000):
+                part = batch.iloc[start : start + 1000]
+                micro, line = part["micro"].to_numpy(), np.arange(len(part))
+                total = totals_of(np.stack(part["x"].to_numpy()))
+                found = []
+                for k, (label, nested, n) in cuts.items():
+                    own, sums_k = label[micro], total @ nested
+                    inside = sums_k[line, own] / np.maximum(n[own] - 1, 1)
+                    outside = np.where(n > 0, sums_k / np.where(n > 0, n, 1), np.inf)
+                    outside[line, own] = np.inf
+                    gap = outside.min(axis=1)
+                    larger = np.maximum(inside, gap)
+                    known = (n[own] > 1) & (larger > 0) & np.isfinite(gap)
+                    width = (gap[known] - inside[known]) / larger[known]
+                    found.append((k, float(width.sum()), len(part)))
+                yield pd.DataFrame(found, columns=["k", "total", "rows"])
+
+    parts = placed.mapInPandas(score, "k int, total double, rows long")
     return parts.groupBy("k").agg(
-        (F.sum("total") / F.sum("rows")).alias("mean_silhouette"),
-        F.lit("squared euclidean").alias("method"),
+        (F.sum("total") / F.sum("rows")).alias("mean_silhouette"), F.lit(method).alias("method")
     )
 
 
+def _point_sums(placed: DataFrame, fitted: Micro) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, sums of squares and coordinate sums behind each point."""
+    m, dims = fitted.points.shape
+    # One row per point, so at most as many as ``fit_micro`` allows.
+    held = placed.groupBy("micro").agg(*vector_sums("x", dims)).collect()
+    rows, squares, sums = np.zeros(m), np.zeros(m), np.zeros((m, dims))
+    for row in held:
+        i = row["micro"]
+        rows[i], squares[i], sums[i] = row["rows"], row["squares"], row["sums"]
+    return rows, squares, sums
+
+
 def choose_k(sweep: DataFrame) -> int:
     """The number of clusters with the best mean width, the smallest on a tie."""
     return sweep.orderBy(F.desc("mean_silhouette"), "k").first()["k"]

@@ -27,11 +27,16 @@ def cluster_names(df: DataFrame, coarse: str, fine: str, measure: str) -> DataFr
     Coarse clusters are ranked by their median ``measure``, fine ones by theirs
     inside their coarse cluster; the name is ``"<coarse_rank>.<fine_rank>"``.
     """
-    outer = group_medians(df, [coarse], measure).select(
+    # Each row counts at both levels, so one pass ranks both.
+    outer_key = F.struct(F.lit(1).alias("level"), F.col(coarse), F.lit(None).alias(fine))
+    inner_key = F.struct(F.lit(2).alias("level"), F.col(coarse), F.col(fine))
+    both = df.select(F.inline(F.array(outer_key, inner_key)), measure)
+    medians = group_medians(both, ["level", coarse, fine], measure)
+    outer = medians.filter("level = 1").select(
         coarse,
         F.row_number().over(Window.orderBy("median", coarse)).alias("coarse_rank"),
     )
-    inner = group_medians(df, [coarse, fine], measure).select(
+    inner = medians.filter("level = 2").select(
         coarse,
         fine,
         F.row_number()

@@ -298,15 +298,28 @@ def test_micro_clusters_find_the_same_groups(blobs):
     assert placed.select("c3", "c5").distinct().count() == 5
 
 
-def test_sweep_equals_one_silhouette_per_cut(blobs):
-    _, _, df = blobs
+@pytest.mark.parametrize("method", ["euclidean", "squared"])
+def test_sweep_equals_one_silhouette_per_cut(blobs, method):
+    _, points, df = blobs
     fitted = cl.fit_micro(df)
-    sweep = {r["k"]: r["mean_silhouette"] for r in cl.silhouette_sweep(df, fitted, [2, 5, 8]).collect()}
-    for k, mean in sweep.items():
-        cut = cl.assign(df, fitted, {"c": k})
-        want = si.squared_silhouette(cut, "client_id", "c").agg(F.avg("width")).first()[0]
-        assert mean == pytest.approx(want)
-    assert cl.choose_k(cl.silhouette_sweep(df, fitted, list(range(2, 9)))) in (3, 5)
+    sweep = cl.silhouette_sweep(df, fitted, [2, 5, 8, 400], method).collect()
+    assert [r["k"] for r in sorted(sweep)] == [2, 5, 8] and {r["method"] for r in sweep} == {method}
+    for r in sweep:
+        labels = np.array(labels_of(cl.assign(df, fitted, {"c": r["k"]}), "c"))
+        want = np.mean(brute_silhouette(points, labels, 1 if method == "euclidean" else 2))
+        assert r["mean_silhouette"] == pytest.approx(want, abs=1e-6)
+
+
+def test_sweep_over_micro_points_is_close_and_finds_the_groups(blobs):
+    _, points, df = blobs
+    fitted = cl.fit_micro(df, micro=60)
+    sweep = cl.silhouette_sweep(df, fitted, list(range(2, 9)))
+    assert cl.choose_k(sweep) in (3, 5)
+    labels = np.array(labels_of(cl.assign(df, fitted, {"c": 5}), "c"))
+    found = sweep.filter("k = 5").first()["mean_silhouette"]
+    assert found == pytest.approx(np.mean(brute_silhouette(points, labels, 1)), abs=0.02)
+    with pytest.raises(ValueError):
+        cl.silhouette_sweep(df, fitted, [2], "other")
 
 
 def test_tree_order_gives_extents_of_whole_clusters(spark, blobs):
