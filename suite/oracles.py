@@ -369,11 +369,14 @@ PARTS["log_scaled"] = """
     SELECT client_id, dim,
       CASE WHEN high > low THEN (log10(hours + 1) - low) / (high - low) ELSE 0.5 END AS value
     FROM hours JOIN varying USING (dim)"""
+PARTS["minutes"] = " UNION ALL ".join(
+    f"SELECT client_id, '{c}' AS dim, \"mins_{c}\" AS held FROM patients" for c in CATEGORIES
+)
 PARTS["all_pairs"] = """
     SELECT a.client_id AS client_id, b.client_id AS anchor_id,
-      CASE WHEN sum(greatest(a.hours, b.hours)) = 0 THEN 0 ELSE
-        1 - sum(least(a.hours, b.hours)) / sum(greatest(a.hours, b.hours)) END AS dist
-    FROM hours a JOIN hours b USING (dim) GROUP BY a.client_id, b.client_id"""
+      CASE WHEN sum(greatest(a.held, b.held)) = 0 THEN 0 ELSE
+        1 - sum(least(a.held, b.held)) / sum(greatest(a.held, b.held)) END AS dist
+    FROM minutes a JOIN minutes b USING (dim) GROUP BY a.client_id, b.client_id"""
 ABOVE = " + ".join(f"(value > {i * 0.1!r}::DOUBLE)::DOUBLE" for i in range(11))
 
 ORACLES |= {
@@ -387,7 +390,7 @@ ORACLES |= {
     "rescale_over_one": "SELECT client_id, dim, (hours > 1)::DOUBLE AS value FROM hours",
     "rescale_minus_one": "SELECT client_id, dim, hours - 1 AS value FROM hours",
     "anchor_distances": """
-        SELECT client_id, anchor_id, round(dist, 9) AS dist FROM all_pairs
+        SELECT client_id, anchor_id, dist FROM all_pairs
         WHERE anchor_id IN (SELECT client_id FROM patients
                             ORDER BY md5(client_id::VARCHAR), client_id LIMIT 64)""",
     "distance_histogram": """

@@ -352,6 +352,13 @@ def _profile(spark: SparkSession, folder: str) -> DataFrame:
     return pf.profile_matrix(_patients(spark, folder))
 
 
+def _minutes(spark: SparkSession, folder: str) -> DataFrame:
+    """Profile vectors in whole minutes: the distance has no unit, and sums are exact."""
+    patients = _patients(spark, folder)
+    columns = [fc.named(f"mins_{d}").alias(d) for d in pf.profile_dims(patients)]
+    return pf.as_vector(patients.select("client_id", *columns))
+
+
 @query
 def profile_long(spark: SparkSession, folder: str) -> DataFrame:
     return pf.to_long(_profile(spark, folder))
@@ -392,13 +399,12 @@ def rescale_minus_one(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def anchor_distances(spark: SparkSession, folder: str) -> DataFrame:
-    found = ds.anchor_distances(pf.as_vector(_profile(spark, folder)), 64)
-    return found.withColumn("dist", F.round("dist", 9))
+    return ds.anchor_distances(_minutes(spark, folder), 64)
 
 
 @query
 def distance_histogram(spark: SparkSession, folder: str) -> DataFrame:
-    return ds.distance_histogram(pf.as_vector(_profile(spark, folder)))
+    return ds.distance_histogram(_minutes(spark, folder))
 
 
 # --- clusters that are given ------------------------------------------------------
