@@ -20,11 +20,6 @@ def half_even(column: Column, digits: int = 0) -> Column:
     return F.bround(column, digits)
 
 
-def null_last(*names: str) -> list[Column]:
-    """Comparable columns that sort ascending with missing values last."""
-    return [c for name in names for c in (F.col(name).isNull(), F.col(name))]
-
-
 def first_per_group(
     df: DataFrame, keys: list[str], order: list[str], keep: list[str]
 ) -> DataFrame:
@@ -33,8 +28,10 @@ def first_per_group(
     Written as a minimum over a struct, so every input partition sends at most
     one row per group and a very large group never meets in one task.
     """
-    flags = [F.col(c).isNull().alias(f"_null_{i}") for i, c in enumerate(order)]
-    ranked = [x for pair in zip(flags, [F.col(c).alias(f"_order_{i}") for i, c in enumerate(order)]) for x in pair]
+    ranked = []
+    for i, name in enumerate(order):
+        # A missing value sorts after all others.
+        ranked += [F.col(name).isNull().alias(f"_null_{i}"), F.col(name).alias(f"_order_{i}")]
     best = F.min(F.struct(*ranked, *[F.col(c) for c in keep])).alias("_best")
     return df.groupBy(*keys).agg(best).select(
         *keys, *[F.col(f"_best.{c}").alias(c) for c in keep]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortline.core.skew import lookup_join
 from cohortline.core.spec import CohortSpec
-from cohortline.functions.aggregates import first_per_group
+from cohortline.functions.aggregates import first_per_group, sum_or_zero
 from cohortline.functions.columns import move_first
 
 
@@ -85,7 +85,7 @@ def episode_costs(dbc: DataFrame, index: DataFrame, kind: str | None = None) ->
     closed = dbc.filter(F.col("date_stop").isNotNull()).select("client_id", "date_stop", "claimed")
     joined = lookup_join(closed, index.select("client_id", "dx_date"), "client_id")
     later = joined.filter(F.col("date_stop") > F.col("dx_date"))
-    return later.groupBy("client_id").agg(F.coalesce(F.sum("claimed"), F.lit(0.0)).alias("costs"))
+    return later.groupBy("client_id").agg(sum_or_zero(F.col("claimed")).alias("costs"))
 
 
 def attrition(

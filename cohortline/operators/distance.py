@@ -27,12 +27,19 @@ def _weighted_jaccard() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     def distances(a, b):
         import numpy as np
 
-        low = np.zeros((len(a), len(b)))
-        high = np.zeros((len(a), len(b)))
-        for j in range(a.shape[1]):
-            low += np.minimum.outer(a[:, j], b[:, j])
-            high += np.maximum.outer(a[:, j], b[:, j])
-        return 1.0 - np.divide(low, high, out=np.ones_like(low), where=high != 0)
+        found = np.empty((len(a), len(b)))
+        # Short slices stay in the processor cache.
+        for start in range(0, len(a), 128):
+            part = a[start : start + 128]
+            low = np.zeros((len(part), len(b)))
+            both = np.zeros((len(part), len(b)))
+            for j in range(a.shape[1]):
+                low += np.minimum.outer(part[:, j], b[:, j])
+                both += np.add.outer(part[:, j], b[:, j])
+            # Smaller and larger values add up to both.
+            share = np.divide(low, both - low, out=np.ones_like(low), where=both != low)
+            found[start : start + 128] = 1.0 - share
+        return found
 
     return distances
 

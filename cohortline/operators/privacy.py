@@ -9,7 +9,8 @@ def pseudonymise(df: DataFrame, keys: DataFrame, on_missing: str = "keep") -> Da
     """Put ``key`` in the place of ``client_id``.
 
     A client without a key keeps the row with a null id (``keep``), loses the
-    row (``drop``), or stops the job (``fail``).
+    row (``drop``), or stops the job (``fail``). Meant for tables with few rows
+    per client, such as patients and client-months.
     """
     if on_missing not in ("keep", "drop", "fail"):
         raise ValueError(f"on_missing must be keep, drop or fail, not {on_missing!r}")

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohortline.core.skew import lookup_join
+from cohortline.core.skew import measured
 from cohortline.core.spec import CohortSpec
 from cohortline.core.workspace import materialise
 from cohortline.functions.columns import named
@@ -73,8 +73,8 @@ def patient_months(study: Study) -> DataFrame:
 
 def case_bundle(tables: dict[str, DataFrame], clients: DataFrame) -> dict[str, DataFrame]:
     """All rows of the given clients from every table."""
-    ids = clients.select("client_id").distinct()
-    return {name: lookup_join(df, ids, "client_id", "left_semi") for name, df in tables.items()}
+    ids = measured(clients.select("client_id").distinct(), "client_id")
+    return {name: ids.join(df, "left_semi") for name, df in tables.items()}
 
 
 def demo_clients(clients: DataFrame, count: int = 10, seed: int = 0) -> DataFrame:

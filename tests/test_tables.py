@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import types as T
 
 from cohortline.functions.columns import numeric_minimum
 from cohortline.operators import postcode as pc
