@@ -45,13 +45,14 @@ def category_values(types: DataFrame, limit: int = 1000) -> list[str]:
 
 def event_timeline(
     interventions: DataFrame,
-    types: DataFrame,
+    types: DataFrame | None,
     index: DataFrame,
     spec: CohortSpec,
     derived: bool = False,
 ) -> DataFrame:
     """Additive event rows up to the end of follow-up, with period and category.
 
+    Without ``types`` no category is looked up, for summaries that need none.
     ``derived`` says that ``interventions`` is itself a result of joins. It is
     then stored first, if it has to be searched for frequent keys.
     """
@@ -64,15 +65,18 @@ def event_timeline(
         "intervention_type_id",
         "team_id",
     )
-    dates = measured(index.select("client_id", "dx_date"), "client_id")
-    categories = measured(
-        types.select("intervention_type_id", "description_cat"), "intervention_type_id"
-    )
-    if derived and not (dates.fits and categories.fits):
+    sides = [measured(index.select("client_id", "dx_date"), "client_id")]
+    if types is not None:
+        coded = types.select("intervention_type_id", "description_cat")
+        sides.append(measured(coded, "intervention_type_id"))
+    if derived and not all(side.fits for side in sides):
         read = materialise(read, "events")
-    events = dates.join(read).withColumn("day", F.datediff("date", "dx_date"))
+    events = sides[0].join(read).withColumn("day", F.datediff("date", "dx_date"))
     events = events.filter(F.col("day") <= spec.follow_up_days)
-    events = categories.join(events, "left", source=read)
+    if types is None:
+        events = events.withColumn("description_cat", F.lit(None).cast("string"))
+    else:
+        events = sides[1].join(events, "left", source=read)
 
     basic = F.coalesce(F.col("dbc_id") < 0, F.lit(False)).cast("long")
     direct, indirect = F.col("mins_direct_staff"), F.col("mins_indirect_staff")

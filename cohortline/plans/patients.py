@@ -32,10 +32,14 @@ def stored_cohort(care: CareTables, spec: CohortSpec) -> DataFrame:
     return materialise(index_cohort(care.dx, care.dx_codes, care.clients, spec), "cohort")
 
 
-def cohort_timeline(care: CareTables, cohort: DataFrame, spec: CohortSpec) -> DataFrame:
+def cohort_timeline(
+    care: CareTables, cohort: DataFrame, spec: CohortSpec, categories: bool = True
+) -> DataFrame:
+    """Events of the cohort on its clock; categories are looked up if wanted."""
     events = care.interventions_of(cohort.select("client_id"))
     derived = not isinstance(care.interventions, DataFrame)
-    return event_timeline(events, care.intervention_types, cohort, spec, derived)
+    types = care.intervention_types if categories else None
+    return event_timeline(events, types, cohort, spec, derived)
 
 
 def start_study(care: CareTables, spec: CohortSpec) -> Study:

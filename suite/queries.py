@@ -44,9 +44,9 @@ def _cohort(spark: SparkSession, folder: str) -> DataFrame:
     return pl.stored_cohort(b.care_tables(spark, folder), b.SPEC)
 
 
-def _timeline(spark: SparkSession, folder: str) -> DataFrame:
+def _timeline(spark: SparkSession, folder: str, categories: bool = True) -> DataFrame:
     care = b.care_tables(spark, folder)
-    return pl.cohort_timeline(care, pl.stored_cohort(care, b.SPEC), b.SPEC)
+    return pl.cohort_timeline(care, pl.stored_cohort(care, b.SPEC), b.SPEC, categories)
 
 
 def _categories(spark: SparkSession, folder: str) -> list[str]:
@@ -85,7 +85,7 @@ def index_cohort(spark: SparkSession, folder: str) -> DataFrame:
 def attrition(spark: SparkSession, folder: str) -> DataFrame:
     care = b.care_tables(spark, folder)
     index = materialise(co.index_event(care.dx, care.dx_codes, b.SPEC), "index")
-    follow_up = su.post_index_summary(pl.cohort_timeline(care, index, b.SPEC))
+    follow_up = su.post_index_summary(pl.cohort_timeline(care, index, b.SPEC, False))
     costs = co.episode_costs(care.dbc, index)
     return co.attrition(care.dx, care.dx_codes, care.clients, costs, follow_up, b.SPEC)
 
@@ -111,12 +111,12 @@ def compact_timeline(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def prior_care_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return su.prior_care_summary(_timeline(spark, folder))
+    return su.prior_care_summary(_timeline(spark, folder, False))
 
 
 @query
 def post_index_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return su.post_index_summary(_timeline(spark, folder))
+    return su.post_index_summary(_timeline(spark, folder, False))
 
 
 @query
@@ -141,7 +141,7 @@ def activity_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def client_month_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return su.client_month_summary(_timeline(spark, folder))
+    return su.client_month_summary(_timeline(spark, folder, False))
 
 
 @query
@@ -151,12 +151,12 @@ def client_month_features(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def team_minutes(spark: SparkSession, folder: str) -> DataFrame:
-    return su.team_minutes(_timeline(spark, folder))
+    return su.team_minutes(_timeline(spark, folder, False))
 
 
 @query
 def dominant_team(spark: SparkSession, folder: str) -> DataFrame:
-    return su.dominant_team(_timeline(spark, folder), b.teams(spark, folder))
+    return su.dominant_team(_timeline(spark, folder, False), b.teams(spark, folder))
 
 
 @query
@@ -319,7 +319,7 @@ def pseudonymise_patients(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def pseudonymise_months(spark: SparkSession, folder: str) -> DataFrame:
-    months = su.client_month_summary(_timeline(spark, folder))
+    months = su.client_month_summary(_timeline(spark, folder, False))
     return pr.pseudonymise(months, b.client_keys(spark, folder))
 
 

@@ -182,6 +182,30 @@ def test_large_sides_give_the_same_timeline(timeline, events, types, spark, rows
     assert rows(spread) == rows(timeline)
 
 
+def test_summaries_need_no_category(timeline, events, spark, rows):
+    index = spark.createDataFrame([(i, INDEX) for i in (1, 2, 3)], "client_id long, dx_date date")
+    bare = tl.event_timeline(events, None, index, SPEC)
+    for summary in (su.prior_care_summary, su.post_index_summary, su.client_month_summary, su.team_minutes):
+        assert rows(summary(bare)) == rows(summary(timeline))
+
+
+def test_any_category_name_can_be_a_column(spark, events, tmp_path):
+    from cohortline.core.workspace import materialise
+    from cohortline.operators import profile as pf
+
+    name = "Gesprek (kort), v.1;2 `x`"
+    odd = spark.createDataFrame([(1, name)], "intervention_type_id long, description_cat string")
+    index = spark.createDataFrame([(1, INDEX), (2, INDEX)], "client_id long, dx_date date")
+    table = su.client_overview(
+        tl.event_timeline(events, odd, index, SPEC), tl.category_values(odd)
+    )
+    stored = materialise(table, "odd")
+    column = f"mins_{name.lower()}"
+    assert column in stored.columns
+    long = pf.to_long(pf.profile_matrix(stored))
+    assert {r["dim"] for r in long.collect()} == {name.lower(), "<na>"}
+
+
 def test_windows_are_closed_and_separate(timeline):
     found = {(r["client_id"], r["day_first"]): r["period"] for r in timeline.collect()}
     assert found[1, -731] == "history" and found[1, -730] == "look_back"
