@@ -18,19 +18,21 @@ from pyspark.sql import DataFrame, functions as F
 from cohortline.core.workspace import materialise
 
 ANCHORS = 500
-BLOCK_ROWS = 2000
+BLOCK_ROWS = 10_000
+SLICE_ROWS = 128
 
 
 def _weighted_jaccard() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """The distance between the rows of two matrices, for use inside tasks."""
+    rows = SLICE_ROWS
 
     def distances(a, b):
         import numpy as np
 
         found = np.empty((len(a), len(b)))
         # Short slices stay in the processor cache.
-        for start in range(0, len(a), 128):
-            part = a[start : start + 128]
+        for start in range(0, len(a), rows):
+            part = a[start : start + rows]
             low = np.zeros((len(part), len(b)))
             both = np.zeros((len(part), len(b)))
             for j in range(a.shape[1]):
@@ -38,7 +40,7 @@ def _weighted_jaccard() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
                 both += np.add.outer(part[:, j], b[:, j])
             # Smaller and larger values add up to both.
             share = np.divide(low, both - low, out=np.ones_like(low), where=both != low)
-            found[start : start + 128] = 1.0 - share
+            found[start : start + rows] = 1.0 - share
         return found
 
     return distances
@@ -94,12 +96,14 @@ def in_blocks(
 ) -> DataFrame:
     """Apply ``compare`` to every pair of row blocks.
 
-    Rows are dealt to blocks of about ``block_rows`` by a hash of the unique
-    ``key``, so a task holds two blocks whatever the data look like. With n rows
-    this is n²/2 comparisons (n² with ``both_sides``) and n²/``block_rows`` rows
-    shuffled; meant for statistics over all pairs, not for the clustering path.
+    Rows are dealt to blocks of at most about ``block_rows`` by a hash of the
+    unique ``key``, so a task holds two blocks whatever the data look like; small
+    tables get enough blocks to use every core. With n rows this is n²/2
+    comparisons (n² with ``both_sides``), and every row is shuffled once per
+    block; meant for statistics over all pairs, not for the clustering path.
     """
-    blocks = max(1, math.ceil(df.count() / block_rows))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    blocks = max(math.ceil(df.count() / block_rows), math.ceil(math.sqrt(cores)))
     own = df.withColumn("_own", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
     last = F.lit(blocks - 1)
     first_of_left = F.lit(0) if both_sides else F.col("_own")
@@ -127,32 +131,27 @@ def distance_histogram(
     in the number of different profiles.
     """
     profiles = vectors.groupBy("x").agg(F.count(F.lit(1)).alias("copies"))
-    measure = _weighted_jaccard()
+    measure, slice_rows = _weighted_jaccard(), SLICE_ROWS
 
     def count_bins(key, left, right):
         import numpy as np
         import pandas as pd
 
         held = np.zeros(bins)
-        if len(left) and len(right):
-            found = measure(np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy()))
+        for start in range(0, len(left) if len(right) else 0, slice_rows):
+            part = left.iloc[start : start + slice_rows]
+            found = measure(np.stack(part["x"].to_numpy()), np.stack(right["x"].to_numpy()))
             slot = np.minimum(np.floor(np.round(found, 12) * bins), bins - 1).astype(int)
-            a, b = left["copies"].to_numpy(float), right["copies"].to_numpy(float)
+            a, b = part["copies"].to_numpy(float), right["copies"].to_numpy(float)
             pairs = np.multiply.outer(a, b)
             if key[0] == key[1]:
                 # Same block on both sides, maybe in another order: count halves.
-                same = found_same(left, right)
+                same = np.equal.outer(part["_row"].to_numpy(), right["_row"].to_numpy())
                 pairs = np.where(same, np.multiply.outer(a, b - 1), pairs) / 2
                 slot = np.where(same, 0, slot)
-            held = np.bincount(slot.ravel(), weights=pairs.ravel(), minlength=bins)
+            held += np.bincount(slot.ravel(), weights=pairs.ravel(), minlength=bins)
         return pd.DataFrame({"bin": np.arange(bins), "pairs": held.round().astype("int64")})
 
-    def found_same(left, right):
-        import numpy as np
-
-        a, b = left["_row"].to_numpy(), right["_row"].to_numpy()
-        return np.equal.outer(a, b)
-
     rows = materialise(profiles.withColumn("_row", F.md5(F.col("x").cast("string"))), "profiles")
     counted = in_blocks(rows, "_row", count_bins, "bin int, pairs long", block_rows)
     return counted.groupBy("bin").agg(F.sum("pairs").alias("pairs")).select(

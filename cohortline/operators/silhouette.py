@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortline.core.workspace import materialise
-from cohortline.operators.distance import BLOCK_ROWS, in_blocks
+from cohortline.operators.distance import BLOCK_ROWS, SLICE_ROWS, in_blocks
 
 MAX_LABELS = 10_000
 
@@ -92,6 +92,7 @@ def euclidean_silhouette(
     stored = materialise(df.select(key, label, vector), "silhouette")
     types = {f.name: f.dataType.simpleString() for f in stored.schema.fields}
     schema = f"{key} {types[key]}, {label} {types[label]}, other {types[label]}, total double"
+    slice_rows = SLICE_ROWS
 
     def sums(_, left, right):
         import numpy as np
@@ -101,12 +102,15 @@ def euclidean_silhouette(
             return pd.DataFrame({key: [], label: [], "other": [], "total": []})
         a = np.stack(left[vector].to_numpy()).astype(float)
         b = np.stack(right[vector].to_numpy()).astype(float)
-        squared = np.zeros((len(a), len(b)))
-        for j in range(a.shape[1]):
-            squared += np.subtract.outer(a[:, j], b[:, j]) ** 2
         codes, names = pd.factorize(right[label], sort=True)
         member = np.eye(len(names))[codes]
-        total = np.sqrt(squared) @ member
+        total = np.empty((len(a), len(names)))
+        for start in range(0, len(a), slice_rows):
+            part = a[start : start + slice_rows]
+            squared = np.zeros((len(part), len(b)))
+            for j in range(a.shape[1]):
+                squared += np.subtract.outer(part[:, j], b[:, j]) ** 2
+            total[start : start + slice_rows] = np.sqrt(squared) @ member
         return pd.DataFrame(
             {
                 key: np.repeat(left[key].to_numpy(), len(names)),

@@ -44,5 +44,7 @@ def build_extract(
     return {name: pseudonymise(df, keys, on_missing) for name, df in tables.items()}
 
 
-def write_extract(tables: dict[str, DataFrame], folder: str) -> None:
-    write_tables(tables, folder)
+def write_extract(tables: dict[str, DataFrame], folder: str, by_year: bool = False) -> None:
+    """Write the four tables; ``by_year`` lays the month tables out by year."""
+    months = [name for name, df in tables.items() if "year" in df.columns]
+    write_tables(tables, folder, {name: ["year"] for name in months} if by_year else None)

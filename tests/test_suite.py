@@ -48,7 +48,9 @@ def test_extract_holds_no_client_id_and_keeps_labels(spark, tmp_path):
         b.SPEC,
         ("date", "o_orderkey"),
     )
-    write_extract(tables, str(tmp_path))
+    write_extract(tables, str(tmp_path), by_year=True)
+    assert not (tmp_path / "patients" / "year=1997").exists()
+    assert any((tmp_path / "patient_months_interventions").glob("year=*"))
     back = read_tables(spark, str(tmp_path), list(tables))
     assert set(back) == {
         "patients",
