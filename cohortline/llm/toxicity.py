@@ -25,10 +25,11 @@ from cohortline.core.workspace import materialise
 from cohortline.llm.common import Cache, id_and_text, remainder
 from cohortline.llm.sampling import fit_sigmoid, labelled_sample, sigmoid
 
-#: Labelled rows per class, terms, least test statistic (p < 0.001) and odds ratio of a term.
-SAMPLE, TERMS, LEAST_TEST, LEAST_ODDS = 4000, 4096, 10.83, 4.0
+#: Labelled rows per class, terms, least test statistic (strict, as very many terms are
+#: tested) and least odds ratio of a term.
+SAMPLE, TERMS, LEAST_TEST, LEAST_ODDS = 4000, 4096, 30.0, 4.0
 NEIGHBOURS, BLOCK, WAVE = 25, 64, 8
-LEADS = (4, 5, 6)
+LEADS = (4, 5, 6, 7, 8)
 THRESHOLD, EVIDENCE = 0.7, 5
 _word = re.compile(r"\w+")
 
