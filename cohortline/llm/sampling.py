@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortline.core.workspace import materialise
-from cohortline.llm.common import id_and_text, quoted
+from cohortline.llm.common import id_and_text, local_roots, quoted
+from cohortline.llm.simhash import shingle_hashes
 
 #: A hash below ``share * SCALE`` is in the sample; one fold in ``FOLDS`` calibrates.
 SCALE, FOLDS = 1 << 40, 5
@@ -46,6 +50,45 @@ def labelled_sample(
     return read, {value: counts[value] / n for value, n in got.items()}
 
 
+#: Min-hashes of a document; those with an equal consecutive pair are one family.
+FAMILY_HASHES = 20
+
+
+def one_per_family(sample: DataFrame) -> DataFrame:
+    """One row of each family of near copies in a bounded sample (the one of smallest id).
+
+    Copies of one document would otherwise pass for independent evidence. Rows are in a family if
+    min-hashes of their three-word runs agree in a pair; texts without words stay apart.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odd = np.random.default_rng(1).integers(1 << 62, size=FAMILY_HASHES, dtype=np.uint64) * 2 + 1
+        for batch in batches:
+            signs = []
+            for text in batch.column("text").to_pylist():
+                hashes = np.array(shingle_hashes(text), np.uint64)
+                low = [(hashes * a).min() for a in odd] if len(hashes) else []
+                signs.append(np.array(low, np.uint64).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(signs, pa.binary())], names=["doc_id", "sign"]
+            )
+
+    table = sample.select("doc_id", "text").mapInArrow(run, "doc_id long, sign binary").toArrow()
+    ids = table.column("doc_id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    ids, signs = ids[order], [table.column("sign")[int(i)].as_py() for i in order]
+    a, b, seen = [], [], {}
+    for i, sign in enumerate(signs):
+        for band in range(0, len(sign), 16):
+            first = seen.setdefault((band, sign[band : band + 16]), i)
+            a.append(first)
+            b.append(i)
+    root = local_roots(len(ids), np.array(a, np.int64), np.array(b, np.int64))
+    leads = [(int(ids[i]),) for i in np.unique(root)]
+    listed = sample.sparkSession.createDataFrame(leads, "doc_id long").distinct()
+    return materialise(sample.join(F.broadcast(listed), "doc_id"), "families")
+
+
 def fit_sigmoid(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic curve through weighted scores (Platt's targets)."""
     n1, n0 = (label == 1).sum(), (label == 0).sum()

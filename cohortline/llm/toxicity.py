@@ -1,7 +1,7 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and leading parts of words. From a bounded sample of labelled rows those
-are kept that tell the classes apart (likelihood ratio test and odds ratio); their document
+Terms are words and leading parts of words. From a bounded sample of labelled rows (one
+of each family of near copies) those are kept that tell the classes apart (likelihood ratio test and odds ratio); their document
 frequencies are then counted over all documents. Examples sit in an inverted index whose
 postings are cut into blocks of examples with the largest weight of each. A query adds up
 these maxima, visits blocks from the highest sum down, and stops when no further block can
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortline.core.workspace import materialise
 from cohortline.llm.common import Cache, id_and_text, remainder
-from cohortline.llm.sampling import fit_sigmoid, labelled_sample, sigmoid
+from cohortline.llm.sampling import fit_sigmoid, labelled_sample, one_per_family, sigmoid
 
 #: Labelled rows per class, terms, least test statistic (strict, as very many terms are
 #: tested) and least odds ratio of a term.
@@ -238,6 +238,7 @@ def classify(
     """
     part = remainder(F.col("doc_id"), modulus)
     sample, stands_for = labelled_sample(docs, labels, "toxic", part != held, bound)
+    sample = one_per_family(sample)
     terms = choose_terms(sample)
     read = id_and_text(docs).withColumn("held_out", F.coalesce(part == held, F.lit(False)))
     vectors = materialise(term_counts(read, terms, ["doc_id", "held_out"]), "term-counts")
