@@ -20,12 +20,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from cohortline.llm.common import Cache, id_and_text
+from cohortline.llm.common import Cache, id_and_text, slices
 from cohortline.llm.pretokens import chunks
 
 #: Longest leaf in bytes, first window in ids on either side, ids concatenated at once.
 LEAF, WINDOW, DECODED = 16, 2, 4096
-REMEMBERED = 300_000
+#: Pieces of text whose ids a worker remembers, per kind and generation.
+REMEMBERED = 150_000
 
 
 class Encoder:
@@ -116,7 +117,7 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks_path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [own.encode(text) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"]
@@ -131,7 +132,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks_path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [x or b"" for x in batch.column("ids").to_pylist()]
             back = [own.decode(x) for x in ids]
             columns = [

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: A side of a join is broadcast up to this many rows of fixed width, else shuffled.
@@ -36,6 +37,13 @@ def join_small(big: DataFrame, side: DataFrame, key: str, how: str = "inner") ->
     return big.join(side, key, how)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that results of long texts don't pile up."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 class Cache(dict):
     """``compute(key)`` for every key asked for, with two bounded generations.
 
