@@ -14,6 +14,8 @@ salt, and identical copies of one row still spread.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -27,9 +29,18 @@ def _column_bytes(field: T.StructField) -> Column:
     column = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.StringType, T.BinaryType)):
         return F.coalesce(F.octet_length(column), F.lit(0)) + F.lit(16)
-    if isinstance(field.dataType, T.ArrayType):
-        return F.greatest(F.size(column), F.lit(0)) * F.lit(16) + F.lit(16)
-    return F.lit(16)
+    if isinstance(field.dataType, T.ArrayType) and _fixed(field.dataType.elementType):
+        return F.coalesce(F.greatest(F.size(column), F.lit(0)), F.lit(0)) * F.lit(16) + F.lit(16)
+    if _fixed(field.dataType):
+        return F.lit(16)
+    # Arrays of strings, maps and structs: their text is about as long as their content.
+    written = F.octet_length(F.to_json(F.struct(column)))
+    return F.coalesce(written, F.lit(0)) * F.lit(4) + F.lit(64)
+
+
+def _fixed(kind: T.DataType) -> bool:
+    """Whether every value of the type has the same small size."""
+    return isinstance(kind, (T.NumericType, T.BooleanType, T.DatetimeType, T.NullType))
 
 
 def table_bytes(df: DataFrame) -> int:
@@ -91,7 +102,7 @@ class Lookup:
     """A side of a join, measured once."""
 
     table: DataFrame
-    key: str
+    key: str | list[str]
     fits: bool
 
     def join(
@@ -104,11 +115,17 @@ class Lookup:
         """
         if self.fits:
             return fact.join(F.broadcast(self.table), self.key, how)
+        if not isinstance(self.key, str):
+            # One text key that tells all values apart; no match for a null, as in a join.
+            known = reduce(and_, (F.col(k).isNotNull() for k in self.key))
+            packed = F.when(known, F.to_json(F.struct(*self.key)))
+            side = self.table.withColumn("_key", packed).drop(*self.key)
+            return Lookup(side, "_key", False).join(fact.withColumn("_key", packed), how).drop("_key")
         hot = frequent_keys(fact if source is None else source, self.key)
         return spread_join(fact, self.table, self.key, how, hot)
 
 
-def measured(side: DataFrame, key: str, max_bytes: int | None = None) -> Lookup:
+def measured(side: DataFrame, key: str | list[str], max_bytes: int | None = None) -> Lookup:
     """Measure a side and decide whether it may be broadcast."""
     bound = BROADCAST_BYTES if max_bytes is None else max_bytes
     return Lookup(side, key, table_bytes(side) <= bound)
@@ -117,7 +134,7 @@ def measured(side: DataFrame, key: str, max_bytes: int | None = None) -> Lookup:
 def lookup_join(
     fact: DataFrame,
     side: DataFrame,
-    key: str,
+    key: str | list[str],
     how: str = "inner",
     max_bytes: int | None = None,
 ) -> DataFrame:

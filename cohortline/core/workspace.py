@@ -7,8 +7,11 @@ survives the loss of executors, and gives the planner real file sizes.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +26,7 @@ def scratch_dir(spark: SparkSession) -> str:
         return named
     if context.getCheckpointDir():
         return context.getCheckpointDir()
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError(
             "spark.checkpoint.dir is not set: name a folder all executors can reach"
         )
@@ -31,8 +34,31 @@ def scratch_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables stored inside the block when it ends.
+
+    Results must be written before that: a DataFrame that reads a removed table fails.
+    """
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the scratch folder and return the stored table."""
     path = f"{scratch_dir(df.sparkSession)}/cohortline/{name}-{uuid.uuid4().hex}"
+    for paths in _scopes:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

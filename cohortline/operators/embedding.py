@@ -29,6 +29,8 @@ class Landmarks:
 
 def fit_landmarks(rows: np.ndarray, k: int) -> Landmarks:
     """Solve classical scaling for the landmark rows (a few hundred)."""
+    if not len(rows):
+        return Landmarks(rows, np.zeros(0), np.zeros(0), np.zeros((0, 0)))
     squared = weighted_jaccard(rows, rows) ** 2
     by_column = squared.mean(axis=0)
     centred = -0.5 * (squared - by_column[None, :] - by_column[:, None] + by_column.mean())

@@ -80,13 +80,13 @@ def select_extents(
 ) -> DataFrame:
     """Extents by position (``which``), or those that hold a row position (``x``)."""
     if which is not None and x is not None:
-        raise ValueError("specify exactly one of 'which' and 'x'")
+        raise ValueError("pick clusters by their position (which) or by a row they hold (x), not both")
     if x is not None:
         # Position p holds x when the rows before it end strictly below x.
         held = [(F.col("first") - 1 < v) & (F.col("last") >= v) for v in x]
         last = extents.agg(F.max("last")).first()[0]
         if any(v <= 0 or v > last for v in x):
-            raise ValueError(f"all elements of 'x' must be above 0 and at most {last}")
+            raise ValueError(f"row positions x run from above 0 to {last}")
         test = held[0]
         for other in held[1:]:
             test = test | other
@@ -95,7 +95,7 @@ def select_extents(
         return extents
     count = extents.count()
     if any(not 1 <= w <= count for w in which):
-        raise ValueError(f"all elements of 'which' must be between 1 and {count}")
+        raise ValueError(f"cluster positions run from 1 to {count}")
     return extents.filter(F.col("position").isin(which))
 
 

@@ -15,8 +15,6 @@ from pyspark.sql import DataFrame, functions as F
 from cohortline.core.skew import lookup_join
 from cohortline.operators.slots import month_of
 
-INSTRUMENTS = ("bsi", "ids_sr", "madrs", "phq9", "sq48", "oq45", "honos")
-
 
 def raw_scores(items: DataFrame, rules: DataFrame) -> DataFrame:
     """Answered items and raw score per client, date and instrument.
@@ -24,18 +22,12 @@ def raw_scores(items: DataFrame, rules: DataFrame) -> DataFrame:
     ``items`` is long: (client_id, date, rom, item, answer). All instruments are
     scored in one aggregate.
     """
-    keyed = items.withColumn("_rule", F.concat_ws("/", "rom", F.col("item").cast("string")))
-    by_item = rules.select(
-        F.concat_ws("/", "rom", F.col("item").cast("string")).alias("_rule"),
-        "weight",
-        "reverse",
-        "top",
-    )
+    by_item = rules.select("rom", "item", "weight", "reverse", "top")
     points = F.col("weight") * F.when(
         F.col("reverse"), F.col("top") - F.col("answer")
     ).otherwise(F.col("answer"))
     return (
-        lookup_join(keyed, by_item, "_rule")
+        lookup_join(items, by_item, ["rom", "item"])
         .groupBy("client_id", "date", "rom")
         .agg(F.count("answer").alias("answered"), F.sum(points).alias("raw"))
     )

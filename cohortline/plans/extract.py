@@ -45,6 +45,11 @@ def build_extract(
 
 
 def write_extract(tables: dict[str, DataFrame], folder: str, by_year: bool = False) -> None:
-    """Write the four tables; ``by_year`` lays the month tables out by year."""
+    """Write the four tables, in order within each file; ``by_year`` lays months out by year."""
     months = [name for name, df in tables.items() if "year" in df.columns]
+    order = ("client_id", "year", "month")
+    tables = {
+        name: df.sortWithinPartitions(*(c for c in order if c in df.columns))
+        for name, df in tables.items()
+    }
     write_tables(tables, folder, {name: ["year"] for name in months} if by_year else None)

@@ -337,15 +337,9 @@ def pseudonymise_diagnoses(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- profiles and distances -----------------------------------------------------
 
-_STORED: dict[tuple[str, str], DataFrame] = {}
-
-
 def _patients(spark: SparkSession, folder: str) -> DataFrame:
-    """The stored patient table: the steps from here on start from a saved file."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _STORED:
-        _STORED[key] = materialise(pl.assemble_patients(_study(spark, folder)), "patients")
-    return _STORED[key]
+    """The patient table, built anew by every query that starts from it."""
+    return materialise(pl.assemble_patients(_study(spark, folder)), "patients")
 
 
 def _profile(spark: SparkSession, folder: str) -> DataFrame:

@@ -111,3 +111,23 @@ def test_the_folder_named_by_the_cluster_is_used():
     session = Session()
     session.conf = Conf({"spark.checkpoint.dir": "hdfs://shared/tmp"})
     assert workspace.scratch_dir(session) == "hdfs://shared/tmp"
+
+
+def test_nested_columns_are_measured(spark):
+    from cohortline.core.skew import table_bytes
+
+    text = "x" * 1000
+    rows = [(i, [text, text], {"a": text}, (text, i)) for i in range(50)]
+    schema = "k int, a array<string>, m map<string,string>, s struct<t:string,i:int>"
+    assert table_bytes(spark.createDataFrame(rows, schema)) > 50 * 4000
+
+
+def test_join_on_several_keys(spark, rows):
+    from cohortline.core.skew import lookup_join
+
+    fact = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", None, 3), (None, 1, 4)], "r string, i int, n int")
+    side = spark.createDataFrame([("a", 1, 10), ("b", 1, 20)], "r string, i int, w int")
+    for how in ("inner", "left"):
+        wide = rows(lookup_join(fact, side, ["r", "i"], how), "r", "i", "n", "w")
+        assert wide == rows(lookup_join(fact, side, ["r", "i"], how, max_bytes=0), "r", "i", "n", "w")
+        assert wide == rows(fact.join(side, ["r", "i"], how), "r", "i", "n", "w")

@@ -1,3 +1,5 @@
+import pathlib
+
 import pytest
 
 from suite.compare import database, difference
@@ -33,22 +35,27 @@ def test_entry_points(spark):
 
 
 def test_extract_holds_no_client_id_and_keeps_labels(spark, tmp_path):
-    from cohortline.core.workspace import materialise
+    from cohortline.core.workspace import materialise, scratch_dir, scratch_scope
     from cohortline.operators.postcode import postcode_dimension
     from cohortline.plans.extract import build_extract, write_extract
     from cohortline.sources.tables import read_tables
     from suite import bindings as b
 
-    postcode = postcode_dimension(b.postcode_statistics(spark, FOLDER), b.liveability(spark, FOLDER))
-    tables = build_extract(
-        b.care_tables(spark, FOLDER),
-        b.scores(spark, FOLDER),
-        materialise(postcode, "postcode"),
-        b.client_keys(spark, FOLDER),
-        b.SPEC,
-        ("date", "o_orderkey"),
-    )
-    write_extract(tables, str(tmp_path), by_year=True)
+    stored = pathlib.Path(scratch_dir(spark).removeprefix("file:")) / "cohortline"
+    before = set(stored.glob("*"))
+    with scratch_scope(spark):
+        postcode = postcode_dimension(b.postcode_statistics(spark, FOLDER), b.liveability(spark, FOLDER))
+        tables = build_extract(
+            b.care_tables(spark, FOLDER),
+            b.scores(spark, FOLDER),
+            materialise(postcode, "postcode"),
+            b.client_keys(spark, FOLDER),
+            b.SPEC,
+            ("date", "o_orderkey"),
+        )
+        write_extract(tables, str(tmp_path), by_year=True)
+        assert set(stored.glob("*")) > before
+    assert set(stored.glob("*")) == before
     assert not (tmp_path / "patients" / "year=1997").exists()
     assert any((tmp_path / "patient_months_interventions").glob("year=*"))
     back = read_tables(spark, str(tmp_path), list(tables))
