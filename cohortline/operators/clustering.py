@@ -1,8 +1,11 @@
 """Patients in clusters: micro-clusters on Spark, a Ward tree over them.
 
-Rows are first reduced to at most ``micro`` points. With no more distinct
-coordinates than that, the points are the coordinates themselves and the tree is
-exact; beyond, the points are k-means centres and the tree is an approximation.
+Rows are first reduced to at most ``micro`` points by one method at every size: the
+distinct coordinates of smallest hash start as centres, and a fixed number of steps
+assigns all coordinates and averages them. Coordinates count in whole steps of ``1 / GRID``,
+so that distances and sums are exact in any order: the points depend neither on how rows
+are laid out nor on how they are batched. If there are no more coordinates than points, each is
+its own centre and the tree is that of the full data.
 """
 
 from __future__ import annotations
@@ -12,14 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
+from cohortline.core.workspace import materialise
 from cohortline.operators.linkage import Tree, euclidean, labels_at, leaf_order, ward_tree
 from cohortline.operators.silhouette import vector_sums
 
-MICRO = 2000
+MICRO, STEPS = 2000, 5
+#: Steps of a coordinate's unit. Coordinates of distances up to 1 stay exact in doubles.
+GRID = 1 << 20
 COARSE, FINE = 3, 9
 
 
@@ -33,24 +37,53 @@ class Micro:
     exact: bool
 
 
-def fit_micro(coordinates: DataFrame, micro: int = MICRO, seed: int = 1) -> Micro:
+def fit_micro(coordinates: DataFrame, micro: int = MICRO, steps: int = STEPS) -> Micro:
     """Reduce stored coordinates to at most ``micro`` points and build their tree."""
-    distinct = coordinates.groupBy("x").agg(F.count(F.lit(1)).alias("rows"))
-    found = distinct.limit(micro + 1).collect()
-    exact = len(found) <= micro
-    if exact:
-        found.sort(key=lambda row: row["x"])
-        points = np.array([row["x"] for row in found], dtype=float)
-        sizes = np.array([row["rows"] for row in found], dtype=float)
-    else:
-        vectors = coordinates.select(array_to_vector("x").alias("features"))
-        model = KMeans(k=micro, seed=seed).fit(vectors)
-        points = np.array(model.clusterCenters())
-        sizes = np.array(model.summary.clusterSizes, dtype=float)
-        points, sizes = points[sizes > 0], sizes[sizes > 0]
+    whole = F.transform("x", lambda v: F.round(v * GRID).cast("long"))
+    distinct = coordinates.select(whole.alias("q")).groupBy("q").agg(F.count("*").alias("rows"))
+    distinct = materialise(distinct, "distinct-coordinates")
+    start = distinct.orderBy(F.xxhash64("q"), "q").limit(micro).collect()
+    centres = np.array([row["q"] for row in start], dtype=float).reshape(len(start), -1)
+    centres = np.unique(centres, axis=0) if centres.shape[1] else centres
+    for _ in range(steps if centres.shape[1] else 0):
+        held = _averaged(distinct, centres)
+        moved = np.array([[round(s / r["rows"]) for s in r["sums"]] for r in held], dtype=float)
+        if len(moved) == len(centres) and (moved == centres).all():
+            break
+        centres = np.unique(moved, axis=0)
+    held = _averaged(distinct, centres)
+    points = centres[[r["centre"] for r in held]] / GRID
+    sizes = np.array([r["rows"] for r in held], dtype=float)
+    exact = distinct.count() <= micro
     return Micro(points, sizes, ward_tree(euclidean(points), sizes), exact)
 
 
+def _averaged(distinct: DataFrame, centres: np.ndarray) -> list:
+    """Rows and coordinate sums of each centre that is nearest to any; one row a centre."""
+    dims = centres.shape[1]
+    if not dims:
+        rows = distinct.agg(F.sum("rows")).first()[0]
+        return [Row(centre=0, rows=rows, sums=[])] if rows else []
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+        import pandas as pd
+
+        norms = (centres**2).sum(axis=1)
+        for batch in batches:
+            for first in range(0, len(batch), 1000):
+                part = batch.iloc[first : first + 1000]
+                q = np.stack(part["q"].to_numpy()).astype(float)
+                # Whole numbers below 2**53 throughout, so ties are exact: the first centre wins.
+                centre = (norms - 2 * (q @ centres.T)).argmin(axis=1)
+                yield pd.DataFrame({"centre": centre, "q": part["q"], "rows": part["rows"]})
+
+    placed = distinct.mapInPandas(nearest, "centre int, q array<long>, rows long")
+    sums = F.array(*[F.sum(F.col("q")[i] * F.col("rows")) for i in range(dims)])
+    held = placed.groupBy("centre").agg(F.sum("rows").alias("rows"), sums.alias("sums"))
+    return sorted(held.collect(), key=lambda r: r["centre"])
+
+
 def assign(coordinates: DataFrame, fitted: Micro, cuts: dict[str, int]) -> DataFrame:
     """Coordinates with the nearest point, its distance, and one label per cut.
 
