@@ -24,7 +24,7 @@ from cohortline.llm.common import id_and_text
 PRIMES, BASES = (2147483647, 2147483629), (911382323, 972663749)
 SPAN, SLOTS = 12, 128
 #: Text bytes that one task walks through in order, about.
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
