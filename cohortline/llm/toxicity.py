@@ -1,6 +1,7 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and leading parts of words. From a bounded sample of labelled rows (one
+Terms are words and leading parts of words; a leading part found repeatedly in a text is a
+further term, since cosines forget how much of a text its terms are. From a bounded sample of labelled rows (one
 of each family of near copies) those are kept that tell the classes apart (likelihood ratio test and odds ratio); their document
 frequencies are then counted over all documents. Examples sit in an inverted index whose
 postings are cut into blocks of examples with the largest weight of each. A query adds up
@@ -30,6 +31,8 @@ from cohortline.llm.sampling import fit_sigmoid, labelled_sample, one_per_family
 SAMPLE, TERMS, LEAST_TEST, LEAST_ODDS = 4000, 4096, 30.0, 4.0
 NEIGHBOURS, BLOCK, WAVE = 25, 64, 8
 LEADS = (4, 5, 6, 7, 8)
+#: A leading part that occurs at least so often in a text is a term of its own.
+LEVELS = (2, 3)
 THRESHOLD, EVIDENCE = 0.7, 5
 _word = re.compile(r"\w+")
 
@@ -43,6 +46,20 @@ def terms_of(chunk: str) -> list[str]:
     return found
 
 
+def with_levels(counts: Counter) -> Iterator[str]:
+    """The terms counted in a text, and those that stand for repeated leading parts."""
+    for term, count in counts.items():
+        yield term
+        if term.endswith("*"):
+            yield from (f"{term}{least}" for least in LEVELS if count >= least)
+
+
+def counted_term(term: str) -> tuple[str, int]:
+    """The term whose occurrences decide on ``term``, and the least number of them."""
+    part, star, least = term.partition("*")
+    return part + star, int(least or 1)
+
+
 class BlockMaxIndex:
     """Inverted index with the largest weight of every block of examples."""
 
@@ -139,10 +156,11 @@ def choose_terms(sample: DataFrame, limit: int = TERMS) -> list[str]:
         return []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = (Counter(), Counter())
+        counts, known = (Counter(), Counter()), Cache(terms_of)
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                counts[label].update({t for c in set(text.split()) for t in terms_of(c)})
+                held = Counter(t for chunk in text.split() for t in known[chunk])
+                counts[label].update(with_levels(held))
         for label in (0, 1):
             columns = [pa.array(counts[label].keys(), pa.string()), pa.array(counts[label].values(), pa.int64())]
             side = pa.array([label] * len(counts[label]), pa.int32())
@@ -171,17 +189,23 @@ def choose_terms(sample: DataFrame, limit: int = TERMS) -> list[str]:
 
 def term_counts(docs: DataFrame, terms: list[str], keep: list[str]) -> DataFrame:
     """Columns ``keep`` with the chosen ``terms`` of the whole text and their ``counts``."""
-    sent = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    deciding: dict[str, list[tuple[int, int]]] = {}
+    for number, term in enumerate(terms):
+        part, least = counted_term(term)
+        deciding.setdefault(part, []).append((least, number))
+    vocabulary = {part: place for place, part in enumerate(deciding)}
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, list(deciding.values())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = sent.value
+        vocabulary, levels = sent.value
         known = Cache(lambda c: tuple(vocabulary[t] for t in terms_of(c) if t in vocabulary))
         for batch in batches:
             found, counts = [], []
             for text in batch.column("text").to_pylist():
                 held = Counter(t for chunk in filter(None, map(known.__getitem__, text.split())) for t in chunk)
-                found.append(sorted(held))
-                counts.append([held[t] for t in found[-1]])
+                pairs = sorted((number, n) for t, n in held.items() for least, number in levels[t] if n >= least)
+                found.append([number for number, _ in pairs])
+                counts.append([n for _, n in pairs])
             columns = [batch.column(name) for name in keep]
             columns += [pa.array(found, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "terms", "counts"])

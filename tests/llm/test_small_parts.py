@@ -284,6 +284,22 @@ def test_empty_index():
     assert len(toxicity.BlockMaxIndex([]).nearest(np.array([1]), np.array([1.0]), 3)[0]) == 0
 
 
+def test_repeated_leading_parts_are_terms():
+    from collections import Counter
+
+    held = Counter({"vile*": 3, "vilefolk": 3, "grim*": 1})
+    assert sorted(toxicity.with_levels(held)) == ["grim*", "vile*", "vile*2", "vile*3", "vilefolk"]
+    assert [toxicity.counted_term(t) for t in ("vile*2", "vile*", "vile")] == [("vile*", 2), ("vile*", 1), ("vile", 1)]
+
+
+def test_counts_of_levels(spark):
+    docs = spark.createDataFrame([(1, "Vilefolk vileness grimy"), (2, "vilefolk"), (3, "")], "doc_id long, text string")
+    found = toxicity.term_counts(docs, ["vile*2", "grimy", "vile*"], ["doc_id"]).collect()
+    assert {r["doc_id"]: (r["terms"], r["counts"]) for r in found} == {
+        1: ([0, 1, 2], [2, 1, 2]), 2: ([2], [1]), 3: ([], []),
+    }
+
+
 def test_bucket_codes_differ_by_table():
     unit = embeddings.unit_rows(np.random.default_rng(0).normal(size=(50, 24)))
     codes = embeddings.bucket_codes(unit, 3, 2, 2)
