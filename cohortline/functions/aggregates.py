@@ -21,18 +21,27 @@ def half_even(column: Column, digits: int = 0) -> Column:
 
 
 def first_per_group(
-    df: DataFrame, keys: list[str], order: list[str], keep: list[str]
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    keep: list[str],
+    where: Column | None = None,
+    also: dict[str, Column] | None = None,
 ) -> DataFrame:
     """The first row of each group by ``order``; ``keep`` breaks remaining ties.
 
     Written as a minimum over a struct, so every input partition sends at most
-    one row per group and a very large group never meets in one task.
+    one row per group and a very large group never meets in one task. Only rows
+    that satisfy ``where`` can be first (none: missing values), and ``also`` names
+    aggregates over all rows of the group, from the same pass.
     """
     ranked = []
     for i, name in enumerate(order):
         # A missing value sorts after all others.
         ranked += [F.col(name).isNull().alias(f"_null_{i}"), F.col(name).alias(f"_order_{i}")]
-    best = F.min(F.struct(*ranked, *[F.col(c) for c in keep])).alias("_best")
-    return df.groupBy(*keys).agg(best).select(
-        *keys, *[F.col(f"_best.{c}").alias(c) for c in keep]
+    row = F.struct(*ranked, *[F.col(c) for c in keep])
+    best = F.min(row if where is None else F.when(where, row)).alias("_best")
+    more = also or {}
+    return df.groupBy(*keys).agg(best, *[c.alias(name) for name, c in more.items()]).select(
+        *keys, *[F.col(f"_best.{c}").alias(c) for c in keep], *more
     )

@@ -99,16 +99,23 @@ def attrition(
     """Rows left after each narrowing step: (step, name, remaining).
 
     ``costs`` and ``follow_up`` hold one row per client; ``follow_up`` carries
-    ``days``, ``n`` and ``mins``. Every table is aggregated once.
+    ``days``, ``n`` and ``mins``; ``clients`` has one row per client too. The
+    diagnoses are read once: rows and first diagnoses come from one aggregate.
     """
-    in_phase = F.col("phase").isin(*spec.phases)
-    in_years = in_phase & (F.col("date") >= F.lit(dt.date(spec.first_year, 1, 1)))
-    rows = dx.agg(F.count_if(in_phase).alias("in_phase"), F.count_if(in_years).alias("in_years"))
+    in_years = F.col("date") >= F.lit(dt.date(spec.first_year, 1, 1))
+    seen = first_per_group(
+        dx.filter(F.col("phase").isin(*spec.phases)),
+        ["client_id"],
+        ["date", *spec.tie_break],
+        ["ax_1_1", "date"],
+        where=in_years,
+        also={"_in_phase": F.count(F.lit(1)), "_in_years": F.count_if(in_years)},
+    ).withColumnsRenamed({"ax_1_1": "dx", "date": "dx_date"})
 
     targets = target_codes(dx_codes, spec.code_pattern).select(
         F.col("dx_code").alias("dx"), F.lit(True).alias("_target")
     )
-    people = lookup_join(first_diagnosis(dx, spec), targets, "dx", "left")
+    people = lookup_join(seen, targets, "dx", "left")
     people = (
         people.join(client_attributes(clients), "client_id", "left")
         .join(costs.select("client_id", F.lit(True).alias("_costs")), "client_id", "left")
@@ -120,7 +127,7 @@ def attrition(
         & (F.col("mins") >= spec.min_minutes)
     )
     tests = {
-        "first_diagnosis": F.lit(True),
+        "first_diagnosis": F.col("_in_years") > 0,
         "target_code": F.col("_target").isNotNull(),
         "followed_up": followed_up(spec),
         "enrolled": enrolled_by_index(),
@@ -128,20 +135,18 @@ def attrition(
         "care_after_index": F.col("n").isNotNull(),
         "enough_care": served,
     }
-    passed, counts = F.lit(True), []
+    passed = F.lit(True)
+    counts = [sum_or_zero(F.col(f"_{n}")).alias(n) for n in ("in_phase", "in_years")]
     for name, test in tests.items():
         passed = passed & test
         counts.append(F.count_if(passed).alias(name))
-    remaining = people.agg(*counts)
-    return _as_steps(rows, ["in_phase", "in_years"], 1).unionByName(
-        _as_steps(remaining, list(tests), 3)
-    )
+    return _as_steps(people.agg(*counts), ["in_phase", "in_years", *tests])
 
 
-def _as_steps(one_row: DataFrame, names: list[str], start: int) -> DataFrame:
+def _as_steps(one_row: DataFrame, names: list[str]) -> DataFrame:
     """Turn the columns of a one-row table into (step, name, remaining) rows."""
     steps = [
-        F.struct(F.lit(start + i).alias("step"), F.lit(n).alias("name"), F.col(n).alias("remaining"))
-        for i, n in enumerate(names)
+        F.struct(F.lit(i).alias("step"), F.lit(n).alias("name"), F.col(n).alias("remaining"))
+        for i, n in enumerate(names, 1)
     ]
     return one_row.select(F.inline(F.array(*steps)))

@@ -9,7 +9,13 @@ from cohortline.core.workspace import materialise
 from cohortline.operators.postcode import enrich_by_postcode
 from cohortline.operators.privacy import pseudonymise
 from cohortline.operators.slots import diagnosis_months_wide, score_months_wide
-from cohortline.plans.patients import assemble_patients, case_bundle, patient_months, start_study
+from cohortline.plans.patients import (
+    Study,
+    assemble_patients,
+    case_bundle,
+    patient_months,
+    start_study,
+)
 from cohortline.plans.trajectories import patients_with_clusters
 from cohortline.sources.roles import CareTables
 from cohortline.sources.tables import write_tables
@@ -34,14 +40,20 @@ def build_extract(
     study = start_study(care, spec)
     selected = materialise(assemble_patients(study), "patients")
     patients = enrich_by_postcode(patients_with_clusters(selected, **clustering), postcode)
-    bundle = case_bundle({"scores": scores, "dx": care.dx}, selected)
-    tables = {
-        "patients": patients,
+    tables = {"patients": patients} | month_tables(study, selected, scores, diagnosis_order)
+    return {name: pseudonymise(df, keys, on_missing) for name, df in tables.items()}
+
+
+def month_tables(
+    study: Study, selected: DataFrame, scores: DataFrame, diagnosis_order: tuple[str, ...]
+) -> dict[str, DataFrame]:
+    """The three month tables by name, still with client ids."""
+    bundle = case_bundle({"scores": scores, "dx": study.care.dx}, selected)
+    return {
         "patient_months_interventions": patient_months(study),
         "patient_months_diagnoses": diagnosis_months_wide(bundle["dx"], diagnosis_order),
         "patient_months_romscores": score_months_wide(bundle["scores"]),
     }
-    return {name: pseudonymise(df, keys, on_missing) for name, df in tables.items()}
 
 
 def write_extract(tables: dict[str, DataFrame], folder: str, by_year: bool = False) -> None:

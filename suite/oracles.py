@@ -157,6 +157,12 @@ def sql(select: str) -> str:
 
 ORACLES: dict[str, str] = {
     "target_codes": "SELECT dx_code FROM codes WHERE regexp_matches(dx_code, '1-URGENT|2-HIGH')",
+    "target_codes_of_group": """
+        SELECT dx_code FROM codes
+        WHERE regexp_matches(dx_code, '1-URGENT|2-HIGH') AND substr(dx_code, 1, 1) = '1'""",
+    "episode_costs_of_type": """
+        SELECT client_id, round(sum(claimed), 2) AS costs FROM dbc JOIN cohort USING (client_id)
+        WHERE date_stop > dx_date AND claimed > 100000 GROUP BY client_id""",
     "first_diagnosis": "SELECT * FROM first_dx",
     "index_event": "SELECT * FROM idx",
     "index_cohort": "SELECT * FROM cohort",
@@ -354,6 +360,29 @@ ORACLES |= {
     "pseudonymise_months": _keyed("month_care"),
     "pseudonymise_scores": _keyed("score_wide"),
     "pseudonymise_diagnoses": _keyed("dx_wide") + " WHERE key IS NOT NULL",
+    "null_sentinel_csv": """
+        SELECT c_custkey, CASE WHEN c_mktsegment <> 'HOUSEHOLD' THEN c_mktsegment END AS c_mktsegment,
+          c_acctbal
+        FROM customer""",
+    "saved_patients": "SELECT * FROM patients",
+}
+
+# --- the extract ------------------------------------------------------------------
+
+PARTS["kept_scores"] = "SELECT * FROM scores WHERE client_id IN (SELECT client_id FROM patients)"
+PARTS["kept_content"] = "SELECT * FROM content WHERE client_id IN (SELECT client_id FROM patients)"
+PARTS["kept_score_wide"] = _slots(
+    "kept_scores", "client_id, year, month", "rom, date, score NULLS FIRST", SCORE_FIELDS, 12, "nrom", 2
+)
+PARTS["kept_dx_wide"] = _slots(
+    "kept_content", "client_id, year, month", "date, o_orderkey", DX_FIELDS, 9, "ndiag", 1
+)
+ORACLES |= {
+    "extract_months": _keyed(
+        "(SELECT * FROM month_care JOIN month_features USING (client_id, year, month))"
+    ),
+    "extract_diagnoses": _keyed("kept_dx_wide"),
+    "extract_scores": _keyed("kept_score_wide"),
 }
 
 # --- profiles and distances -----------------------------------------------------

@@ -28,7 +28,7 @@ from cohortline.operators import timeline as tl
 from cohortline.plans import extract as ex
 from cohortline.plans import patients as pl
 from cohortline.plans import trajectories as tr
-from cohortline.sources.tables import read_semicolon_csv
+from cohortline.sources.tables import read_semicolon_csv, read_sheet, read_tables, write_tables
 from suite import bindings as b
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,13 @@ def target_codes(spark: SparkSession, folder: str) -> DataFrame:
     return co.target_codes(b.dx_codes(spark, folder), b.SPEC.code_pattern)
 
 
+@query
+def target_codes_of_group(spark: SparkSession, folder: str) -> DataFrame:
+    """Target codes of one major group only; the first character stands for the group."""
+    codes = b.dx_codes(spark, folder).withColumn("major_nl", F.substring("dx_code", 1, 1))
+    return co.target_codes(codes, b.SPEC.code_pattern, "1")
+
+
 @query
 def first_diagnosis(spark: SparkSession, folder: str) -> DataFrame:
     return co.first_diagnosis(b.dx(spark, folder), b.SPEC)
@@ -96,6 +103,15 @@ def episode_costs(spark: SparkSession, folder: str) -> DataFrame:
     return costs.select("client_id", F.round("costs", 2).alias("costs"))
 
 
+@query
+def episode_costs_of_type(spark: SparkSession, folder: str) -> DataFrame:
+    """Costs of one type of episode; expensive ones stand for a type."""
+    kind = F.when(F.col("claimed") > 100000, "long").otherwise("short")
+    episodes = b.dbc(spark, folder).withColumn("GGZ_type", kind)
+    costs = co.episode_costs(episodes, _cohort(spark, folder), "long")
+    return costs.select("client_id", F.round("costs", 2).alias("costs"))
+
+
 # --- care before and after the index date ------------------------------------
 
 
@@ -305,6 +321,27 @@ def decimal_comma_csv(spark: SparkSession, folder: str) -> DataFrame:
     return read_semicolon_csv(spark, path, schema)
 
 
+@query
+def null_sentinel_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers written as a sheet in which one segment stands as ``-``, and read back."""
+    path = f"{scratch_dir(spark)}/cohortline/sheet-{uuid.uuid4().hex}"
+    segment = F.col("c_mktsegment")
+    sheet = b.table(spark, folder, "customer").select(
+        "c_custkey", F.when(segment == "HOUSEHOLD", "-").otherwise(segment).alias("c_mktsegment"), "c_acctbal"
+    )
+    sheet.write.option("header", True).csv(path)
+    return read_sheet(spark, path, sheet.schema, "-")
+
+
+@query
+def saved_patients(spark: SparkSession, folder: str) -> DataFrame:
+    """The patient table written under its name and loaded again."""
+    path = f"{scratch_dir(spark)}/cohortline/saved-{uuid.uuid4().hex}"
+    table = pl.assemble_patients(_study(spark, folder)).withColumn("costs", F.round("costs", 2))
+    write_tables({"patients": table}, path)
+    return read_tables(spark, path, ["patients"])["patients"]
+
+
 @query
 def clean_descriptions(spark: SparkSession, folder: str) -> DataFrame:
     documents = b.table(spark, folder, "documents")
@@ -573,3 +610,26 @@ def _extract(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query
 def extract_patients(spark: SparkSession, folder: str) -> DataFrame:
     return _extract(spark, folder, "patients")
+
+
+def _extract_months(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    study = _study(spark, folder)
+    selected = materialise(pl.assemble_patients(study), "patients")
+    scores = b.scores(spark, folder).drop("ts", "event_id")
+    tables = ex.month_tables(study, selected, scores, ("date", "o_orderkey"))
+    return pr.pseudonymise(tables[name], b.client_keys(spark, folder))
+
+
+@query
+def extract_months(spark: SparkSession, folder: str) -> DataFrame:
+    return _extract_months(spark, folder, "patient_months_interventions")
+
+
+@query
+def extract_diagnoses(spark: SparkSession, folder: str) -> DataFrame:
+    return _extract_months(spark, folder, "patient_months_diagnoses")
+
+
+@query
+def extract_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _extract_months(spark, folder, "patient_months_romscores")
