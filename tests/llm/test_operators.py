@@ -136,6 +136,54 @@ def test_line_dedup_of_odd_rows(odd_docs):
     assert len(got) == 9
 
 
+def test_line_dedup_finds_changed_words_in_short_lines(spark, docs_of):
+    """Against edit similarity alone, for the candidates that the query and the pipeline use."""
+    rng, given = np.random.default_rng(3), []
+    stock = [[f"{w}{''.join(rng.choice(list('aeioubcdfg'), 4))}" for w in rng.choice(WORDS, n)] for n in (1, 3, 6, 8, 12, 20, 40) * 4]
+    for doc in range(60):
+        lines = []
+        for _ in range(3):
+            words = list(stock[rng.integers(len(stock))])
+            for _ in range(rng.integers(0, 3)):
+                words[rng.integers(len(words))] = str(rng.choice(WORDS))
+            lines.append(" ".join(words))
+        given.append((doc, "\n".join(lines)))
+    forms = [(i, p, line_dedup.line_form(x)) for i, (_, text) in enumerate(given) for p, x in enumerate(text.split("\n"))]
+    root = components(len(forms), lambda i, j: line_dedup.edit_similarity(forms[i][2], forms[j][2]) >= 0.8)
+    want = {forms[i][:2] for i in range(len(forms)) if root[i] != i}
+
+    def dropped(**options):
+        drops = line_dedup.duplicate_lines(docs_of(given), **options).join(
+            docs_of(given).select("doc_id", F.xxhash64("doc_id", "text").alias("row")), "row"
+        )
+        return {(r["doc_id"], p) for r in drops.collect() for p in r["drops"]}
+
+    got = dropped(max_bits=None)
+    assert got <= want and len(got) >= 0.98 * len(want)
+    assert len(dropped()) < 0.9 * len(want)
+
+
+def test_line_stage_of_the_pipeline(spark):
+    """On real documents against edit similarity alone."""
+    docs = table(spark, "documents").filter("doc_id < 60")
+    given = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    places = [(i, p, line_dedup.line_form(x)) for i, (_, text) in enumerate(given) for p, x in enumerate((text or "").split("\n"))]
+    places = [x for x in places if x[2]]
+
+    def linked(i, j):
+        a, b = places[i][2], places[j][2]
+        return min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and line_dedup.edit_similarity(a, b) >= 0.8
+
+    root = components(len(places), linked)
+    gone = {places[i][:2] for i in range(len(places)) if root[i] != i}
+    want = {
+        doc: text if text is None else "\n".join(x for p, x in enumerate(text.split("\n")) if (i, p) not in gone)
+        for i, (doc, text) in enumerate(given)
+    }
+    got = corpus_pipeline.dedup_lines(spark, docs, SMALL)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == want
+
+
 def scores(df, names):
     return {r["doc_id"]: tuple(r[n] for n in names) for r in df.collect()}
 

@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
 
-from cohortline.llm import bpe, embeddings, fingerprints, language, packing, quality, simhash, toxicity
+from cohortline.llm import bpe, embeddings, fingerprints, language, line_dedup, packing, quality, simhash, toxicity
 from cohortline.llm.common import Cache, local_roots, majority_fingerprints
 from cohortline.llm.hamming import block_ranges, sub_ranges
 from cohortline.llm.line_dedup import edit_similarity, line_form
@@ -305,3 +305,23 @@ def test_bucket_codes_differ_by_table():
     codes = embeddings.bucket_codes(unit, 3, 2, 2)
     assert codes.shape == (50, 6) and all(len(set(row)) == 6 for row in codes.tolist())
     assert pa.array(codes.ravel()).null_count == 0
+
+
+@pytest.mark.parametrize("words", [6, 10, 20, 40])
+def test_lines_of_the_similarity_share_a_band(words):
+    """Nearly all pairs with up to two changed words, whatever the length of the line."""
+    rng = np.random.default_rng(words)
+    stock = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(3000)]
+    pairs = []
+    while len(pairs) < 200:
+        one = list(rng.choice(stock, words))
+        other = list(one)
+        for place in rng.choice(words, rng.integers(1, 3), replace=False):
+            other[place] = rng.choice(stock)
+        if edit_similarity(" ".join(one), " ".join(other)) >= line_dedup.SIMILARITY:
+            pairs.append((" ".join(one), " ".join(other)))
+    found = 0
+    for one, other in pairs:
+        families = [f for f in line_dedup.FAMILIES if all(f[0] <= len(x) <= (f[1] or 10**9) for x in (one, other))]
+        found += any((lambda v: (v[:, 0] == v[:, 1]).any())(line_dedup.band_values([one, other], *f[2:])) for f in families)
+    assert found >= 196
