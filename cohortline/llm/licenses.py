@@ -14,8 +14,21 @@ from cohortline.core.workspace import materialise
 from cohortline.llm.common import id_and_text, join_small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Lines that name a holder of rights and differ from one copy of a licence to the next.
+#: The rule of the SQL, which also takes lines of a licence's body that a wrap begins with such words.
 COPYRIGHT_LINE = r"^[^\p{L}\p{N}©(]*(copyright|\(c\)|©|all rights reserved)"
+#: Words after "copyright" in the body of licences; a name of a holder doesn't begin with them.
+_BODY_WORDS = (
+    "acts?|and|applies|as|at|claims?|conditions?|disclaimers?|for|from|has|holders?|if|in|infringement|interests?|is|"
+    "laws?|licen[cs]e[esd]*|licensors?|line|management|may|notices?|of|on|or|owners?|ownership|permissions?|"
+    "protections?|restrictions?|rights?|shall|statements?|status|terms?|that|to|treat(y|ies)|under|will|with"
+)
+#: Lines that name a holder of rights and differ from one copy of a licence to the next: a mark
+#: with a year or holder. "(c)" alone may be an item of a list, so it needs a year or a firm.
+NOTICE_LINE = (
+    r"^[^\p{L}\p{N}©(]*(?:all rights reserved|©|copyright\s*(?:\(c\)|©|:)"
+    rf"|copyright\s+(?!(?:{_BODY_WORDS})(?![\p{{L}}\p{{N}}]))[\p{{L}}\p{{N}}<\[{{(]"
+    r"|\(c\)\s*(?:copyright|\d{4}|.{0,60}\b(?:inc|ltd|llc|corp|corporation|gmbh|foundation|authors|contributors)\b))"
+)
 NOT_WORD = r"[^\p{L}\p{N}]+"
 #: Spellings that count as equal, applied in this order.
 SPELLINGS = (
@@ -102,12 +115,12 @@ LICENSES = (
 
 
 def line_form(line: Column) -> Column:
-    """The canonical form of one line whose A-Z are in lower case; empty for a copyright line."""
+    """The canonical form of one line whose A-Z are in lower case; empty for a notice of copyright."""
     form = line
     for found, written in SPELLINGS:
         form = F.replace(form, F.lit(found), F.lit(written))
     form = F.trim(F.regexp_replace(form, NOT_WORD, " "))
-    return F.when(line.rlike(COPYRIGHT_LINE), F.lit("")).otherwise(form)
+    return F.when(line.rlike(NOTICE_LINE), F.lit("")).otherwise(form)
 
 
 def line_forms(text: Column) -> Column:

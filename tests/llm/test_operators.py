@@ -1,6 +1,7 @@
 """The operators and queries on Spark, against brute force, held-out labels and odd rows."""
 
 import hashlib
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -287,6 +288,24 @@ def test_license_scan(spark, odd_docs, docs_of):
     assert not any(w in licenses.scan_licenses(odd_docs, known)._jdf.queryExecution().toString() for w in ("Python", "Arrow"))
 
 
+def test_license_scan_at_any_width(spark, docs_of):
+    """Where lines are wrapped, and which notices stand above, doesn't change what is found."""
+    notices = ["Copyright (c) 2020 A", "Copyright 2019-2021 The Holders of B", "(c) 2001 C", "© D", "Copyright The E Authors", "Copyright: F"]
+    given, want = [], {}
+    for number, (name, text) in enumerate((n, t) for n, t in licenses.LICENSES if len(t) > 300):
+        for width in range(12, 100, 4):
+            doc = 1000 * number + width
+            wrapped = "\n".join("\n".join(textwrap.wrap(x, width, break_on_hyphens=False, break_long_words=False)) for x in text.split("\n"))
+            given.append((doc, notices[width // 4 % 6] + "\nAll rights reserved.\n\n" + wrapped))
+            want[doc] = name
+    got = scores(licenses.scan_licenses(docs_of(given), licenses.built_in(spark)), ["license_id"])
+    assert got == {doc: (name,) for doc, name in want.items()}
+    kept = ["copyright notice and this", "copyright holders be liable", "(c) You must retain", "copyright", "Copyright License."]
+    lines = docs_of(list(enumerate([*kept, *notices])))
+    forms = {r["doc_id"]: len(r["f"]) for r in lines.select("doc_id", licenses.line_forms(F.translate("text", licenses.UPPER, licenses.LOWER)).alias("f")).collect()}
+    assert [forms[i] for i in range(11)] == [1] * 5 + [0] * 6
+
+
 def test_embeddings(spark):
     rng, given = np.random.default_rng(0), []
     centres = rng.normal(size=(12, 48))
