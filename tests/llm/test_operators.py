@@ -306,6 +306,21 @@ def test_license_scan_at_any_width(spark, docs_of):
     assert [forms[i] for i in range(11)] == [1] * 5 + [0] * 6
 
 
+def test_license_scan_of_full_texts(spark, docs_of):
+    """Every known full text: alone at two widths, and as a part of a longer document."""
+    full, given, want = licenses.full_texts(), [], {}
+    assert {n for n, _ in full} >= {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-3.0", "0BSD"}
+    for number, (name, text) in enumerate(full):
+        # Notices stay on their lines: the rest of a wrapped one can't be told from the text.
+        narrow = "\n".join("\n".join([x] if "(c)" in x.lower() else textwrap.wrap(x, 50, break_on_hyphens=False, break_long_words=False)) for x in text.split("\n"))
+        given += [(3 * number, text), (3 * number + 1, "Copyright (c) 2020 A\n\n" + narrow), (3 * number + 2, "A tool.\n" + narrow + "\n\nUsage: none.")]
+        want |= {3 * number: (name, ""), 3 * number + 1: (name, ""), 3 * number + 2: (None, name)}
+    got = scores(licenses.scan_licenses(docs_of(given), licenses.built_in(spark)), ["license_id", "line_licenses"])
+    # The Apache text holds the one-line notice, which a wrap may put on a line of its own.
+    got = {d: (i, "" if i == "Apache-2.0" else found) for d, (i, found) in got.items()}
+    assert got == want
+
+
 def test_embeddings(spark):
     rng, given = np.random.default_rng(0), []
     centres = rng.normal(size=(12, 48))
