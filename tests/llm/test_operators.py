@@ -423,3 +423,12 @@ def test_pipeline(spark):
     assert after == {d: before[d] for d, _, low in groups if d == low}
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).toPandas()
     assert set(pieces["doc_id"]) == set(after)
+
+
+def test_packing_takes_added_tokens_as_the_library_does(docs_of):
+    from tokenizers import Tokenizer
+
+    path, text = public_tokenizers.path("byte_bpe_50k.json"), "a <|endoftext|> b"
+    want = np.array([*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, packing.END_ID], "<u4")
+    (row,) = packing.pack_documents(docs_of([(1, text)]), path).collect()
+    assert (row["doc_tokens"], row["ids_crc32"]) == (len(want), zlib.crc32(want.tobytes()))

@@ -325,3 +325,12 @@ def test_lines_of_the_similarity_share_a_band(words):
         families = [f for f in line_dedup.FAMILIES if all(f[0] <= len(x) <= (f[1] or 10**9) for x in (one, other))]
         found += any((lambda v: (v[:, 0] == v[:, 1]).any())(line_dedup.band_values([one, other], *f[2:])) for f in families)
     assert found >= 196
+
+
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|endoftext|>", " x <|endoftext|> <|endoftext|>\n", "plain text, <|endof"])
+def test_packing_takes_added_tokens_as_the_library_does(text):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.tokens(path, added=True).encode(text), "<u4").tolist() == want
