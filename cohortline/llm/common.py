@@ -6,7 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from cohortline.core.workspace import materialise
 
 #: A side of a join is broadcast up to this many rows of fixed width, else shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -106,3 +108,23 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             break
         root = new
     return root
+
+
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """Stored ``df`` with ``number``: its rows counted from 0 in the order of ``key``.
+
+    Rows are laid out by range and sorted inside each, and only one count per range is
+    gathered, so no task sees all rows. Rows of one key come in any order.
+    """
+    laid = df.repartitionByRange(quoted(key)).sortWithinPartitions(quoted(key))
+    # The id is the range in the upper bits and the place in it in the 33 lower ones.
+    laid = materialise(laid.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    laid = laid.withColumn("_range", F.shiftright("_id", 33))
+    past = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = laid.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")).select(
+        "_range", F.coalesce(F.sum("_rows").over(past), F.lit(0)).alias("_first")
+    )
+    number = F.col("_first") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return laid.join(F.broadcast(ranges), "_range").withColumn("number", number).drop(
+        "_range", "_id", "_first"
+    )

@@ -14,6 +14,7 @@ from cohortline.llm import (
     language,
     licenses,
     line_dedup,
+    manifest,
     packing,
     quality,
     simhash,
@@ -83,6 +84,11 @@ def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = manifest.without_breaks(F.col("doc_id"), F.col("text"))
+    return manifest.manifest(_table(spark, folder, "documents"), tampered)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -94,5 +100,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_fingerprints": op9_fingerprints,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
