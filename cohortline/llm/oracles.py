@@ -112,7 +112,16 @@ JOIN folded f USING (doc_id) LEFT JOIN proofs p USING (doc_id)
 """
 
 
+EXACT_SQL = """
+WITH read AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(text) AS text_sha256
+FROM read WINDOW same AS (PARTITION BY text)
+"""
+
+
 ORACLES: dict[str, str] = {
     "op7_license_scan": _license_sql(),
     "op12_merkle_manifest": _manifest_sql(),
+    "op13_exact_dedup": EXACT_SQL,
 }

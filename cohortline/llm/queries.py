@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cohortline.llm import (
     bpe,
     embeddings,
+    exact_dedup,
     fingerprints,
     language,
     licenses,
@@ -89,6 +90,10 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.manifest(_table(spark, folder, "documents"), tampered)
 
 
+def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -101,5 +106,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_simhash_dedup": op10_simhash_dedup,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_exact_dedup": op13_exact_dedup,
     "pipeline": corpus_pipeline.run,
 }

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortline.llm import common, manifest
+from cohortline.llm import common, exact_dedup, manifest
 from cohortline.llm.oracles import ORACLES
 from cohortline.llm.queries import QUERIES
 from suite.compare import database, difference
@@ -99,8 +99,60 @@ def test_numbers_follow_the_order(spark, rows):
     assert rows(common.numbered(df, "k")) == [(k, i) for i, k in enumerate(sorted(keys))]
 
 
-@pytest.mark.parametrize("name", ["op12_merkle_manifest"])
+@pytest.mark.parametrize("name", ["op12_merkle_manifest", "op13_exact_dedup"])
 def test_queries_equal_their_sql(spark, name):
     for folder in (SMALL, MIDDLE):
         count, found = difference(QUERIES[name](spark, folder), database(folder), ORACLES[name])
         assert count and found is None
+
+
+def brute_copies(given):
+    groups = defaultdict(list)
+    for i, (doc_id, text) in enumerate(given):
+        groups[text or ""].append((doc_id is not None, doc_id or 0, i))
+    out = []
+    for text, held in groups.items():
+        known, top, kept = max(held)
+        for _, _, i in held:
+            out.append((given[i][0], top if known else None, len(held), i == kept, sha(text)))
+    return sorted(out, key=repr)
+
+
+def copies_rows(odd):
+    block = exact_dedup.BLOCK_BYTES
+    rng = np.random.default_rng(5)
+    stock = ["".join(rng.choice(list("abcé"), n)) for n in (10, block, block, 3 * block, 9 * block + 7)]
+    rows = [(i, stock[rng.integers(len(stock))]) for i in range(60)]
+    # One letter apart at the end, the start and a block's border; prefixes; blocks swapped.
+    long = "x" * block + "y" * block + "z" * block
+    rows += [(100, long), (101, long[:-1] + "Z"), (102, "X" + long[1:]), (103, long[:block]), (104, long)]
+    rows += [(105, long[block:] + long[:block]), (106, long[: 2 * block]), (107, long + "x"), (104, long)]
+    return [*odd, *rows, (None, long), (None, "alone"), (None, "alone"), (8, ""), *[(200 + i, "hot") for i in range(300)]]
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_exact_copies(spark, rows, odd_docs, parts):
+    odd = [tuple(r) for r in odd_docs.select("doc_id", "text").collect()]
+    given = copies_rows(odd)
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(parts)
+    docs = docs.withColumns({"row": F.lit(1), "name": F.lit(2), "blocks": F.lit("x")})
+    got = exact_dedup.exact_duplicates(docs)
+    assert rows(got) == brute_copies(given)
+    assert rows(exact_dedup.exact_duplicates(docs.limit(0))) == []
+
+
+def test_exact_copies_have_no_python_on_their_path(spark):
+    plan = QUERIES["op13_exact_dedup"](spark, SMALL)._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "InArrow"))
+
+
+def test_names_of_blocks_are_equal_only_for_equal_blocks(spark):
+    given = copies_rows([])
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    named = exact_dedup.identities(docs).collect()
+    assert len({r["row"] for r in named}) == len(given)
+    names = defaultdict(set)
+    for r in named:
+        names[r["blocks"], r["name"]].add(r["text_sha256"])
+    assert all(len(held) == 1 for held in names.values())
+    assert len(names) == len({text or "" for _, text in given})
