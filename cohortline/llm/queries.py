@@ -8,6 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortline.llm import (
+    alignment,
     bpe,
     embeddings,
     exact_dedup,
@@ -85,6 +86,11 @@ def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    paths = _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model")
+    return alignment.align_tokens(_table(spark, folder, "documents"), *paths)
+
+
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     tampered = manifest.without_breaks(F.col("doc_id"), F.col("text"))
     return manifest.manifest(_table(spark, folder, "documents"), tampered)
@@ -105,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_fingerprints": op9_fingerprints,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_token_alignment": op11_token_alignment,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_exact_dedup": op13_exact_dedup,
     "pipeline": corpus_pipeline.run,

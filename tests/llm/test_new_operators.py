@@ -5,10 +5,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from cohortline.llm import common, exact_dedup, manifest
+from cohortline.llm import alignment, common, exact_dedup, manifest
 from cohortline.llm.oracles import ORACLES
 from cohortline.llm.queries import QUERIES
 from suite.compare import database, difference
@@ -156,3 +159,98 @@ def test_names_of_blocks_are_equal_only_for_equal_blocks(spark):
         names[r["blocks"], r["name"]].add(r["text_sha256"])
     assert all(len(held) == 1 for held in names.values())
     assert len(names) == len({text or "" for _, text in given})
+
+
+PATHS = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+
+
+KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The byte that each letter of a byte-level vocabulary stands for.
+BYTE_OF = {chr(b): b for b in KEPT} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*KEPT}))}
+
+
+def brute_alignment(given):
+    own = Tokenizer.from_file(PATHS[0])
+    own.encode_special_tokens = True
+    pieces = sentencepiece.SentencePieceProcessor(model_file=PATHS[1])
+    held, counts = [], Counter()
+    for doc_id, text in given:
+        whole = (" " + (text or "")).encode()
+        a = own.encode(" " + (text or ""), add_special_tokens=False).ids
+        b = pieces.encode(text or "")
+        bytes_a = [bytes(map(BYTE_OF.get, own.id_to_token(i))) for i in a]
+        bytes_b = [
+            bytes([int(pieces.id_to_piece(i)[3:5], 16)]) if pieces.is_byte(i)
+            else pieces.id_to_piece(i).replace("\u2581", " ").encode()
+            for i in b
+        ]
+        if not text or b"".join(bytes_a) != whole or b"".join(bytes_b) != whole:
+            held.append((doc_id, 0, 0, 0, [], ""))
+            continue
+        ends_a, ends_b = np.cumsum([len(x) for x in bytes_a]), np.cumsum([len(x) for x in bytes_b])
+        links, i, j = [], 0, 0
+        while i < len(a) and j < len(b):
+            links.append((a[i], b[j]))
+            x, y = ends_a[i], ends_b[j]
+            i, j = i + (x <= y), j + (y <= x)
+        groups, i, j = [], 0, 0
+        for end in sorted(set(ends_a) & set(ends_b)):
+            k, m = int(np.searchsorted(ends_a, end)) + 1, int(np.searchsorted(ends_b, end)) + 1
+            groups.append(",".join(map(str, a[i:k])) + "|" + ",".join(map(str, b[j:m])))
+            i, j = k, m
+        counts.update(set(links))
+        held.append((doc_id, len(a), len(b), len(groups), links, sha(";".join(groups))))
+    most = Counter()
+    for (a, _), n in counts.items():
+        most[a] = max(most[a], n)
+    return sorted(
+        ((d, a, b, g, len(ls), sum(counts[p] == most[p[0]] for p in ls), sum(counts[p] for p in ls), s)
+         for d, a, b, g, ls, s in held), key=repr,
+    )
+
+
+def alignment_rows(odd):
+    return [
+        *odd,
+        *((i, t) for i, t in enumerate(["a", " ", "  two  spaces ", "\n\n\tx", "naïve café 東京 🚀🚀", "<s> </s> <unk>"])),
+        (50, "<|endoftext|> in text"), (51, "low \u2581 line"), (52, "aaaaaaaaaaaa" * 50), (53, "\u0627\u0644" * 40),
+        (54, "x\u0000y"), (55, "e\u0301 \ufb01 ½ ①"), (56, "long " * 9000), (56, "long " * 3),
+    ]
+
+
+@pytest.mark.parametrize("heavy", [0, 40, alignment.HEAVY])
+def test_alignment(spark, rows, odd_docs, heavy):
+    odd = [tuple(r) for r in odd_docs.select("doc_id", "text").collect()]
+    plain = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60).select("doc_id", "text").collect()
+    given = [*alignment_rows(odd), *map(tuple, plain)]
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    docs = docs.withColumns({"row": F.lit(1), "codes": F.lit(2)})
+    assert rows(alignment.align_tokens(docs, *PATHS, heavy=heavy)) == brute_alignment(given)
+
+
+def test_alignment_of_no_rows(spark, rows):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert rows(alignment.align_tokens(docs, *PATHS)) == []
+    nulls = spark.createDataFrame([(1, None)], "doc_id long, text string")
+    assert rows(alignment.align_tokens(nulls, *PATHS)) == [(1, 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_shared_cuts():
+    rng = np.random.default_rng(1)
+    for texts in [0, 1, 1, 2, 40] * 20:
+        a, b, upto_a, upto_b, last = [], [], [], [], 0
+        for _ in range(texts):
+            size = int(rng.integers(1, 80))
+            for ends, upto in ((a, upto_a), (b, upto_b)):
+                inside = set(rng.integers(1, size + 1, rng.integers(0, 60)).tolist()) - {size}
+                ends += [last + e for e in [*sorted(inside), size]]
+                upto.append(len(ends))
+            last += size
+        got = alignment.shared_cuts(*(np.array(x, np.int64) for x in (a, b, upto_a, upto_b)))
+        shared = sorted(set(a) & set(b))
+        assert [x.tolist() for x in got] == [[a.index(e) + 1 for e in shared], [b.index(e) + 1 for e in shared]]
+
+
+def test_alignment_query(spark, rows):
+    given = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    assert rows(QUERIES["op11_token_alignment"](spark, SMALL)) == brute_alignment(given)
