@@ -28,8 +28,8 @@ from cohortline.llm.packing import byte_letters
 
 #: Pairs that are sent to every task, 17 bytes each.
 HEAVY = 1_000_000
-#: Ids of the second tokenizer, as one factor of a pair's number.
-SECOND = 1 << 32
+#: Bits of an id of the second tokenizer, and of a pair's number.
+SECOND_BITS, PAIR_BITS = 24, 48
 #: Texts worked on at once.
 ROWS = 256
 
@@ -83,6 +83,12 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first[which] + np.arange(len(which)) - (np.cumsum(size) - size)[which], which
 
 
+def _halved(span: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> np.ndarray:
+    """Both parts of every interval, cut after so many ends of each sequence."""
+    low_a, high_a, low_b, high_b = span
+    return np.array([np.r_[low_a, at_a], np.r_[at_a, high_a], np.r_[low_b, at_b], np.r_[at_b, high_b]])
+
+
 def shared_cuts(
     a: np.ndarray, b: np.ndarray, upto_a: np.ndarray, upto_b: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -92,36 +98,45 @@ def shared_cuts(
     other; text i has the ends up to ``upto_a[i]`` and ``upto_b[i]``, and its last ones are
     equal. The intervals of all texts are halved together, level by level.
     """
-    span = np.stack([np.r_[0, upto_a][:-1], upto_a, np.r_[0, upto_b][:-1], upto_b]).astype(np.int64)
-    step = np.zeros(len(upto_a), np.int64)
-    leaves = [np.zeros((2, 0), np.int64)]
-    while span.shape[1]:
-        # Tokens low..high-1 of both; the ends of the last ones are a cut already.
-        low_a, high_a, low_b, high_b = span
-        middle = (low_a + high_a - 1) >> 1
-        near, far = (1 << step) - 1, (2 << step) - 2
-        done = (low_b >= high_b - 1) | (np.maximum(middle - low_a, high_a - 2 - middle) < near)
-        leaves.append(span[1::2, done])
-        span, step, middle, near, far = (x[..., ~done] for x in (span, step, middle, near, far))
-        low_a, high_a, low_b, high_b = span
-        # Outwards from the middle: windows on both sides, twice as wide each time.
-        right, left = middle + near, np.maximum(middle - far, low_a)
-        right_size = np.maximum(np.minimum(middle + far, high_a - 2) - right + 1, 0)
-        left_size = np.where(step, np.maximum(middle - near - left + 1, 0), 0)
-        tried, which = _ranges(np.r_[right, left], np.r_[right_size, left_size])
-        place = np.searchsorted(b, a[tried])
-        hit = b[place] == a[tried]
-        tried, which, place = tried[hit], which[hit] % max(len(step), 1), place[hit]
-        # The nearest to the middle cuts.
-        order = np.lexsort((np.abs(tried - middle[which]), which))
-        cut, first = np.unique(which[order], return_index=True)
-        at_a, at_b = tried[order[first]] + 1, place[order[first]] + 1
-        below, above = span[:, cut].copy(), span[:, cut].copy()
-        below[1], below[3], above[0], above[2] = at_a, at_b, at_a, at_b
-        rest = np.ones(len(step), bool)
-        rest[cut] = False
-        span = np.concatenate([span[:, rest], below, above], axis=1)
-        step = np.r_[step[rest] + 1, np.zeros(2 * len(cut), np.int64)]
+    # Tokens low..high-1 of both; the ends of the last ones are a cut already.
+    span = np.array([np.r_[0, upto_a][:-1], upto_a, np.r_[0, upto_b][:-1], upto_b], np.int64)
+    wide, step = span[:, :0], np.zeros(0, np.int64)
+    leaves = [wide[1::2]]
+    while span.shape[1] or wide.shape[1]:
+        whole = (span[0] < span[1] - 1) & (span[2] < span[3] - 1)
+        leaves.append(span[1::2, ~whole])
+        span = span[:, whole]
+        middle = (span[0] + span[1] - 1) >> 1
+        place = np.searchsorted(b, a[middle])
+        hit = b[place] == a[middle]
+        parts = [_halved(span[:, hit], middle[hit] + 1, place[hit] + 1)]
+        missed = span[:, ~hit]
+        if wide.shape[1]:
+            # Outwards from the middle: windows on both sides, twice as wide each time.
+            low_a, high_a = wide[:2]
+            middle = (low_a + high_a - 1) >> 1
+            near, far = (1 << step) - 1, (2 << step) - 2
+            right, left = middle + near, np.maximum(middle - far, low_a)
+            right_size = np.maximum(np.minimum(middle + far, high_a - 2) - right + 1, 0)
+            left_size = np.maximum(middle - near - left + 1, 0)
+            tried, which = _ranges(np.r_[right, left], np.r_[right_size, left_size])
+            place = np.searchsorted(b, a[tried])
+            hit = b[place] == a[tried]
+            tried, which, place = tried[hit], which[hit] % len(step), place[hit]
+            # The nearest to the middle cuts.
+            order = np.lexsort((np.abs(tried - middle[which]), which))
+            cut, first = np.unique(which[order], return_index=True)
+            first = order[first]
+            parts.append(_halved(wide[:, cut], tried[first] + 1, place[first] + 1))
+            uncut = np.ones(len(step), bool)
+            uncut[cut] = False
+            over = uncut & (right_size + left_size == 0)
+            leaves.append(wide[1::2, over])
+            uncut &= ~over
+            wide, step = wide[:, uncut], step[uncut] + 1
+        wide = np.concatenate([wide, missed], axis=1)
+        step = np.r_[step, np.ones(missed.shape[1], np.int64)]
+        span = np.concatenate(parts, axis=1)
     cuts = np.concatenate(leaves, axis=1)
     return tuple(cuts[:, np.argsort(cuts[0], kind="stable")])
 
@@ -170,7 +185,7 @@ def align_batch(texts: list[str], first: tuple, second: tuple) -> tuple[np.ndarr
         none = np.zeros(0, np.int64)
         return numbers, digests, (numbers[0], none, none.astype(np.int32))
     upto_a, upto_b = (np.cumsum([len(x) for x in ids], dtype=np.int64) for ids in (ids_a, ids_b))
-    a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))
+    a, b = (np.fromiter(chain.from_iterable(ids), np.int64, int(n[-1])) for ids, n in ((ids_a, upto_a), (ids_b, upto_b)))
     ends_a, ends_b = np.cumsum(sizes_a[a]), np.cumsum(sizes_b[b])
     cuts_a, cuts_b = shared_cuts(ends_a, ends_b, upto_a, upto_b)
 
@@ -187,17 +202,18 @@ def align_batch(texts: list[str], first: tuple, second: tuple) -> tuple[np.ndarr
         start = end
 
     # Every stretch between neighbouring ends lies in one token of each: a linked pair.
-    stops = np.union1d(ends_a, ends_b)
+    stops = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+    stops = stops[np.r_[True, stops[1:] != stops[:-1]]]
     over_a, over_b = np.searchsorted(ends_a, stops), np.searchsorted(ends_b, stops)
-    owner = np.array(good, np.int64)[np.searchsorted(upto_a, over_a, side="right")]
-    numbers[3] = np.bincount(owner, minlength=len(texts))
-    codes = a[over_a] * SECOND + b[over_b]
-    order = np.lexsort((codes, owner))
-    codes, owner = codes[order], owner[order]
-    new = np.flatnonzero(np.r_[True, (np.diff(codes) != 0) | (np.diff(owner) != 0)][: len(codes)])
+    links = np.diff(np.searchsorted(over_a, upto_a), prepend=0)
+    numbers[3, good] = links
+    codes = np.repeat(np.array(good, np.int64), links) << PAIR_BITS | a[over_a] << SECOND_BITS | b[over_b]
+    codes.sort()
+    new = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
     times = np.diff(np.r_[new, len(codes)]).astype(np.int32)
-    distinct = np.bincount(owner[new], minlength=len(texts))
-    return numbers, digests, (distinct, codes[new], times)
+    codes = codes[new]
+    distinct = np.bincount(codes >> PAIR_BITS, minlength=len(texts))
+    return numbers, digests, (distinct, codes & ((1 << PAIR_BITS) - 1), times)
 
 
 def align_texts(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str) -> DataFrame:
@@ -230,7 +246,7 @@ def pair_counts(texts: DataFrame) -> DataFrame:
     of any pair with its first id; stored."""
     counts = texts.select(F.explode("codes").alias("code")).groupBy("code")
     counts = materialise(counts.agg(F.count(F.lit(1)).alias("held")), "pair-counts")
-    first = F.shiftright("code", 32)
+    first = F.shiftright("code", SECOND_BITS)
     # One row per id of the first vocabulary, whose size bounds the broadcast.
     most = counts.groupBy(first.alias("first")).agg(F.max("held").alias("most"))
     both = counts.withColumn("first", first).join(F.broadcast(most), "first")
