@@ -1,11 +1,11 @@
-"""Patients in clusters: micro-clusters on Spark, a Ward tree over them.
+"""Patients in clusters: micro-clusters on Spark, Ward merges over them.
 
 Rows are first reduced to at most ``micro`` points by one method at every size: the
 distinct coordinates of smallest hash start as centres, and a fixed number of steps
 assigns all coordinates and averages them. Coordinates count in whole steps of ``1 / GRID``,
 so that distances and sums are exact in any order: the points depend neither on how rows
 are laid out nor on how they are batched. If there are no more coordinates than points, each is
-its own centre and the tree is that of the full data.
+its own centre and the merges are those of the full data.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from cohortline.core.workspace import materialise
-from cohortline.operators.linkage import Tree, euclidean, labels_at, leaf_order, ward_tree
+from cohortline.operators.merging import Merges, cluster_order, labels, point_sums, ward_merges
 from cohortline.operators.silhouette import vector_sums
 
 MICRO, STEPS = 2000, 5
@@ -29,16 +29,16 @@ COARSE, FINE = 3, 9
 
 @dataclass(frozen=True)
 class Micro:
-    """Points that stand for the rows, the rows behind each, and their tree."""
+    """Points that stand for the rows (a bounded number), the rows behind each, and their merges."""
 
     points: np.ndarray
     sizes: np.ndarray
-    tree: Tree
+    merges: Merges
     exact: bool
 
 
 def fit_micro(coordinates: DataFrame, micro: int = MICRO, steps: int = STEPS) -> Micro:
-    """Reduce stored coordinates to at most ``micro`` points and build their tree."""
+    """Reduce stored coordinates to at most ``micro`` points and merge these."""
     whole = F.transform("x", lambda v: F.round(v * GRID).cast("long"))
     distinct = coordinates.select(whole.alias("q")).groupBy("q").agg(F.count("*").alias("rows"))
     distinct = materialise(distinct, "distinct-coordinates")
@@ -55,7 +55,10 @@ def fit_micro(coordinates: DataFrame, micro: int = MICRO, steps: int = STEPS) ->
     points = centres[[r["centre"] for r in held]] / GRID
     sizes = np.array([r["rows"] for r in held], dtype=float)
     exact = distinct.count() <= micro
-    return Micro(points, sizes, ward_tree(euclidean(points), sizes), exact)
+    spark = coordinates.sparkSession
+    leaves = spark.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "node long, rows long")
+    merges = ward_merges(leaves, point_sums(spark, points, sizes, GRID), GRID)
+    return Micro(points, sizes, merges, exact)
 
 
 def _averaged(distinct: DataFrame, centres: np.ndarray) -> list:
@@ -91,9 +94,7 @@ def assign(coordinates: DataFrame, fitted: Micro, cuts: dict[str, int]) -> DataF
     nested in those of a coarser one.
     """
     points = fitted.points
-    labels = {name: labels_at(fitted.tree, k) for name, k in cuts.items()}
     kind = coordinates.schema["client_id"].dataType.simpleString()
-    columns = ", ".join(["micro int", "dist double", *(f"{name} int" for name in cuts)])
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -106,11 +107,21 @@ def assign(coordinates: DataFrame, fitted: Micro, cuts: dict[str, int]) -> DataF
                 micro = (norms - 2 * x @ points.T).argmin(axis=1)
                 dist = np.sqrt(((x - points[micro]) ** 2).sum(axis=1))
                 held = {"client_id": batch["client_id"], "x": batch["x"], "micro": micro}
-                held["dist"] = dist
-                yield pd.DataFrame({**held, **{n: v[micro] for n, v in labels.items()}})
+                yield pd.DataFrame({**held, "dist": dist})
 
-    schema = f"client_id {kind}, x array<double>, {columns}"
-    return coordinates.select("client_id", "x").mapInPandas(nearest, schema)
+    schema = f"client_id {kind}, x array<double>, micro int, dist double"
+    placed = coordinates.select("client_id", "x").mapInPandas(nearest, schema)
+    if not cuts:
+        return placed
+    # One row a point, so as many as ``fit_micro`` allows.
+    named = F.broadcast(labels(fitted.merges, cuts).withColumn("node", F.col("node").cast("int")))
+    return placed.join(named, placed["micro"] == named["node"]).select(*placed.columns, *cuts)
+
+
+def _label_arrays(fitted: Micro, ks: list[int]) -> dict[int, np.ndarray]:
+    """Labels 1…k of the points for every k, in the order of the points."""
+    named = labels(fitted.merges, {f"k{k}": k for k in ks}).toPandas().sort_values("node")
+    return {k: named[f"k{k}"].to_numpy(int) for k in ks}
 
 
 def silhouette_sweep(
@@ -123,11 +134,11 @@ def silhouette_sweep(
     row counts at its point. ``squared`` uses squared distances and exact sums
     of the rows at any size.
     """
-    ks = [k for k in ks if 2 <= k <= fitted.tree.leaves]
+    ks = [k for k in ks if 2 <= k <= fitted.merges.count]
     # Cuts are nested: totals for the finest one are rolled up to the others.
     finest = max(ks, default=1)
-    labels = {k: labels_at(fitted.tree, k) - 1 for k in [*ks, finest]}
-    fine = np.eye(finest)[labels[finest]]
+    named = {k: v - 1 for k, v in _label_arrays(fitted, sorted({*ks, finest})).items()}
+    fine = np.eye(finest)[named[finest]]
     placed = assign(coordinates, fitted, {}).select("x", "micro")
     if method == "euclidean":
         rows, points = fitted.sizes, fitted.points
@@ -154,8 +165,8 @@ def silhouette_sweep(
     cuts = {}
     for k in ks:
         nested = np.zeros((finest, k))
-        nested[labels[finest], labels[k]] = 1.0
-        cuts[k] = (labels[k], nested, nested.T @ held)
+        nested[named[finest], named[k]] = 1.0
+        cuts[k] = (named[k], nested, nested.T @ held)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -203,18 +214,12 @@ def choose_k(sweep: DataFrame) -> int:
     return sweep.orderBy(F.desc("mean_silhouette"), "k").first()["k"]
 
 
-def micro_table(spark: SparkSession, fitted: Micro, cuts: dict[str, int]) -> DataFrame:
+def micro_table(fitted: Micro, cuts: dict[str, int]) -> DataFrame:
     """(micro, rows, labels…) of every point."""
-    labels = [labels_at(fitted.tree, k) for k in cuts.values()]
-    held = [
-        (i, int(size), *(int(label[i]) for label in labels)) for i, size in enumerate(fitted.sizes)
-    ]
-    columns = ", ".join(f"{name} int" for name in cuts)
-    return spark.createDataFrame(held, f"micro int, rows long, {columns}")
+    held = fitted.merges.leaves.join(labels(fitted.merges, cuts), "node")
+    return held.select(F.col("node").cast("int").alias("micro"), "rows", *cuts)
 
 
-def tree_order(spark: SparkSession, fitted: Micro, k: int, label: str = "cluster") -> DataFrame:
+def tree_order(fitted: Micro, k: int, label: str = "cluster") -> DataFrame:
     """(label, place) of the clusters of a cut, from left to right along the tree."""
-    along = labels_at(fitted.tree, k)[leaf_order(fitted.tree)]
-    places = [(int(c), i + 1) for i, c in enumerate(dict.fromkeys(along.tolist()))]
-    return spark.createDataFrame(places, f"{label} int, place int")
+    return cluster_order(fitted.merges, k, label)

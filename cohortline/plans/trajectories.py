@@ -17,8 +17,7 @@ from cohortline.operators.clustering import (
     fit_micro,
     silhouette_sweep,
 )
-from cohortline.operators.distance import ANCHORS
-from cohortline.operators.embedding import Landmarks, landmark_mds
+from cohortline.operators.embedding import LANDMARKS, Landmarks, landmark_mds
 from cohortline.operators.labels import canonical_labels
 from cohortline.operators.profile import as_vector, drop_constant, profile_matrix, rescale
 
@@ -28,7 +27,7 @@ SWEEP = list(range(2, 21))
 
 @dataclass(frozen=True)
 class Trajectories:
-    """Stored coordinates, the fitted tree, and (client_id, cluster)."""
+    """Stored coordinates, the merges, and (client_id, cluster)."""
 
     coordinates: DataFrame
     landmarks: Landmarks
@@ -39,7 +38,7 @@ class Trajectories:
 def embed_patients(
     patients: DataFrame,
     axes: int = AXES,
-    landmarks: int = ANCHORS,
+    landmarks: int = LANDMARKS,
     mode: str = "identity",
 ) -> tuple[DataFrame, Landmarks]:
     """Stored coordinates of the patients' activity profiles."""
@@ -53,7 +52,7 @@ def trajectory_clusters(
     k: int | str = FINE,
     coarse: int = COARSE,
     axes: int = AXES,
-    landmarks: int = ANCHORS,
+    landmarks: int = LANDMARKS,
     micro: int = MICRO,
 ) -> Trajectories:
     """Cluster patients by activity profile; ``k="auto"`` picks 2…20 by silhouette.
@@ -65,7 +64,7 @@ def trajectory_clusters(
     if k == "auto":
         k = choose_k(silhouette_sweep(coordinates, reduced, SWEEP))
     # A cut cannot have more clusters than there are points.
-    fine = min(int(k), reduced.tree.leaves)
+    fine = min(int(k), reduced.merges.count)
     labelled = assign(coordinates, reduced, {"c3": min(coarse, fine), "ck": fine})
     with_measure = labelled.drop("x").join(patients.select("client_id", "mins"), "client_id")
     stored = materialise(with_measure, "labelled")

@@ -16,7 +16,7 @@ from cohortline.operators import cohort as co
 from cohortline.operators import distance as ds
 from cohortline.operators import embedding as em
 from cohortline.operators import labels as la
-from cohortline.operators import linkage as li
+from cohortline.operators import merging as mg
 from cohortline.operators import postcode as pc
 from cohortline.operators import privacy as pr
 from cohortline.operators import profile as pf
@@ -550,14 +550,15 @@ def ward_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def merge_tree(spark: SparkSession, folder: str) -> DataFrame:
-    return li.merge_table(spark, cl.fit_micro(_embedded(spark, folder)[0]).tree)
+    return mg.merge_table(cl.fit_micro(_embedded(spark, folder)[0]).merges)
 
 
 @query
 def cut_by_height(spark: SparkSession, folder: str) -> DataFrame:
     coordinates, _ = _embedded(spark, folder)
     fitted = cl.fit_micro(coordinates)
-    k = li.clusters_for(fitted.tree, h=float(fitted.tree.height[-6]))
+    sixth = fitted.merges.table.orderBy(F.desc("step")).limit(6).agg(F.min("height")).first()[0]
+    k = mg.clusters_for(fitted.merges, h=sixth)
     return la.cluster_sizes(cl.assign(coordinates, fitted, {"cluster": k}))
 
 
@@ -566,7 +567,7 @@ def tree_extents(spark: SparkSession, folder: str) -> DataFrame:
     coordinates, _ = _embedded(spark, folder)
     fitted = cl.fit_micro(coordinates)
     sizes = la.cluster_sizes(cl.assign(coordinates, fitted, {"cluster": 9}))
-    placed = sizes.join(cl.tree_order(spark, fitted, 9), "cluster")
+    placed = sizes.join(cl.tree_order(fitted, 9), "cluster")
     return la.cluster_extents(placed, "cluster", "place")
 
 

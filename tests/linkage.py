@@ -1,11 +1,10 @@
-"""Ward tree over a bounded number of points, and cuts through it."""
+"""Ward tree and cuts of a few points, built one merge after the other: what tests compare with."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
 
 
 @dataclass(frozen=True)
@@ -120,36 +119,3 @@ def labels_at(tree: Tree, k: int) -> np.ndarray:
             node = owner[node]
         labels.append(seen.setdefault(node, len(seen) + 1))
     return np.array(labels)
-
-
-def clusters_for(tree: Tree, k: int | None = None, h: float | None = None) -> int:
-    """Number of clusters asked for by a count or by a height; exactly one is given.
-
-    A height asks for the first position, counting merges from the top, whose
-    height is below it, and for two clusters at least.
-    """
-    if (k is None) == (h is None):
-        raise ValueError("give the number of clusters k or the height h, not both or neither")
-    if h is not None:
-        below = np.flatnonzero(tree.height[::-1] < h)
-        if not len(below):
-            raise ValueError(f"height {h} is not above any merge of the tree: pass a larger h")
-        k = max(int(below[0]) + 1, 2)
-    if not 2 <= k <= len(tree.height):
-        raise ValueError(f"pass a k from 2 to {len(tree.height)}, the number of merges")
-    return k
-
-
-def cut_tree(tree: Tree, k: int | None = None, h: float | None = None) -> np.ndarray:
-    return labels_at(tree, clusters_for(tree, k, h))
-
-
-def merge_table(spark: SparkSession, tree: Tree) -> DataFrame:
-    """(step, left_node, right_node, height, size) of every merge."""
-    rows = [
-        (i + 1, int(a), int(b), float(h), int(s))
-        for i, (a, b, h, s) in enumerate(zip(tree.left, tree.right, tree.height, tree.size))
-    ]
-    return spark.createDataFrame(
-        rows, "step int, left_node int, right_node int, height double, size long"
-    )

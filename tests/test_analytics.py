@@ -1,3 +1,4 @@
+import linkage as li
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from cohortline.operators import clustering as cl
 from cohortline.operators import distance as ds
 from cohortline.operators import embedding as em
 from cohortline.operators import labels as la
-from cohortline.operators import linkage as li
+from cohortline.operators import merging as mg
 from cohortline.operators import profile as pf
 from cohortline.operators import silhouette as si
 from cohortline.plans import trajectories as tr
@@ -135,6 +136,45 @@ def test_scree_lists_leading_axes(spark, points):
     _, fitted = em.landmark_mds(make(spark, points), k=3)
     found = em.scree(spark, fitted).collect()
     assert [r["axis"] for r in found] == list(range(1, 16))
+    trace = np.trace(-0.5 * (np.eye(40) - 1 / 40) @ all_jaccard(points) ** 2 @ (np.eye(40) - 1 / 40))
+    assert fitted.total == pytest.approx(trace)
+    assert [r["share"] for r in found] == pytest.approx([r["eigenvalue"] / trace for r in found])
+
+
+def crowd(n=600, seed=3):
+    random = np.random.default_rng(seed)
+    centres = random.exponential(8, (6, 7)) * (random.random((6, 7)) > 0.4)
+    return centres[random.integers(0, 6, n)] + random.exponential(1.0, (n, 7))
+
+
+def test_axes_come_from_all_rows(spark):
+    """A fit spanned by a tenth of the rows against classical scaling of all of them."""
+    points = crowd()
+    placed, fitted = em.landmark_mds(make(spark, points), k=4, landmarks=60)
+    got = np.array([r["x"] for r in placed.orderBy("client_id").collect()])
+    values, want = classical(all_jaccard(points), 4)
+    assert np.allclose(fitted.eigenvalues[:4], values, rtol=0.03)
+    a, b = li.euclidean(got), li.euclidean(want)
+    assert np.corrcoef(a.ravel(), b.ravel())[0, 1] > 0.995
+    assert abs(got.mean(axis=0)).max() < 1e-9 and 0 < fitted.unexplained < 0.2
+
+
+def test_axes_do_not_depend_on_partitions(spark):
+    table = make(spark, crowd(200))
+    found = []
+    for parts in (1, 3, 16):
+        placed, _ = em.landmark_mds(table.repartition(parts), k=4, landmarks=40)
+        found.append(np.array([r["x"] for r in placed.orderBy("client_id").collect()]))
+    assert np.allclose(found[0], found[1], atol=1e-8) and np.allclose(found[0], found[2], atol=1e-8)
+
+
+def test_equal_rows_and_no_rows_have_no_axis(spark):
+    equal = make(spark, np.ones((5, 3)))
+    placed, fitted = em.landmark_mds(equal, k=2)
+    assert [list(r["x"]) for r in placed.collect()] == [[]] * 5 and len(fitted.rows) == 1
+    placed, fitted = em.landmark_mds(equal.limit(0), k=2)
+    assert placed.count() == 0 and fitted.total == 0
+    assert em.scree(spark, fitted).count() == 0
 
 
 # --- tree ----------------------------------------------------------------------------
@@ -182,37 +222,76 @@ def test_sizes_stand_for_coincident_rows():
         assert same_partition(li.labels_at(full, k), np.repeat(li.labels_at(small, k), sizes))
 
 
+def merged(spark, points, sizes=None):
+    sizes = np.ones(len(points)) if sizes is None else np.asarray(sizes, dtype=float)
+    leaves = spark.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "node long, rows long")
+    return mg.ward_merges(leaves, mg.point_sums(spark, points, sizes, 2.0**30), 2.0**30)
+
+
+def label_array(merges, k):
+    return [r["c"] for r in mg.labels(merges, {"c": k}).orderBy("node").collect()]
+
+
 @pytest.fixture(scope="module")
-def tree():
-    return li.ward_tree(li.euclidean(np.random.default_rng(4).normal(size=(20, 2))))
+def tree(spark):
+    points = np.random.default_rng(4).normal(size=(40, 2))
+    return li.ward_tree(li.euclidean(points)), merged(spark, points)
+
+
+def test_merges_equal_the_tree_built_one_by_one(tree):
+    want, got = tree
+    found = mg.merge_table(got).orderBy("step").collect()
+    assert [r["step"] for r in found] == list(range(1, 40))
+    assert np.allclose([r["height"] for r in found], want.height, atol=1e-6)
+    assert [(r["left_node"], r["right_node"], r["size"]) for r in found] == list(zip(want.left, want.right, want.size))
+
+
+def test_merged_sizes_stand_for_coincident_rows(spark):
+    random = np.random.default_rng(2)
+    points, sizes = random.normal(size=(9, 2)), np.array([1, 4, 2, 1, 7, 1, 3, 1, 2])
+    want = li.ward_tree(li.euclidean(points), sizes)
+    found = merged(spark, points, sizes).table.orderBy("step").collect()
+    assert np.allclose([r["height"] for r in found], want.height, atol=1e-6)
+    assert [r["size"] for r in found] == list(want.size)
+
+
+def test_ties_merge_to_the_end(spark):
+    corners = np.array([[x, y] for x in (0.0, 1.0, 2.0) for y in (0.0, 1.0, 2.0)])
+    got = merged(spark, corners)
+    found = got.table.orderBy("step").collect()
+    assert [r["step"] for r in found] == list(range(1, 9)) and found[-1]["size"] == 9
+    assert [r["height"] for r in found] == sorted(r["height"] for r in found)
+    assert merged(spark, corners[:1]).table.count() == 0 and merged(spark, corners[:0]).count == 0
+    assert label_array(merged(spark, corners[:1]), 1) == [1]
 
 
 def test_cuts_are_nested_and_numbered_by_appearance(tree):
-    coarse, fine = li.labels_at(tree, 3), li.labels_at(tree, 9)
-    assert len(set(zip(coarse, fine))) == 9 and len(set(coarse)) == 3
-    firsts = [list(fine).index(v) for v in range(1, 10)]
-    assert firsts == sorted(firsts)
+    for k in (1, 2, 3, 9, 40):
+        assert label_array(tree[1], k) == list(li.labels_at(tree[0], k))
+    both = mg.labels(tree[1], {"c3": 3, "c9": 9})
+    assert both.select("c3", "c9").distinct().count() == 9
+    with pytest.raises(ValueError):
+        mg.labels(tree[1], {"c": 41})
 
 
-def test_leaf_order_keeps_clusters_together(tree):
-    order = li.leaf_order(tree)
-    assert sorted(order) == list(range(20))
-    labels = li.labels_at(tree, 5)[order]
-    assert 1 + (labels[1:] != labels[:-1]).sum() == 5
+def test_cluster_order_follows_the_leaves(tree):
+    for k in (2, 5, 40):
+        along = li.labels_at(tree[0], k)[li.leaf_order(tree[0])]
+        found = mg.cluster_order(tree[1], k).orderBy("place").collect()
+        assert [r["cluster"] for r in found] == list(dict.fromkeys(along.tolist()))
 
 
 def test_cut_by_height_counts_from_the_top(tree):
-    heights = tree.height[::-1]
-    assert li.clusters_for(tree, h=float(heights[2])) == 4
-    assert li.clusters_for(tree, h=float(heights[0]) + 1) == 2
-    assert li.clusters_for(tree, k=6) == 6
-    assert len(set(li.cut_tree(tree, k=6))) == 6
+    heights = [r["height"] for r in tree[1].table.orderBy(F.desc("step")).collect()]
+    assert mg.clusters_for(tree[1], h=heights[2]) == 4
+    assert mg.clusters_for(tree[1], h=heights[0] + 1) == 2
+    assert mg.clusters_for(tree[1], k=6) == 6
 
 
-@pytest.mark.parametrize("arguments", [{}, {"k": 3, "h": 1.0}, {"k": 1}, {"k": 20}, {"h": -1.0}])
+@pytest.mark.parametrize("arguments", [{}, {"k": 3, "h": 1.0}, {"k": 1}, {"k": 40}, {"h": -1.0}])
 def test_cut_arguments_are_checked(tree, arguments):
     with pytest.raises(ValueError):
-        li.cut_tree(tree, **arguments)
+        mg.clusters_for(tree[1], **arguments)
 
 
 # --- silhouettes ------------------------------------------------------------------
@@ -325,10 +404,11 @@ def test_sweep_over_micro_points_is_close_and_finds_the_groups(blobs):
 def test_tree_order_gives_extents_of_whole_clusters(spark, blobs):
     fitted = cl.fit_micro(blobs[2], micro=30)
     placed = cl.assign(blobs[2], fitted, {"cluster": 5})
-    order = cl.tree_order(spark, fitted, 5)
+    order = cl.tree_order(fitted, 5)
     extents = la.cluster_extents(la.cluster_sizes(placed).join(order, "cluster"), "cluster", "place")
     found = extents.orderBy("position").collect()
-    along = li.labels_at(fitted.tree, 5)[li.leaf_order(fitted.tree)]
+    built = li.ward_tree(li.euclidean(fitted.points), fitted.sizes)
+    along = li.labels_at(built, 5)[li.leaf_order(built)]
     assert [r["cluster"] for r in found] == list(dict.fromkeys(along))
     assert found[0]["first"] == 1 and found[-1]["last"] == 300
 
@@ -341,9 +421,9 @@ def test_rows_carry_the_distance_to_their_point(blobs):
 
 def test_micro_table_lists_every_point(spark, blobs):
     fitted = cl.fit_micro(blobs[2], micro=30)
-    found = cl.micro_table(spark, fitted, {"c3": 3})
+    found = cl.micro_table(fitted, {"c3": 3})
     assert found.agg(F.sum("rows")).first()[0] == 300
-    assert li.merge_table(spark, fitted.tree).count() == len(fitted.points) - 1
+    assert mg.merge_table(fitted.merges).count() == len(fitted.points) - 1
 
 
 def test_labels_rank_by_median_inside_parents(spark):
