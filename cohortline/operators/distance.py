@@ -2,22 +2,25 @@
 
 d(a, b) = 1 - sum(min(a, b)) / sum(max(a, b)), and 0 when both are all zero.
 
-Rows are compared with a bounded set of anchors, or block by block when a
-statistic over *all* pairs is asked for. Pairs are never written out.
+Rows are compared with a given table of profiles, with the profiles within a given distance
+(found by prefix filter), or block by block when a statistic over *all* pairs is asked for.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from cohortline.core.skew import spread_join
 from cohortline.core.workspace import materialise
 
-ANCHORS = 500
+#: Profiles of a given table that are compared with at once.
+ANCHORS = 1000
 BLOCK_ROWS = 10_000
 SLICE_ROWS = 128
 
@@ -49,41 +52,146 @@ def _weighted_jaccard() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
 weighted_jaccard = _weighted_jaccard()
 
 
-def pick_anchors(
-    vectors: DataFrame, count: int = ANCHORS, seed: str = ""
-) -> tuple[list, np.ndarray]:
-    """Ids and rows of ``count`` rows in the order of a hash of their id.
+def anchor_distances(vectors: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(client_id, anchor_id, dist) of every row to every profile of a given table.
 
-    The order does not depend on partitioning; all rows are taken if there are
-    no more than ``count``.
+    ``anchors`` has (anchor_id, x). It is gone through ``ANCHORS`` profiles at a time, in the
+    order of their ids, so a task never holds more; rows are read once for each block.
     """
-    key = F.md5(F.concat(F.lit(seed), F.col("client_id").cast("string")))
-    rows = vectors.orderBy(key, "client_id").limit(count).collect()
-    return [r["client_id"] for r in rows], np.array([r["x"] for r in rows], dtype=float)
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((vectors, "client_id"), (anchors, "anchor_id"))]
+    schema = f"client_id {kinds[0]}, anchor_id {kinds[1]}, dist double"
+    stored = materialise(anchors.select("anchor_id", "x"), "anchors")
+    blocks = max(1, -(-stored.count() // ANCHORS))
+    held = stored.withColumn("block", F.pmod(F.xxhash64("anchor_id"), F.lit(blocks)))
+    parts = []
+    for block in range(blocks):
+        # A block by hash: at most about ``ANCHORS`` profiles.
+        rows = held.filter(F.col("block") == block).orderBy("anchor_id").collect()
+        found = vectors.mapInPandas(_to_anchors([r["anchor_id"] for r in rows], [r["x"] for r in rows]), schema)
+        parts.append(found)
+    return reduce(DataFrame.unionByName, parts)
 
 
-def anchor_distances(vectors: DataFrame, count: int = ANCHORS, seed: str = "") -> DataFrame:
-    """(client_id, anchor_id, dist) of every row to every anchor."""
-    ids, anchors = pick_anchors(vectors, count, seed)
-    measure = _weighted_jaccard()
-    kind = vectors.schema["client_id"].dataType.simpleString()
+def _to_anchors(ids: list, rows: list) -> Callable:
+    measure, rows = _weighted_jaccard(), np.array(rows, dtype=float)
 
-    def to_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
         import pandas as pd
 
         for batch in batches:
-            if len(batch):
-                found = measure(np.stack(batch["x"].to_numpy()), anchors)
+            # Short slices: each row gives as many results as there are anchors.
+            for start in range(0, len(batch) if len(ids) else 0, SLICE_ROWS):
+                part = batch.iloc[start : start + SLICE_ROWS]
+                found = measure(np.stack(part["x"].to_numpy()), rows)
                 yield pd.DataFrame(
                     {
-                        "client_id": np.repeat(batch["client_id"].to_numpy(), len(ids)),
-                        "anchor_id": np.tile(np.array(ids), len(batch)),
+                        "client_id": np.repeat(part["client_id"].to_numpy(), len(ids)),
+                        "anchor_id": np.tile(np.array(ids), len(part)),
                         "dist": found.ravel(),
                     }
                 )
 
-    return vectors.mapInPandas(to_anchors, f"client_id {kind}, anchor_id {kind}, dist double")
+    return distances
+
+
+def anchor_histogram(vectors: DataFrame, anchors: DataFrame, bins: int = 20) -> DataFrame:
+    """(anchor_id, bin, low, high, rows): how far the rows are from each given profile.
+
+    Bins split 0 to 1 evenly; 1 belongs to the last, and bins without a row are left out.
+    Linear in the rows: equal profiles are merged first and counted by their number.
+    """
+    # The number of equal rows stands in the place of their id.
+    profiles = vectors.groupBy("x").agg(F.count(F.lit(1)).alias("client_id"))
+    found = anchor_distances(profiles, anchors)
+    slot = F.least(F.floor(F.round("dist", 12) * bins), F.lit(bins - 1)).cast("int")
+    counted = found.groupBy("anchor_id", slot.alias("bin")).agg(F.sum("client_id").alias("rows"))
+    return counted.select(
+        "anchor_id",
+        "bin",
+        (F.col("bin") / bins).alias("low"),
+        ((F.col("bin") + 1) / bins).alias("high"),
+        "rows",
+    )
+
+
+def profile_classes(vectors: DataFrame) -> DataFrame:
+    """(client_id, class_id): rows with equal profiles share the smallest of their ids."""
+    named = vectors.groupBy("x").agg(F.min("client_id").alias("class_id"))
+    return vectors.join(named, "x").select("client_id", "class_id")
+
+
+def similar_profiles(vectors: DataFrame, most: float) -> DataFrame:
+    """(a, b, rows_a, rows_b, dist): all pairs of different profiles at a distance of at most ``most``.
+
+    Profiles go by the smallest id of their class (``profile_classes``), and a < b. The distance
+    must be above 0 and below 1; entries must not be negative. Exact, by prefix filter (Chaudhuri
+    et al. 2006): with the rarest activities first, two profiles that near share an activity among
+    the first ones that hold more than a share ``most`` of a profile's sum. Only profiles that
+    share one of these, and whose sums are near enough, are compared. Frequent combinations of an
+    activity and a size are spread over many tasks. Rows without any care are one class, far from
+    all others.
+    """
+    if not 0 < most < 1:
+        raise ValueError("the distance must lie between 0 and 1")
+    least = 1.0 - most
+    classes = vectors.groupBy("x").agg(F.min("client_id").alias("id"), F.count(F.lit(1)).alias("rows"))
+    classes = materialise(classes, "profile-classes")
+    first = classes.select(F.size("x")).first()
+    dims = first[0] if first else 0
+    zero = F.lit(0.0)
+    # One number per activity: how many profiles have it.
+    counts = classes.agg(*[F.count_if(F.col("x")[i] > 0) for i in range(dims)]).first() if dims else []
+    order = sorted(range(dims), key=lambda i: (counts[i], i))
+    ordered = F.array(*[F.col("x")[i] for i in order]) if dims else F.array().cast("array<double>")
+    total = F.aggregate("x", zero, lambda s, v: s + v)
+    # Rounded up by a hair, so that no profile misses a place by rounding.
+    share = F.col("total") * (most * (1 + 1e-9))
+    before = F.aggregate(
+        "w",
+        F.struct(zero.alias("sum"), F.array().cast("array<int>").alias("places"), F.lit(0).alias("i")),
+        lambda s, w: F.struct(
+            (s["sum"] + w).alias("sum"),
+            F.when((w > 0) & (s["sum"] <= share), F.concat(s["places"], F.array(s["i"])))
+            .otherwise(s["places"])
+            .alias("places"),
+            (s["i"] + 1).alias("i"),
+        ),
+    )
+    step = -math.log(least) * (1 + 1e-9)
+    held = classes.withColumns({"total": total, "w": ordered}).filter("total > 0")
+    held = held.select(
+        "id", "rows", "x", "total", before["places"].alias("places"),
+        F.floor(F.ln("total") / F.lit(step)).alias("size"),
+    )
+    held = materialise(held, "profile-prefixes")
+
+    def posted(sizes: Column, names: dict[str, str]) -> DataFrame:
+        spread = held.withColumn("place", F.explode("places")).withColumn("at", F.explode(sizes))
+        key = F.concat_ws("/", "place", "at").alias("key")
+        return spread.select(key, "place", *[F.col(c).alias(n) for c, n in names.items()])
+
+    columns = ("id", "rows", "x", "total", "places")
+    index = posted(F.array("size"), {c: f"{c}_2" for c in columns}).drop("place")
+    asked = posted(F.array("size", F.col("size") + 1), {c: f"{c}_1" for c in columns})
+    both = spread_join(asked, index, "key")
+    ordered_pair = F.struct("total_1", "id_1") < F.struct("total_2", "id_2")
+    near = F.col("total_1") >= F.col("total_2") * (least * (1 - 1e-9))
+    # A pair meets at every place that both have: only the first one counts.
+    once = F.array_min(F.array_intersect("places_1", "places_2")) == F.col("place")
+    low = F.aggregate(F.zip_with("x_1", "x_2", lambda p, q: F.least(p, q)), zero, lambda s, v: s + v)
+    found = both.filter(ordered_pair & near & once).withColumn("low", low)
+    dist = 1 - F.col("low") / (F.col("total_1") + F.col("total_2") - F.col("low"))
+    found = found.withColumn("dist", dist).filter(F.col("dist") <= most + 1e-12)
+    swapped = F.col("id_1") > F.col("id_2")
+    either = lambda one, two: F.when(swapped, F.col(two)).otherwise(F.col(one))
+    return found.select(
+        either("id_1", "id_2").alias("a"),
+        either("id_2", "id_1").alias("b"),
+        either("rows_1", "rows_2").alias("rows_a"),
+        either("rows_2", "rows_1").alias("rows_b"),
+        "dist",
+    )
 
 
 def in_blocks(

@@ -1,24 +1,30 @@
 """Silhouette widths: how well each row fits its cluster.
 
 Two measures, never mixed: ``squared`` uses squared Euclidean distance, whose
-cluster means follow from per-cluster sums, so one pass over the rows is enough
-at any size. ``euclidean`` uses plain distances and compares all rows block by
-block; it is exact and quadratic.
+cluster means follow from per-cluster sums, so the work is linear in the rows
+for any number of clusters. ``euclidean`` uses plain distances and compares all
+rows block by block; it is exact and quadratic.
+
+The sums of the clusters are a stored table. Rows meet it block by block: a block
+of labels is sent to all tasks, and each row keeps its own cluster's mean and the
+nearest other one seen so far.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cohortline.core.skew import lookup_join
 from cohortline.core.workspace import materialise
 from cohortline.operators.distance import BLOCK_ROWS, SLICE_ROWS, in_blocks
 
-MAX_LABELS = 10_000
+#: Labels whose sums a task holds at once.
+BLOCK_LABELS = 4096
 
 
 def vector_sums(vector: str, width: int) -> list[Column]:
@@ -32,53 +38,154 @@ def vector_sums(vector: str, width: int) -> list[Column]:
     ]
 
 
-def label_sums(df: DataFrame, label: str, vector: str = "x", limit: int = MAX_LABELS) -> pd.DataFrame:
-    """Rows, sum of squares and coordinate sums per label; labels must be few."""
+def label_sums(df: DataFrame, label: str, vector: str = "x") -> DataFrame:
+    """Stored table of rows, sum of squares and coordinate sums per label."""
     first = df.select(F.size(vector)).first()
     width = first[0] if first else 0
-    sums = df.groupBy(label).agg(*vector_sums(vector, width))
-    found = sums.limit(limit + 1).toPandas()
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} labels: silhouettes are for few clusters")
-    return found.sort_values(label).reset_index(drop=True)
-
-
-def squared_silhouette(df: DataFrame, key: str, label: str, vector: str = "x") -> DataFrame:
-    """(key, label, neighbour, width) by squared Euclidean distance, in two passes."""
-    found = label_sums(df, label, vector)
-    names = found[label].to_numpy()
-    rows = found["rows"].to_numpy(float)
-    squares = found["squares"].to_numpy(float)
-    sums = np.stack(found["sums"].to_numpy())
+    return materialise(df.groupBy(label).agg(*vector_sums(vector, width)), "label-sums")
+
+
+def _against(rows: np.ndarray, squares: np.ndarray, sums: np.ndarray) -> Callable:
+    """Mean squared distance of vectors to each of some clusters, and to the own one without itself."""
+
+    def means(x: np.ndarray, own: np.ndarray):
+        import numpy as np
+
+        total = np.maximum(rows * (x**2).sum(axis=1)[:, None] + squares - 2 * x @ sums.T, 0.0)
+        line = np.flatnonzero(own >= 0)
+        inside = np.full(len(x), np.nan)
+        inside[line] = total[line, own[line]] / np.maximum(rows[own[line]] - 1, 1)
+        outside = total / rows
+        outside[line, own[line]] = np.inf
+        return inside, outside
+
+    return means
+
+
+def squared_silhouette(
+    df: DataFrame, key: str, label: str, vector: str = "x", block_labels: int = BLOCK_LABELS
+) -> DataFrame:
+    """(key, label, neighbour, width) by squared Euclidean distance, for any number of labels.
+
+    Rows are read once for the sums and once for the widths; the second pass goes through
+    one block of labels after the other. A cluster of one row has width 0, as has every row if
+    there is no other cluster (its neighbour is missing then). Labels must not be missing.
+    """
+    stored = label_sums(df, label, vector)
+    blocks = max(1, -(-stored.count() // block_labels))
+    dealt = stored.withColumn("_block", F.pmod(F.xxhash64(label), F.lit(blocks)))
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = f"{key} {types[key]}, {label} {types[label]}, neighbour {types[label]}, width double"
+    state = "_inside double, _held long, _gap double, neighbour " + types[label]
+    schema = f"{key} {types[key]}, {label} {types[label]}, {vector} {types[vector]}, {state}"
+    missing = {"_inside": "double", "_held": "long", "_gap": "double", "neighbour": types[label]}
+    seen = df.select(key, label, vector, *[F.lit(None).cast(t).alias(n) for n, t in missing.items()])
+    for block in range(blocks):
+        # About ``block_labels`` rows of sums.
+        part = dealt.filter(F.col("_block") == block).orderBy(label).toPandas()
+        if len(part):
+            seen = seen.mapInPandas(_nearer(part, key, label, vector), schema)
+    inside, gap, held = F.col("_inside"), F.col("_gap"), F.col("_held")
+    larger = F.greatest(inside, gap)
+    alone = (held < 2) | (larger == 0) | gap.isNull()
+    width = F.when(alone, 0.0).otherwise((gap - inside) / larger)
+    return seen.select(key, label, "neighbour", width.alias("width"))
+
+
+def _nearer(part: pd.DataFrame, key: str, label: str, vector: str) -> Callable:
+    """Bring the clusters of one block into what each row knows of its own and the nearest other."""
+    names, rows = part[label].to_numpy(), part["rows"].to_numpy(float)
+    sums = np.stack(part["sums"].to_numpy()).astype(float)
+    means = _against(rows, part["squares"].to_numpy(float), sums)
+    place = {name: i for i, name in enumerate(names)}
+
+    def update(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            # Small slices: each is compared with all labels of the block.
+            for start in range(0, len(batch), 1000):
+                piece = batch.iloc[start : start + 1000].reset_index(drop=True)
+                x = np.stack(piece[vector].to_numpy()).astype(float)
+                own = np.array([place.get(v, -1) for v in piece[label]])
+                inside, outside = means(x, own)
+                mine = own >= 0
+                piece["_inside"] = np.where(mine, inside, piece["_inside"].astype(float))
+                held = pd.Series(np.where(mine, rows[own], piece["_held"].astype(float))).astype("Int64")
+                near = outside.argmin(axis=1)
+                gap = outside[np.arange(len(x)), near]
+                known = piece["_gap"].astype(float).to_numpy()
+                # The smaller name on a tie.
+                before = piece["neighbour"].to_numpy()
+                tied = (gap == known) & np.array([b is not None and b == b and n < b for n, b in zip(names[near], before)])
+                closer = np.isfinite(gap) & (np.isnan(known) | (gap < known) | tied)
+                gaps = np.where(closer, gap, known)
+                found = [n if c else (b if b == b else None) for n, c, b in zip(names[near].tolist(), closer, before)]
+                yield pd.DataFrame(
+                    {
+                        key: piece[key],
+                        label: piece[label],
+                        vector: piece[vector],
+                        "_inside": piece["_inside"],
+                        "_held": held,
+                        "_gap": pd.Series(gaps),
+                        "neighbour": pd.Series(found, dtype=object),
+                    }
+                )
+
+    return update
+
+
+def nested_silhouettes(
+    df: DataFrame, finest: str, cuts: DataFrame, vector: str = "x", most: int = BLOCK_LABELS
+) -> DataFrame:
+    """(k, mean_silhouette) of every cut of a given hierarchy, by squared Euclidean distance.
 
-    def widths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ``cuts`` (finest, k, cut) says, for each ``k``, which cluster every ``finest`` label belongs to. One pass adds
+    up the finest labels; the sums of all cuts are rolled up from them by the mapping. A second
+    pass scores all cuts. The clusters of all cuts together must be at most ``most``.
+    """
+    sums = label_sums(df, finest, vector)
+    first = sums.select(F.size("sums")).first()
+    width = first[0] if first else 0
+    places = [F.sum(F.col("sums")[i]) for i in range(width)]
+    rolled = sums.join(cuts, finest).groupBy("k", "cut").agg(
+        F.sum("rows").alias("rows"), F.sum("squares").alias("squares"), F.array(*places).alias("sums")
+    )
+    held = rolled.orderBy("k", "cut").limit(most + 1).toPandas()
+    if len(held) > most:
+        raise ValueError(f"the cuts have more than {most} clusters together: score fewer at once")
+    scored = []
+    for k, part in held.groupby("k"):
+        sums_k = np.stack(part["sums"].to_numpy()).astype(float)
+        numbers = part["rows"].to_numpy(float)
+        means = _against(numbers, part["squares"].to_numpy(float), sums_k)
+        scored.append((int(k), {v: i for i, v in enumerate(part["cut"])}, numbers, means))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
         import pandas as pd
 
-        place = {name: i for i, name in enumerate(names)}
         for batch in batches:
-            if not len(batch):
-                continue
-            x = np.stack(batch[vector].to_numpy()).astype(float)
-            own = batch[label].map(place).to_numpy()
-            line = np.arange(len(x))
-            total = rows * (x**2).sum(axis=1)[:, None] + squares - 2 * x @ sums.T
-            total = np.maximum(total, 0.0)
-            inside = total[line, own] / np.maximum(rows[own] - 1, 1)
-            outside = total / rows
-            outside[line, own] = np.inf
-            near = outside.argmin(axis=1)
-            gap = outside[line, near]
-            larger = np.maximum(inside, gap)
-            alone = (rows[own] < 2) | (larger == 0) | ~np.isfinite(gap)
-            width = np.where(alone, 0.0, (gap - inside) / np.where(larger == 0, 1, larger))
-            yield pd.DataFrame(
-                {key: batch[key], label: batch[label], "neighbour": names[near], "width": width}
-            )
-
-    return df.select(key, label, vector).mapInPandas(widths, schema)
+            for start in range(0, len(batch), 1000):
+                piece = batch.iloc[start : start + 1000]
+                x, found = np.stack(piece[vector].to_numpy()).astype(float), []
+                for (k, place, rows, means), chosen in zip(scored, np.stack(piece["own"].to_numpy()).T):
+                    own = np.array([place[v] for v in chosen])
+                    inside, outside = means(x, own)
+                    gap = outside.min(axis=1)
+                    larger = np.maximum(inside, gap)
+                    known = (rows[own] > 1) & (larger > 0) & np.isfinite(gap)
+                    total = ((gap[known] - inside[known]) / larger[known]).sum()
+                    found.append((k, float(total), len(x)))
+                yield pd.DataFrame(found, columns=["k", "total", "rows"])
+
+    # The labels of a row at every cut, in the order of the cuts.
+    listed = cuts.groupBy(finest).agg(F.sort_array(F.collect_list(F.struct("k", "cut"))).alias("at"))
+    named = listed.select(finest, F.transform("at", lambda e: e["cut"]).alias("own"))
+    rows = lookup_join(df.select(finest, vector), named, finest).select(vector, "own")
+    parts = rows.mapInPandas(score, "k int, total double, rows long")
+    return parts.groupBy("k").agg((F.sum("total") / F.sum("rows")).alias("mean_silhouette"))
 
 
 def euclidean_silhouette(

@@ -7,6 +7,7 @@ by expressions over the columns; every table is read whole.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -277,3 +278,21 @@ def labelled_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(
         "vec_id", F.col("embedding").alias("x"), "label"
     )
+
+
+def nested_cuts(spark: SparkSession, folder: str) -> DataFrame:
+    """(label, k, cut): labels of the vectors joined in twos, fours and so on; k counts the clusters."""
+    finest = table(spark, folder, "embeddings").select("label").filter("label is not null").distinct()
+    found = []
+    for width in (1, 2, 4):
+        joined = finest.select("label", F.floor(F.col("label") / width).cast("int").alias("cut"))
+        count = joined.agg(F.countDistinct("cut")).first()[0]
+        found.append(joined.withColumn("k", F.lit(count)))
+    return reduce(DataFrame.unionByName, found).dropDuplicates(["label", "k"])
+
+
+def gender_profiles(patients: DataFrame, dims: list[str]) -> DataFrame:
+    """(anchor_id, x): the mean minutes per category of each gender, in whole minutes."""
+    means = [F.round(F.avg(F.col(f"`mins_{d}`"))) for d in dims]
+    known = patients.filter("gender is not null")
+    return known.groupBy(F.col("gender").cast("string").alias("anchor_id")).agg(F.array(*means).alias("x"))

@@ -406,6 +406,18 @@ PARTS["all_pairs"] = """
       CASE WHEN sum(greatest(a.held, b.held)) = 0 THEN 0 ELSE
         1 - sum(least(a.held, b.held)) / sum(greatest(a.held, b.held)) END AS dist
     FROM minutes a JOIN minutes b USING (dim) GROUP BY a.client_id, b.client_id"""
+PARTS["profile_lists"] = """
+    SELECT client_id, list(held ORDER BY dim) AS held FROM minutes GROUP BY client_id"""
+PARTS["classes"] = """
+    SELECT min(client_id) AS id, count(*) AS rows FROM profile_lists GROUP BY held"""
+PARTS["to_genders"] = """
+    SELECT client_id, anchor_id,
+      CASE WHEN sum(greatest(a.held, b.held)) = 0 THEN 0 ELSE
+        1 - sum(least(a.held, b.held)) / sum(greatest(a.held, b.held)) END AS dist
+    FROM minutes a JOIN (
+      SELECT gender::VARCHAR AS anchor_id, dim, round(avg(held)) AS held
+      FROM minutes JOIN patients USING (client_id) WHERE gender IS NOT NULL GROUP BY 1, 2) b USING (dim)
+    GROUP BY client_id, anchor_id"""
 ABOVE = " + ".join(f"(value > {i * 0.1!r}::DOUBLE)::DOUBLE" for i in range(11))
 
 ORACLES |= {
@@ -418,10 +430,17 @@ ORACLES |= {
         SELECT client_id, dim, hours / (SELECT max(hours) FROM hours) AS value FROM hours""",
     "rescale_over_one": "SELECT client_id, dim, (hours > 1)::DOUBLE AS value FROM hours",
     "rescale_minus_one": "SELECT client_id, dim, hours - 1 AS value FROM hours",
-    "anchor_distances": """
-        SELECT client_id, anchor_id, dist FROM all_pairs
-        WHERE anchor_id IN (SELECT client_id FROM patients
-                            ORDER BY md5(client_id::VARCHAR), client_id LIMIT 64)""",
+    "anchor_distances": "SELECT client_id, anchor_id, round(dist, 9) AS dist FROM to_genders",
+    "anchor_histogram": """
+        SELECT anchor_id, bin, bin / 20.0::DOUBLE AS low, (bin + 1) / 20.0::DOUBLE AS high, rows FROM (
+          SELECT anchor_id, least(floor(round(dist, 12) * 20), 19)::INT AS bin, count(*) AS rows
+          FROM to_genders GROUP BY 1, 2)""",
+    "profile_classes": """
+        SELECT client_id, min(client_id) OVER (PARTITION BY held) AS class_id FROM profile_lists""",
+    "similar_profiles": """
+        SELECT client_id AS a, anchor_id AS b, p.rows AS rows_a, q.rows AS rows_b, round(dist, 9) AS dist
+        FROM all_pairs JOIN classes p ON client_id = p.id JOIN classes q ON anchor_id = q.id
+        WHERE client_id < anchor_id AND dist <= 0.25 + 1e-12""",
     "distance_histogram": """
         SELECT bin::INT AS bin, bin / 20.0::DOUBLE AS low, (bin + 1) / 20.0::DOUBLE AS high,
           coalesce(pairs, 0) AS pairs
@@ -433,7 +452,7 @@ ORACLES |= {
 # --- clusters that are given ------------------------------------------------------
 
 
-def _silhouette(power: int) -> str:
+def _silhouette(power: int, source: str = "embeddings") -> str:
     return f"""
         SELECT vec_id, label, neighbour,
           CASE WHEN held < 2 THEN 0 ELSE (b - a) / greatest(a, b) END AS width
@@ -445,11 +464,17 @@ def _silhouette(power: int) -> str:
           FROM (
             SELECT p.vec_id, p.label, q.label AS other, count(*) AS held,
               sum(list_distance(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) ** {power}) AS total
-            FROM embeddings p, embeddings q GROUP BY p.vec_id, p.label, q.label)
+            FROM {source} p, {source} q GROUP BY p.vec_id, p.label, q.label)
           GROUP BY vec_id, label)"""
 
 
 PARTS["widths_squared"] = _silhouette(2)
+PARTS["nested_widths"] = " UNION ".join(
+    "SELECT count(DISTINCT label)::INT AS k, round(avg(width), 6) AS mean_silhouette FROM ("
+    + _silhouette(2, f"(SELECT vec_id, label // {width} AS label, embedding FROM embeddings)")
+    + ")"
+    for width in (1, 2, 4)
+)
 PARTS["people"] = """
     SELECT c_custkey AS client_id, c_mktsegment AS coarse, c_mktsegment || '.' || n_regionkey AS fine,
       c_acctbal AS measure
@@ -507,6 +532,8 @@ ORACLES |= {
     "silhouette_by_label": """
         SELECT label, count(*) AS n, round(avg(width), 6) AS mean_width
         FROM widths_squared GROUP BY label""",
+    "nested_silhouettes": "SELECT * FROM nested_widths",
+    "best_nested_cut": "SELECT * FROM nested_widths ORDER BY mean_silhouette DESC, k LIMIT 1",
     "canonical_labels": """
         SELECT client_id, cluster FROM people JOIN people_names USING (fine)""",
     "cluster_names": "SELECT * FROM people_names",

@@ -383,9 +383,9 @@ def _profile(spark: SparkSession, folder: str) -> DataFrame:
     return pf.profile_matrix(_patients(spark, folder))
 
 
-def _minutes(spark: SparkSession, folder: str) -> DataFrame:
+def _minutes(spark: SparkSession, folder: str, patients: DataFrame | None = None) -> DataFrame:
     """Profile vectors in whole minutes: the distance has no unit, and sums are exact."""
-    patients = _patients(spark, folder)
+    patients = patients or _patients(spark, folder)
     columns = [fc.named(f"mins_{d}").alias(d) for d in pf.profile_dims(patients)]
     return pf.as_vector(patients.select("client_id", *columns))
 
@@ -428,9 +428,32 @@ def rescale_minus_one(spark: SparkSession, folder: str) -> DataFrame:
     return pf.to_long(pf.rescale(_profile(spark, folder), "minus_one"), "value")
 
 
+def _to_genders(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All profiles, and the mean profile of each gender as the table that they are compared with."""
+    patients = _patients(spark, folder)
+    return _minutes(spark, folder, patients), b.gender_profiles(patients, pf.profile_dims(patients))
+
+
 @query
 def anchor_distances(spark: SparkSession, folder: str) -> DataFrame:
-    return ds.anchor_distances(_minutes(spark, folder), 64)
+    """Every patient against the mean profile of each gender."""
+    return ds.anchor_distances(*_to_genders(spark, folder)).withColumn("dist", F.round("dist", 9))
+
+
+@query
+def anchor_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return ds.anchor_histogram(*_to_genders(spark, folder))
+
+
+@query
+def profile_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return ds.profile_classes(_minutes(spark, folder))
+
+
+@query
+def similar_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of profiles at a distance of at most 0.25."""
+    return ds.similar_profiles(_minutes(spark, folder), 0.25).withColumn("dist", F.round("dist", 9))
 
 
 @query
@@ -460,6 +483,20 @@ def silhouette_by_label(spark: SparkSession, folder: str) -> DataFrame:
     return means.withColumn("mean_width", F.round("mean_width", 6))
 
 
+@query
+def nested_silhouettes(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean widths of three nested cuts that are given."""
+    known = b.labelled_vectors(spark, folder).filter("label is not null")
+    means = si.nested_silhouettes(known, "label", b.nested_cuts(spark, folder))
+    return means.withColumn("mean_silhouette", F.round("mean_silhouette", 6))
+
+
+@query
+def best_nested_cut(spark: SparkSession, folder: str) -> DataFrame:
+    """The number of clusters that the widths of the given cuts speak for."""
+    return nested_silhouettes(spark, folder).orderBy(F.desc("mean_silhouette"), "k").limit(1)
+
+
 @query
 def canonical_labels(spark: SparkSession, folder: str) -> DataFrame:
     people = b.labelled_customers(spark, folder)

@@ -78,21 +78,48 @@ def test_rescale_modes(spark):
 # --- distances ------------------------------------------------------------------
 
 
-def test_anchor_distances_equal_the_definition(spark, points):
-    found = ds.anchor_distances(make(spark, points), 100).collect()
+@pytest.mark.parametrize("block", [1000, 4])
+def test_anchor_distances_equal_the_definition(spark, points, block, monkeypatch):
+    monkeypatch.setattr(ds, "ANCHORS", block)
+    table = make(spark, points)
+    given = table.filter("client_id % 3 = 0").select(F.col("client_id").alias("anchor_id"), "x")
+    found = ds.anchor_distances(table, given).collect()
     want = all_jaccard(points)
-    assert len(found) == 1600
+    assert len(found) == 40 * 14
     for r in found:
         assert r["dist"] == pytest.approx(want[r["client_id"], r["anchor_id"]])
-    got = {(r["client_id"], r["anchor_id"]): r["dist"] for r in found}
-    assert all(got[i, j] == pytest.approx(got[j, i]) and 0 <= got[i, j] <= 1 for i, j in got)
-    assert all(got[i, i] == 0 for i in range(40)) and got[3, 4] == 0
-
-
-def test_anchors_do_not_depend_on_partitions(spark, points):
-    table = make(spark, points)
-    one, many = ds.pick_anchors(table.coalesce(1), 7), ds.pick_anchors(table.repartition(9), 7)
-    assert one[0] == many[0] and len(one[0]) == 7
+    assert ds.anchor_distances(table, given.limit(0)).count() == 0
+    slots = np.minimum(np.floor(np.round(want[:, 3], 12) * 20), 19).astype(int)
+    counted = {r["bin"]: r["rows"] for r in ds.anchor_histogram(table, given).filter("anchor_id = 3").collect()}
+    assert counted == dict(zip(*np.unique(slots, return_counts=True)))
+
+
+@pytest.mark.parametrize("most", [0.05, 0.3, 0.7])
+@pytest.mark.parametrize("whole", [False, True])
+def test_similar_profiles_equal_brute_force(spark, most, whole):
+    profiles = crowd(250, seed=9) * (np.random.default_rng(1).random((250, 7)) > 0.3)
+    profiles = np.concatenate([profiles, profiles[:5], profiles[:5] * (1 - most), np.zeros((4, 7))])
+    profiles = np.rint(profiles * 20) if whole else profiles
+    table = make(spark, profiles)
+    classes = {r["client_id"]: r["class_id"] for r in ds.profile_classes(table).collect()}
+    first = {}
+    for i, p in enumerate(profiles):
+        assert classes[i] == first.setdefault(tuple(p), i)
+    dist = all_jaccard(profiles)
+    heads = sorted(set(classes.values()))
+    size = {h: sum(c == h for c in classes.values()) for h in heads}
+    want = {(a, b): (size[a], size[b]) for a in heads for b in heads if a < b and dist[a, b] <= most + 1e-12}
+    found = ds.similar_profiles(table, most).collect()
+    assert {(r["a"], r["b"]): (r["rows_a"], r["rows_b"]) for r in found} == want and len(found) == len(want)
+    assert all(r["dist"] == pytest.approx(dist[r["a"], r["b"]]) for r in found)
+
+
+def test_similar_profiles_of_odd_tables(spark):
+    table = make(spark, np.zeros((3, 2)))
+    assert ds.similar_profiles(table, 0.5).count() == 0
+    assert ds.similar_profiles(table.limit(0), 0.5).count() == 0
+    with pytest.raises(ValueError):
+        ds.similar_profiles(table, 1.0)
 
 
 @pytest.mark.parametrize("block_rows", [1000, 6])
@@ -338,9 +365,43 @@ def test_euclidean_silhouette_equals_brute_force(labelled, block_rows):
     assert found.count() == len(points)
 
 
-def test_many_labels_are_refused(labelled):
+@pytest.mark.parametrize("block", [1, 2, 3])
+def test_labels_come_in_blocks(labelled, block):
+    points, labels, df = labelled
+    found = si.squared_silhouette(df, "id", "label", block_labels=block)
+    assert np.allclose(widths(found), brute_silhouette(points, labels, 2))
+    whole = si.squared_silhouette(df, "id", "label").select("id", "neighbour").collect()
+    assert sorted(found.select("id", "neighbour").collect()) == sorted(whole)
+
+
+def test_twenty_thousand_labels(spark):
+    """Two rows a label, far from all others: every width is near 1."""
+    rows = spark.range(40_000).select(
+        "id",
+        F.floor(F.col("id") / 2).cast("int").alias("label"),
+        F.array(F.floor(F.col("id") / 2) * 10.0, (F.col("id") % 2).cast("double")).alias("x"),
+    )
+    found = si.squared_silhouette(rows, "id", "label").agg(F.count("*"), F.min("width"), F.max("width")).first()
+    assert found[0] == 40_000 and found[1] > 0.98 and found[2] < 1
+
+
+def test_one_label_has_no_neighbour(labelled):
+    df = labelled[2].withColumn("label", F.lit(1))
+    assert {(r["neighbour"], r["width"]) for r in si.squared_silhouette(df, "id", "label").collect()} == {(None, 0.0)}
+
+
+def test_nested_silhouettes_equal_one_per_cut(spark, labelled):
+    points, labels, df = labelled
+    levels = {4: {0: 0, 1: 1, 2: 2, 3: 2, 9: 3}, 2: {0: 0, 1: 0, 2: 1, 3: 1, 9: 1}, 5: {v: v for v in (0, 1, 2, 3, 9)}}
+    rows = [(finest, k, cut) for k, to in levels.items() for finest, cut in to.items()]
+    cuts = spark.createDataFrame([(f, k, c) for f, k, c in rows], "label int, k int, cut int")
+    found = {r["k"]: r["mean_silhouette"] for r in si.nested_silhouettes(df, "label", cuts).collect()}
+    assert set(found) == {2, 4, 5}
+    for k, to in levels.items():
+        joined = np.array([to[v] for v in labels])
+        assert found[k] == pytest.approx(np.mean(brute_silhouette(points, joined, 2)))
     with pytest.raises(ValueError):
-        si.label_sums(labelled[2], "id", limit=10)
+        si.nested_silhouettes(df, "label", cuts, most=10)
 
 
 # --- clusters -------------------------------------------------------------------------
