@@ -164,10 +164,8 @@ def test_line_dedup_finds_changed_words_in_short_lines(spark, docs_of):
     assert len(dropped()) < 0.9 * len(want)
 
 
-def test_line_stage_of_the_pipeline(spark):
-    """On real documents against edit similarity alone."""
-    docs = table(spark, "documents").filter("doc_id < 60")
-    given = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+def lines_by_similarity(given):
+    """(id, text) -> texts after dedup by edit similarity alone: what the line stage must find."""
     places = [(i, p, line_dedup.line_form(x)) for i, (_, text) in enumerate(given) for p, x in enumerate((text or "").split("\n"))]
     places = [x for x in places if x[2]]
 
@@ -177,12 +175,18 @@ def test_line_stage_of_the_pipeline(spark):
 
     root = components(len(places), linked)
     gone = {places[i][:2] for i in range(len(places)) if root[i] != i}
-    want = {
+    return {
         doc: text if text is None else "\n".join(x for p, x in enumerate(text.split("\n")) if (i, p) not in gone)
         for i, (doc, text) in enumerate(given)
     }
+
+
+def test_line_stage_of_the_pipeline(spark):
+    """On real documents against edit similarity alone."""
+    docs = table(spark, "documents").filter("doc_id < 60")
+    given = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     got = corpus_pipeline.dedup_lines(spark, docs, SMALL)
-    assert {r["doc_id"]: r["text"] for r in got.collect()} == want
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == lines_by_similarity(given)
 
 
 def scores(df, names):
@@ -417,7 +421,7 @@ def test_pipeline(spark):
             gone = {r["doc_id"] for r in judged.collect() if r["lang_pred"] == "und" or r["score"] < 0.4}
             assert before.keys() - after.keys() == gone
     before, after = kept["line_dedup"]
-    assert after == dict(brute_lines(sorted(before.items())))
+    assert after == lines_by_similarity(sorted(before.items()))
     before, after = kept["simhash_dedup"]
     groups = brute_groups(sorted(before.items()))
     assert after == {d: before[d] for d, _, low in groups if d == low}
