@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortline.core.skew import lookup_join
 from cohortline.functions.aggregates import half_even
 from cohortline.functions.columns import with_labels
-from cohortline.operators.timeline import FOLLOW_UP, MONTHS, PRIOR, in_periods
+from cohortline.operators.timeline import FOLLOW_UP, MONTHS, PRIOR, UNMATCHED, category_key, in_periods
 
 MONTH_KEYS = ("client_id", "year", "month")
 
@@ -102,6 +104,37 @@ def activity_features(timeline: DataFrame, categories: list[str], minutes: bool)
     return in_periods(timeline, (FOLLOW_UP,)).groupBy("client_id").agg(*columns)
 
 
+def activity_maps(timeline: DataFrame, keys: tuple[str, ...] = ("client_id",)) -> DataFrame:
+    """Events and rounded minutes per ``keys`` as maps by category, for any number of categories.
+
+    (keys, n, mins): a category without an event is not in the maps. Built from the long form, so
+    the width of a row follows its own categories, not those of the whole table.
+    """
+    entry = F.struct("category", "n", "mins")
+    listed = activity_long(timeline, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("held"))
+    columns = {c: F.map_from_arrays("held.category", f"held.{c}") for c in ("n", "mins")}
+    return listed.withColumns(columns).drop("held")
+
+
+def category_catalogue(types: DataFrame) -> DataFrame:
+    """(category, n_column, mins_column) of every category of the dimension and the unmatched one."""
+    unmatched = types.sparkSession.createDataFrame([(UNMATCHED,)], "category string")
+    keys = types.select(category_key(F.col("description_cat")).alias("category")).union(unmatched)
+    columns = [F.concat(F.lit(p), "category").alias(f"{p}column") for p in ("n_", "mins_")]
+    return keys.distinct().select("category", *columns)
+
+
+def widen_maps(maps: DataFrame, categories: list[str]) -> DataFrame:
+    """The given categories of ``activity_maps`` as columns, 0 where there is no event."""
+    zero = {"n": F.lit(0), "mins": F.lit(0.0)}
+    wide = [
+        F.coalesce(F.try_element_at(F.col(p), F.lit(c)), zero[p]).alias(f"{p}_{c}")
+        for p in ("n", "mins")
+        for c in categories
+    ]
+    return maps.select(*[c for c in maps.columns if c not in zero], *wide)
+
+
 def client_month_summary(timeline: DataFrame) -> DataFrame:
     """Care per client and calendar month, from look-back to end of follow-up."""
     table = in_periods(timeline, MONTHS).groupBy(*MONTH_KEYS).agg(*care_columns())
@@ -150,12 +183,21 @@ def team_minutes(timeline: DataFrame) -> DataFrame:
 
 def dominant_team(timeline: DataFrame, teams: DataFrame) -> DataFrame:
     """Team with most minutes per client, the lowest id on a tie, with its names."""
-    ranked = F.struct((-F.col("mins")).alias("less"), F.col("team_id"))
-    best = team_minutes(timeline).groupBy("client_id").agg(F.min(ranked).alias("best"))
+    held = team_minutes(timeline)
+    kind = held.schema["team_id"].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"team ids must be whole numbers, not {kind.simpleString()}")
+    # Minutes and id as one number of fixed width, so a hash aggregate finds the best: more
+    # minutes first, then the lower id. Minutes are whole.
+    span = F.lit(Decimal(1 << 64))
+    rank = F.lit(Decimal((1 << 63) - 1)) - F.col("team_id").cast("decimal(20,0)")
+    packed = (F.col("mins").cast("decimal(17,0)") * span + rank).cast("decimal(38,0)")
+    best = held.groupBy("client_id").agg(F.max(packed).alias("best"))
+    rest = F.pmod("best", span)
     chosen = best.select(
         "client_id",
-        F.col("best.team_id").alias("team_id"),
-        (F.lit(0.0) - F.col("best.less")).alias("team_mins"),
+        (F.lit(Decimal((1 << 63) - 1)) - rest).cast(kind).alias("team_id"),
+        ((F.col("best") - rest) / span).cast("double").alias("team_mins"),
     )
     names = teams.select("team_id", "team", "subdepartment", "department", "organisation")
     return lookup_join(chosen, names, "team_id", "left").select(

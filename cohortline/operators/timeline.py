@@ -34,12 +34,14 @@ def clean_descriptions(types: DataFrame, column: str = "description") -> DataFra
     return types.withColumn(column, ascii_text(F.col(column)))
 
 
-def category_values(types: DataFrame, limit: int = 1000) -> list[str]:
-    """Sorted category keys of the dimension, with the unmatched group last."""
+def category_values(types: DataFrame) -> list[str]:
+    """Sorted category keys of the dimension, with the unmatched group last.
+
+    These become column names. For thousands of categories, ``summaries.activity_maps`` keeps
+    them in maps instead, and ``category_catalogue`` lists them as a table.
+    """
     keys = types.select(category_key(F.col("description_cat")).alias("c")).distinct()
-    found = [row[0] for row in keys.limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} categories: group them before widening")
+    found = [row[0] for row in keys.collect()]
     return [*sorted(c for c in found if c != UNMATCHED), UNMATCHED]
 
 

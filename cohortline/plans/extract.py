@@ -18,7 +18,7 @@ from cohortline.plans.patients import (
 )
 from cohortline.plans.trajectories import patients_with_clusters
 from cohortline.sources.roles import CareTables
-from cohortline.sources.tables import write_tables
+from cohortline.sources.tables import publish_tables
 
 
 def build_extract(
@@ -56,12 +56,25 @@ def month_tables(
     }
 
 
+ORDER = ("client_id", "year", "month")
+
+
+def in_total_order(df: DataFrame) -> DataFrame:
+    """Rows by client, year and month over all partitions: each holds a range and is sorted.
+
+    Files are written by partition, so reading them by name gives the whole table in order.
+    """
+    keys = [c for c in ORDER if c in df.columns]
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
+
+
 def write_extract(tables: dict[str, DataFrame], folder: str, by_year: bool = False) -> None:
-    """Write the four tables, in order within each file; ``by_year`` lays months out by year."""
+    """Write the four tables in total order, and publish them together.
+
+    Each run writes to a folder of its own below ``folder``. Only when all tables are complete the
+    manifest is replaced, in one step, and from then on names that run. A failed run leaves what
+    was published before. ``by_year`` lays months out by year, in order within each year.
+    """
     months = [name for name, df in tables.items() if "year" in df.columns]
-    order = ("client_id", "year", "month")
-    tables = {
-        name: df.sortWithinPartitions(*(c for c in order if c in df.columns))
-        for name, df in tables.items()
-    }
-    write_tables(tables, folder, {name: ["year"] for name in months} if by_year else None)
+    ordered = {name: in_total_order(df) for name, df in tables.items()}
+    publish_tables(ordered, folder, {name: ["year"] for name in months} if by_year else None)

@@ -11,6 +11,7 @@ from cohortline.core.spec import CohortSpec
 from cohortline.core.workspace import materialise
 from cohortline.functions.columns import named
 from cohortline.operators.cohort import episode_costs, index_cohort
+from cohortline.operators.sampling import exact_sample
 from cohortline.operators.summaries import client_month_features, client_overview, dominant_team
 from cohortline.operators.timeline import category_values, compact, event_timeline
 from cohortline.sources.roles import CareTables
@@ -82,6 +83,6 @@ def case_bundle(tables: dict[str, DataFrame], clients: DataFrame) -> dict[str, D
 
 
 def demo_clients(clients: DataFrame, count: int = 10, seed: int = 0) -> DataFrame:
-    """A small repeatable draw of clients for a demonstration bundle."""
-    ids = clients.select("client_id").distinct()
-    return ids.orderBy(F.xxhash64("client_id", F.lit(seed)), "client_id").limit(count)
+    """A repeatable draw of exactly ``count`` clients (or all) for a demonstration bundle."""
+    ids = clients.select("client_id").filter("client_id is not null").distinct()
+    return exact_sample(materialise(ids, "clients"), "client_id", count, f"{seed}/")

@@ -192,6 +192,21 @@ ORACLES: dict[str, str] = {
     "team_minutes": "SELECT * FROM team_mins",
     "dominant_team": "SELECT * FROM best_team",
     "patients": "SELECT * FROM patients",
+    "demo_extract": """
+        SELECT * FROM dx WHERE client_id IN (
+          SELECT client_id FROM (SELECT DISTINCT client_id FROM cohort)
+          ORDER BY md5('0/' || client_id::VARCHAR) LIMIT 10)""",
+    "activity_maps": """
+        SELECT client_id, count(*) AS categories,
+          string_agg(category || '=' || n, ';' ORDER BY category) AS events
+        FROM (SELECT client_id, category, sum(n)::BIGINT AS n FROM tl
+              WHERE period = 'follow_up' GROUP BY client_id, category)
+        GROUP BY client_id""",
+    "activity_from_maps": "SELECT * FROM n_wide",
+    "category_catalogue": """
+        SELECT DISTINCT category, 'n_' || category AS n_column, 'mins_' || category AS mins_column
+        FROM (SELECT coalesce(lower(description_cat), '<na>') AS category FROM types
+              UNION ALL SELECT '<na>')""",
     "case_bundle_dx": "SELECT * FROM dx WHERE client_id IN (SELECT client_id FROM cohort)",
     "case_bundle_clients": "SELECT * FROM clients WHERE client_id IN (SELECT client_id FROM cohort)",
     "case_bundle_dbc": "SELECT * FROM dbc WHERE client_id IN (SELECT client_id FROM cohort)",

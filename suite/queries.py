@@ -181,6 +181,35 @@ def patients(spark: SparkSession, folder: str) -> DataFrame:
     return table.withColumn("costs", F.round("costs", 2))
 
 
+@query
+def demo_extract(spark: SparkSession, folder: str) -> DataFrame:
+    """All diagnoses of ten clients of the cohort: the bundle for demonstrations."""
+    drawn = pl.demo_clients(_cohort(spark, folder))
+    return pl.case_bundle({"dx": b.dx(spark, folder)}, drawn)["dx"]
+
+
+@query
+def activity_maps(spark: SparkSession, folder: str) -> DataFrame:
+    """Events by category as maps, written out as text in the order of the categories."""
+    maps = su.activity_maps(tl.in_periods(_timeline(spark, folder), (tl.FOLLOW_UP,)))
+    entry = lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))
+    written = F.array_join(F.transform(F.array_sort(F.map_entries("n")), entry), ";")
+    return maps.select("client_id", F.size("n").cast("long").alias("categories"), written.alias("events"))
+
+
+@query
+def activity_from_maps(spark: SparkSession, folder: str) -> DataFrame:
+    """The wide counts of every category, taken from the maps."""
+    maps = su.activity_maps(tl.in_periods(_timeline(spark, folder), (tl.FOLLOW_UP,)))
+    categories = _categories(spark, folder)
+    return su.widen_maps(maps, categories).select("client_id", *[fc.named(f"n_{c}") for c in categories])
+
+
+@query
+def category_catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    return su.category_catalogue(b.intervention_types(spark, folder))
+
+
 def _bundle(spark: SparkSession, folder: str, name: str) -> DataFrame:
     cohort = _cohort(spark, folder)
     tables: dict[str, Callable[[], DataFrame]] = {

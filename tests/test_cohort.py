@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortline.core.spec import CohortSpec
 from cohortline.operators import cohort as co
@@ -336,3 +337,57 @@ def test_bound_interventions_may_be_a_function(spark, events, types, dx, codes,
     )
     assert care.interventions_of(clients.select("client_id")).count() == events.count()
     assert len(asked) == 1
+
+
+def test_thousands_of_categories_fit_in_maps(spark):
+    from cohortline.operators import summaries as su
+    from cohortline.operators import timeline as tl
+
+    types = spark.range(5000).select(
+        F.col("id").alias("intervention_type_id"),
+        F.when(F.col("id") > 0, F.concat(F.lit("Cat"), "id")).alias("description_cat"),
+    )
+    assert len(tl.category_values(types)) == 5000
+    listed = su.category_catalogue(types)
+    assert listed.count() == 5000 and listed.filter("category = '<na>' and n_column = 'n_<na>'").count() == 1
+    events = spark.range(20_000).select(
+        F.pmod("id", F.lit(3)).alias("client_id"),
+        F.concat(F.lit("cat"), F.pmod("id", F.lit(5000))).alias("category"),
+        F.lit(2).cast("long").alias("n"),
+        F.lit(1.5).alias("listed"),
+    )
+    maps = su.activity_maps(events)
+    assert {r["c"] for r in maps.select(F.size("n").alias("c")).collect()} == {5000}
+    assert maps.agg(F.sum(F.aggregate(F.map_values("n"), F.lit(0).cast("long"), lambda s, v: s + v))).first()[0] == 40_000
+    wide = su.widen_maps(maps, ["cat7", "none"])
+    assert wide.columns == ["client_id", "n_cat7", "n_none", "mins_cat7", "mins_none"]
+    assert {tuple(r)[1:] for r in wide.collect()} <= {(2, 0, 2.0, 0.0), (4, 0, 3.0, 0.0), (4, 0, 4.0, 0.0)} | {(2, 0, 1.0, 0.0)}
+
+
+def test_best_team_needs_no_sort(spark, rows):
+    from cohortline.operators import summaries as su
+
+    care = [(1, 5, 10.0), (1, -3, 10.0), (1, 9, 4.0), (2, 7, 0.0), (2, 8, 0.0), (3, None, 90.0), (4, (1 << 62), 3.4), (4, 1, 3.4)]
+    timeline = spark.createDataFrame(care, "client_id long, team_id long, listed double").withColumns(
+        {"n": F.lit(1).cast("long"), "period": F.lit("follow_up")}
+    )
+    teams = spark.createDataFrame([(-3, "a"), (7, "b")], "team_id long, team string").withColumns(
+        {c: F.lit("x") for c in ("subdepartment", "department", "organisation")}
+    )
+    best = su.dominant_team(timeline, teams)
+    assert rows(best, "client_id", "team_id", "team_mins", "team") == [
+        (1, -3, 10.0, "a"), (2, 7, 0.0, "b"), (4, 1, 3.0, None)
+    ]
+    assert "SortAggregate" not in best._jdf.queryExecution().toString()
+    with pytest.raises(TypeError):
+        su.dominant_team(timeline.withColumn("team_id", F.col("team_id").cast("string")), teams)
+
+
+@pytest.mark.parametrize("count", [0, 1, 7, 999, 1000, 5000])
+def test_samples_have_the_size_asked_for(spark, rows, count):
+    from cohortline.operators.sampling import exact_sample
+
+    table = spark.range(1000).withColumn("v", F.col("id") * 2)
+    got = rows(exact_sample(table.repartition(6), "id", count, "s"))
+    assert len(got) == min(count, 1000) and got == rows(exact_sample(table.coalesce(1), "id", count, "s"))
+    assert set(got) <= set(rows(exact_sample(table, "id", count + 50, "s")))
