@@ -78,3 +78,15 @@ def decimal_comma(column: Column) -> Column:
 def numeric_minimum(df: DataFrame) -> DataFrame:
     """Smallest value of every numeric column, skipping missing values; one row."""
     return df.agg(*[F.min(named(c)).alias(c) for c in numeric_columns(df)])
+
+
+def label_table(df: DataFrame) -> DataFrame:
+    """(column, label, rows): the readable label of every labelled column, and how many values it has."""
+    labelled = {f.name: f.metadata["label"] for f in df.schema.fields if f.metadata.get("label")}
+    counts = [
+        F.struct(F.lit(c).alias("column"), F.lit(t).alias("label"), F.count(named(c)).alias("rows"))
+        for c, t in labelled.items()
+    ]
+    if not counts:
+        return df.sparkSession.createDataFrame([], "column string, label string, rows long")
+    return df.agg(F.array(*counts).alias("held")).select(F.inline("held"))

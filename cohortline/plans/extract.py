@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortline.core.spec import CohortSpec
 from cohortline.core.workspace import materialise
@@ -68,6 +68,18 @@ def in_total_order(df: DataFrame) -> DataFrame:
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
 
 
+def with_position(df: DataFrame) -> DataFrame:
+    """Stored rows in total order with their ``position`` from 1; only range counts are gathered."""
+    laid = in_total_order(df).withColumn("_id", F.monotonically_increasing_id())
+    stored = materialise(laid, "ordered").withColumn("_range", F.shiftright("_id", 33))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range, as many as there are partitions.
+    ranges = stored.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    ranges = ranges.select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return stored.join(F.broadcast(ranges), "_range").withColumn("position", place).drop("_id", "_range", "_before")
+
+
 def write_extract(tables: dict[str, DataFrame], folder: str, by_year: bool = False) -> None:
     """Write the four tables in total order, and publish them together.
 

@@ -547,6 +547,19 @@ ORACLES |= {
     "silhouette_by_label": """
         SELECT label, count(*) AS n, round(avg(width), 6) AS mean_width
         FROM widths_squared GROUP BY label""",
+    "attached_clusters": """
+        SELECT client_id, concat_ws('.', gender::VARCHAR, floor(year_of_birth / 10)::BIGINT::VARCHAR) AS cluster, n, mins
+        FROM patients""",
+    "extract_order": """
+        SELECT row_number() OVER (ORDER BY client_id, year, month) AS position, client_id, year, month, n
+        FROM month_care""",
+    "column_labels": """
+        SELECT 'n' AS "column", 'Number of Interventions' AS label, count(n) AS rows FROM month_care
+        UNION ALL SELECT 'nb', 'Number of BGGZ Interventions', count(nb) FROM month_care
+        UNION ALL SELECT 'ns', 'Number of SGGZ Interventions', count(ns) FROM month_care
+        UNION ALL SELECT 'mins', 'Minutes of Interventions', count(mins) FROM month_care
+        UNION ALL SELECT 'minsb', 'Minutes of BGGZ Interventions', count(minsb) FROM month_care
+        UNION ALL SELECT 'minss', 'Minutes of SGGZ Interventions', count(minss) FROM month_care""",
     "nested_silhouettes": "SELECT * FROM nested_widths",
     "best_nested_cut": "SELECT * FROM nested_widths ORDER BY mean_silhouette DESC, k LIMIT 1",
     "canonical_labels": """

@@ -662,6 +662,31 @@ def trajectory_silhouette(spark: SparkSession, folder: str) -> DataFrame:
     return si.euclidean_silhouette(placed, "client_id", "cluster")
 
 
+@query
+def attached_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Patients with the readable name of a cluster that is given: by gender and decade of birth."""
+    people = _patients(spark, folder)
+    decade = F.floor(F.col("year_of_birth") / 10).cast("string")
+    given = people.select("client_id", F.concat_ws(".", "gender", decade).alias("cluster"))
+    attached = tr.attach_clusters(people, materialise(given, "clusters"))
+    return attached.select("client_id", "cluster", "n", "mins")
+
+
+@query
+def extract_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each client-month stands in the extract."""
+    months = su.client_month_summary(_timeline(spark, folder, False))
+    return ex.with_position(months).select("position", "client_id", "year", "month", "n")
+
+
+@query
+def column_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of the month summary's columns, as they come back from a saved table."""
+    path = f"{scratch_dir(spark)}/cohortline/labels-{uuid.uuid4().hex}"
+    write_tables({"months": su.client_month_summary(_timeline(spark, folder, False))}, path)
+    return fc.label_table(read_tables(spark, path, ["months"])["months"])
+
+
 def _extract(spark: SparkSession, folder: str, name: str) -> DataFrame:
     tables = ex.build_extract(
         b.care_tables(spark, folder),
