@@ -24,6 +24,11 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(quoted(id_col).cast("long").alias("doc_id"), text.alias("text"))
 
 
+def text_key(text: Column) -> Column:
+    """SHA-256 of a text, null as empty: what rows of one text have in common."""
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+
+
 def remainder(id_col: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; null for a null id."""
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(modulus)

@@ -8,16 +8,16 @@ a part of the sample that training does not see turns scores into calibrated pro
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortline.core.workspace import materialise
-from cohortline.llm.common import id_and_text, quoted, remainder
+from cohortline.llm.common import id_and_text, quoted, remainder, text_key
 from cohortline.llm.sampling import FOLDS, below
 
 #: Hashed features (a power of two), longest n-gram, sampled documents over all languages.
@@ -25,7 +25,7 @@ BITS, LONGEST, SAMPLE = 16, 3, 8000
 EPOCHS, ALPHA, BETA, L1, L2 = 2, 1.0, 1.0, 0.002, 0.001
 SLICE = 1 << 20
 UNKNOWN = "und"
-_letter = re.compile(r"[^\W\d_]")
+_letter = regex.compile(r"\p{L}")
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -231,9 +231,13 @@ def identify(
     modulus: int = 3,
     held: int = 1,
     sample: int = SAMPLE,
+    with_key: bool = False,
 ) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row of ``docs``.
 
+    ``with_key`` adds ``text_key``, by which a row finds its text's result: it depends on the
+    text only, while ids may be null or repeat.
+
     Learns from rows whose crc32 of the id, modulo ``modulus``, is not ``held`` and whose
     language is not null; a null id is never learned from and counts as not held out. A
     null text or one without a letter gives ``und`` with score 0, as does every text if
@@ -243,4 +247,5 @@ def identify(
     learn = remainder(F.col("doc_id"), modulus) != held
     model = fit(docs, learn, sample)
     out = F.coalesce(remainder(F.col("doc_id"), modulus) == held, F.lit(False))
-    return predict(id_and_text(docs).withColumn("held_out", out), model, ["doc_id", "held_out"])
+    read = id_and_text(docs).withColumns({"held_out": out, "text_key": text_key(F.col("text"))})
+    return predict(read, model, ["doc_id", "held_out", *["text_key"] * with_key])

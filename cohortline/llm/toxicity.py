@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cohortline.core.workspace import materialise
-from cohortline.llm.common import Cache, id_and_text, remainder
+from cohortline.llm.common import Cache, id_and_text, remainder, text_key
 from cohortline.llm.sampling import fit_sigmoid, labelled_sample, one_per_family, sigmoid
 
 #: Labelled rows per class, terms, least test statistic (strict, as very many terms are
@@ -250,9 +250,13 @@ def classify(
     held: int = 1,
     bound: int = SAMPLE,
     threshold: float = THRESHOLD,
+    with_key: bool = False,
 ) -> DataFrame:
     """``doc_id, held_out, score, predicted, evidence`` of every row of ``docs``.
 
+    ``with_key`` adds ``text_key``, by which a row finds its text's result: it depends on the
+    text only, while ids may be null or repeat.
+
     Labels are learned from about ``bound`` rows of each class whose crc32 of the id,
     modulo ``modulus``, is not ``held``. ``evidence`` lists the nearest examples with
     their cosine and label. A text without a chosen term (also a null or empty one) has
@@ -265,7 +269,9 @@ def classify(
     sample = one_per_family(sample)
     terms = choose_terms(sample)
     read = id_and_text(docs).withColumn("held_out", F.coalesce(part == held, F.lit(False)))
-    vectors = materialise(term_counts(read, terms, ["doc_id", "held_out"]), "term-counts")
+    read = read.withColumn("text_key", text_key(F.col("text")))
+    names = ["doc_id", "held_out", *["text_key"] * with_key]
+    vectors = materialise(term_counts(read, terms, names), "term-counts")
     seen = np.zeros(len(terms))
     for row in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
         seen[row["t"]] = row["count"]
@@ -290,13 +296,13 @@ def classify(
                     [{"doc_id": int(model.ids[i]), "cosine": c, "label": int(model.labels[i])} for i, c in top]
                 )
             scores = np.array(scores, float)
-            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(scores)]
+            columns = [*(batch.column(name) for name in names), pa.array(scores)]
             columns += [pa.array((scores >= threshold).astype(np.int32)), pa.array(evidence, proof)]
             yield pa.RecordBatch.from_arrays(
-                columns, names=["doc_id", "held_out", "score", "predicted", "evidence"]
+                columns, names=[*names, "score", "predicted", "evidence"]
             )
 
-    schema = "doc_id long, held_out boolean, score double, predicted int"
+    schema = f"doc_id long, held_out boolean, {'text_key string, ' * with_key}score double, predicted int"
     return vectors.mapInArrow(
         run, f"{schema}, evidence array<struct<doc_id: bigint, cosine: double, label: int>>"
     )

@@ -11,7 +11,8 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortline.llm import alignment, common, exact_dedup, manifest
+import corpus_pipeline
+from cohortline.llm import alignment, common, exact_dedup, language, manifest, toxicity
 from cohortline.llm.oracles import ORACLES
 from cohortline.llm.queries import QUERIES
 from suite.compare import database, difference
@@ -254,3 +255,39 @@ def test_shared_cuts():
 def test_alignment_query(spark, rows):
     given = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     assert rows(QUERIES["op11_token_alignment"](spark, SMALL)) == brute_alignment(given)
+
+
+def test_only_letters_count_as_letters(spark, docs_of):
+    plain = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    signs = ["²", "½ ¾", "① ②", "Ⅷ", "٣", "_", "1 2"]
+    odd = spark.createDataFrame([(90_000 + i, t, None, "s", 1) for i, t in enumerate([*signs, "é", "Ж"])], plain.schema)
+    judged = {r["doc_id"]: r for r in language.identify(plain.union(odd)).filter("doc_id >= 90000").collect()}
+    assert all(judged[90_000 + i]["lang_pred"] == "und" and judged[90_000 + i]["score"] == 0 for i in range(len(signs)))
+    assert all(judged[90_000 + i]["lang_pred"] != "und" for i in range(len(signs), len(signs) + 2))
+
+
+def test_results_find_their_row_by_text(spark, rows, docs_of, odd_docs):
+    labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
+    for judged in (language.identify(odd_docs, with_key=True), toxicity.classify(odd_docs, labels, with_key=True)):
+        want = odd_docs.select("doc_id", common.text_key(F.col("text")))
+        assert rows(judged, "doc_id", "text_key") == rows(want)
+        assert "text_key" not in language.identify(odd_docs).columns
+
+
+def test_pipeline_rejects_rows_not_ids(spark, rows, docs_of):
+    given = [(1, "good text"), (1, "bad"), (None, "bad"), (None, "good text"), (2, None), (2, "")]
+    docs = docs_of(given).withColumns({"_rejected": F.lit("x"), "text_key": F.lit(1)})
+    judged = spark.createDataFrame([("bad", 1), ("good text", 0), ("", 0)], "text string, predicted int")
+    judged = judged.select(common.text_key(F.col("text")).alias("text_key"), "predicted")
+    kept = corpus_pipeline._without(docs, judged, F.col("predicted") == 1)
+    assert kept.columns == docs.columns
+    assert rows(kept, "doc_id", "text") == sorted([g for g in given if g[1] != "bad"], key=repr)
+
+
+def test_pipeline_of_odd_and_no_rows(spark, odd_docs):
+    for docs in (odd_docs.withColumn("_rejected", F.lit(1)), odd_docs.limit(0)):
+        columns, expected = docs.columns, docs.count()
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SMALL).cache()
+            assert docs.columns == columns and docs.count() <= expected
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() >= docs.count()
