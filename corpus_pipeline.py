@@ -11,20 +11,24 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortline.core.workspace import materialise
 from cohortline.llm import language, line_dedup, packing, simhash, toxicity
+from cohortline.llm.common import text_key
 
 #: Documents whose language is recognised with less than this probability go.
 LEAST_LANGUAGE_SCORE = 0.4
 
 
 def _without(docs: DataFrame, judged: DataFrame, rejected) -> DataFrame:
-    """``docs`` but for the ids rejected; rows without an id can't be named and stay."""
-    gone = judged.filter(rejected & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` but for the rows rejected, found by their text: ids may be null or repeat."""
+    name = "_rejected"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    gone = judged.filter(rejected).select(F.col("text_key").alias(name)).distinct()
+    return docs.join(gone, text_key(F.col("text")) == F.col(name), "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Rejects documents without a recognisable language; learns from ``docs`` itself."""
-    judged = materialise(language.identify(docs), "languages")
+    judged = materialise(language.identify(docs, with_key=True), "languages")
     unknown = (F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < LEAST_LANGUAGE_SCORE)
     return _without(docs, judged, unknown)
 
@@ -32,7 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def toxicity_filter(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Rejects documents predicted to be toxic; learns from the labels of ``docs``."""
     labels = spark.read.parquet(f"{folder}/labels.parquet")
-    judged = materialise(toxicity.classify(docs, labels), "toxicity")
+    judged = materialise(toxicity.classify(docs, labels, with_key=True), "toxicity")
     return _without(docs, judged, F.col("predicted") == 1)
 
 
