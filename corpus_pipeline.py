@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cohortline.core.skew import measured
 from cohortline.core.workspace import materialise
 from cohortline.llm import language, line_dedup, packing, simhash, toxicity
 from cohortline.llm.common import text_key
@@ -23,7 +24,8 @@ def _without(docs: DataFrame, judged: DataFrame, rejected) -> DataFrame:
     while name in map(str.lower, docs.columns):
         name += "_"
     gone = judged.filter(rejected).select(F.col("text_key").alias(name)).distinct()
-    return docs.join(gone, text_key(F.col("text")) == F.col(name), "left_anti")
+    gone = measured(materialise(gone, "rejected"), name)
+    return gone.join(docs.withColumn(name, text_key(F.col("text"))), "left_anti").drop(name)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
