@@ -45,7 +45,7 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    done = line_dedup.dedup_lines(_table(spark, folder, "documents"), max_bits=None)
+    done = line_dedup.dedup_lines(_table(spark, folder, "documents"), blocks=True)
     return done.select(
         "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text"
     )
