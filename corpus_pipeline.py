@@ -44,7 +44,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Removes later near-duplicate lines; ``n_chars`` follows the text."""
-    done = line_dedup.dedup_lines(docs, max_bits=None)
+    done = line_dedup.dedup_lines(docs, blocks=True)
     changed = F.when(F.col("_n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", changed.cast("long")).select(docs.columns)
 
