@@ -81,7 +81,11 @@ def spread_join(
     hot: list | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Shuffle join in which frequent and missing keys use ``salts`` partitions."""
+    """Shuffle join in which frequent and missing keys use ``salts`` partitions.
+
+    The join is always a sort-merge join: the planner does not count the copies of the side, so
+    it might send them all to every task by way of the driver.
+    """
     if hot is None:
         hot = frequent_keys(fact, key)
     column = F.col(key)
@@ -94,7 +98,7 @@ def spread_join(
         F.array(F.lit(0))
     )
     copied = side.withColumn("_salt", F.explode(copies))
-    return salted.join(copied, [key, "_salt"], how).drop("_salt")
+    return salted.join(copied.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 @dataclass(frozen=True)

@@ -16,13 +16,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortline.core.skew import spread_join
+from cohortline.core.skew import measured
 from cohortline.core.workspace import materialise
 
 #: Profiles of a given table that are compared with at once.
 ANCHORS = 1000
 BLOCK_ROWS = 10_000
 SLICE_ROWS = 128
+#: Profiles of one prefix, about, that meet as many others in one task.
+PART_ROWS = 2048
+#: Most partitions that pairs of blocks are dealt to.
+CELLS = 4096
 
 
 def _weighted_jaccard() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
@@ -128,9 +132,10 @@ def similar_profiles(vectors: DataFrame, most: float) -> DataFrame:
     must be above 0 and below 1; entries must not be negative. Exact, by prefix filter (Chaudhuri
     et al. 2006): with the rarest activities first, two profiles that near share an activity among
     the first ones that hold more than a share ``most`` of a profile's sum. Only profiles that
-    share one of these, and whose sums are near enough, are compared. Frequent combinations of an
-    activity and a size are spread over many tasks. Rows without any care are one class, far from
-    all others.
+    share one of these, and whose sums are near enough, are compared. A combination of an activity
+    and a size that many profiles have is dealt in parts of ``PART_ROWS``, and every two parts
+    meet once, so neither a task nor the driver holds all its profiles. Rows without any care are one
+    class, far from all others.
     """
     if not 0 < most < 1:
         raise ValueError("the distance must lie between 0 and 1")
@@ -166,15 +171,28 @@ def similar_profiles(vectors: DataFrame, most: float) -> DataFrame:
     )
     held = materialise(held, "profile-prefixes")
 
-    def posted(sizes: Column, names: dict[str, str]) -> DataFrame:
+    keys = ["place", "at"]
+    posts = held.select(F.explode("places").alias("place"), F.col("size").alias("at")).groupBy(*keys).count()
+    # Few: each has more than a part of the profiles, and all others have one part.
+    many = posts.filter(F.col("count") > PART_ROWS)
+    many = many.select(*keys, F.ceil(F.col("count") / PART_ROWS).cast("int").alias("parts"))
+    many = measured(materialise(many, "frequent-prefixes"), keys)
+
+    def posted(sizes: Column, names: dict[str, str], other: str, mine: str) -> DataFrame:
         spread = held.withColumn("place", F.explode("places")).withColumn("at", F.explode(sizes))
-        key = F.concat_ws("/", "place", "at").alias("key")
-        return spread.select(key, "place", *[F.col(c).alias(n) for c, n in names.items()])
+        spread = many.join(spread, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        spread = spread.withColumn(mine, F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        spread = spread.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return spread.select(*cell, *[F.col(c).alias(n) for c, n in names.items()])
 
+    cell = [*keys, "part_1", "part_2"]
     columns = ("id", "rows", "x", "total", "places")
-    index = posted(F.array("size"), {c: f"{c}_2" for c in columns}).drop("place")
-    asked = posted(F.array("size", F.col("size") + 1), {c: f"{c}_1" for c in columns})
-    both = spread_join(asked, index, "key")
+    index = posted(F.array("size"), {c: f"{c}_2" for c in columns}, "part_1", "part_2")
+    asked = posted(F.array("size", F.col("size") + 1), {c: f"{c}_1" for c in columns}, "part_2", "part_1")
+    # Pairs, not bytes, are the work of a task, so the number of tasks is given.
+    cells = _partitions(classes, -(-classes.count() // PART_ROWS))
+    # The size of exploded rows is not known to the planner: it would send them to all tasks.
+    both = asked.repartition(cells, *cell).join(index.repartition(cells, *cell).hint("merge"), cell)
     ordered_pair = F.struct("total_1", "id_1") < F.struct("total_2", "id_2")
     near = F.col("total_1") >= F.col("total_2") * (least * (1 - 1e-9))
     # A pair meets at every place that both have: only the first one counts.
@@ -194,6 +212,12 @@ def similar_profiles(vectors: DataFrame, most: float) -> DataFrame:
     )
 
 
+def _partitions(df: DataFrame, blocks: int) -> int:
+    """Partitions for the pairs of some blocks: about two a pair, and enough for every core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return min(CELLS, max(2 * cores, blocks * (blocks + 1)))
+
+
 def in_blocks(
     df: DataFrame,
     key: str,
@@ -208,7 +232,8 @@ def in_blocks(
     unique ``key``, so a task holds two blocks whatever the data look like; small
     tables get enough blocks to use every core. With n rows this is n²/2
     comparisons (n² with ``both_sides``), and every row is shuffled once per
-    block; meant for statistics over all pairs, not for the clustering path.
+    block; meant for statistics over all pairs, not for the clustering path. Pairs of
+    blocks are dealt to a given number of tasks: their work is not in proportion to bytes.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     blocks = max(math.ceil(df.count() / block_rows), math.ceil(math.sqrt(cores)))
@@ -224,9 +249,9 @@ def in_blocks(
     right = copied.withColumn("_other", F.explode(F.sequence(F.lit(0), last_of_right))).select(
         "*", F.col("_other").alias("_i"), F.col("_own").alias("_j")
     )
-    return (
-        left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(compare, schema)
-    )
+    cells = _partitions(df, blocks)
+    left, right = (side.repartition(cells, "_i", "_j").groupBy("_i", "_j") for side in (left, right))
+    return left.cogroup(right).applyInPandas(compare, schema)
 
 
 def distance_histogram(

@@ -114,6 +114,16 @@ def test_similar_profiles_equal_brute_force(spark, most, whole):
     assert all(r["dist"] == pytest.approx(dist[r["a"], r["b"]]) for r in found)
 
 
+def test_similar_profiles_meet_in_parts(spark, monkeypatch):
+    """Frequent prefixes are dealt in parts, and no exploded profiles are sent to all tasks."""
+    table = make(spark, crowd(200, seed=4))
+    want = sorted(ds.similar_profiles(table, 0.4).collect())
+    monkeypatch.setattr(ds, "PART_ROWS", 9)
+    found = ds.similar_profiles(table, 0.4)
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(found.collect()) == want and want
+
+
 def test_similar_profiles_of_odd_tables(spark):
     table = make(spark, np.zeros((3, 2)))
     assert ds.similar_profiles(table, 0.5).count() == 0

@@ -22,6 +22,15 @@ def test_spread_join_equals_plain_join(hot, rows, how):
     assert rows(got.groupBy(*got.columns).count()) == rows(want.groupBy(*want.columns).count())
 
 
+def test_spread_join_never_sends_the_copies_to_all_tasks(spark, tmp_path):
+    """A stored side looks small to the planner, whatever its copies take."""
+    spark.range(100).withColumnRenamed("id", "k").write.parquet(str(tmp_path / "side"))
+    side = spark.read.parquet(str(tmp_path / "side"))
+    joined = skew.spread_join(spark.range(100).withColumnRenamed("id", "k"), side, "k", hot=list(range(100)))
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 100
+
+
 def test_copies_of_a_hot_key_are_spread(hot):
     fact, _ = hot
     salt = F.pmod(F.spark_partition_id(), F.lit(8))
