@@ -236,7 +236,8 @@ def in_blocks(
     blocks are dealt to a given number of tasks: their work is not in proportion to bytes.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    blocks = max(math.ceil(df.count() / block_rows), math.ceil(math.sqrt(cores)))
+    # Several pairs a core, so that tasks with one more or less end at about the same time.
+    blocks = max(math.ceil(df.count() / block_rows), math.ceil(math.sqrt((2 if both_sides else 4) * cores)))
     own = df.withColumn("_own", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
     last = F.lit(blocks - 1)
     first_of_left = F.lit(0) if both_sides else F.col("_own")

@@ -3,7 +3,7 @@
 Two measures, never mixed: ``squared`` uses squared Euclidean distance, whose
 cluster means follow from per-cluster sums, so the work is linear in the rows
 for any number of clusters. ``euclidean`` uses plain distances and compares all
-rows block by block; it is exact and quadratic.
+rows block by block, each pair of blocks once; it is exact and quadratic.
 
 The sums of the clusters are a stored table. Rows meet it block by block: a block
 of labels is sent to all tasks, and each row keeps its own cluster's mean and the
@@ -12,6 +12,7 @@ nearest other one seen so far.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -21,10 +22,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortline.core.skew import lookup_join
 from cohortline.core.workspace import materialise
-from cohortline.operators.distance import BLOCK_ROWS, SLICE_ROWS, in_blocks
+from cohortline.operators.distance import SLICE_ROWS, in_blocks
 
 #: Labels whose sums a task holds at once.
 BLOCK_LABELS = 4096
+#: Of a block of rows that meets others: most rows, numbers in its vectors, and sums by row and label.
+PAIRED_ROWS, PAIRED_NUMBERS, PAIRED_SUMS = 40_000, 2_560_000, 1_000_000
+#: Rows of a block that a slice of the other one is compared with at once.
+TILE_ROWS = 1024
+#: Least share of two squared lengths that a squared distance must have to follow from products.
+APART = 1e-4
 
 
 def vector_sums(vector: str, width: int) -> list[Column]:
@@ -188,47 +195,106 @@ def nested_silhouettes(
     return parts.groupBy("k").agg((F.sum("total") / F.sum("rows")).alias("mean_silhouette"))
 
 
+def _euclidean() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Euclidean distances between the rows of two matrices, for use inside tasks.
+
+    Squares follow from products of the vectors. Where that loses digits, as for rows that are
+    nearly equal, the differences are squared instead.
+    """
+    share = APART
+
+    def distances(a, b):
+        import numpy as np
+
+        with np.errstate(all="ignore"):
+            firm = b[np.isfinite(b).all(axis=1)]
+            centre = firm.sum(axis=0) / max(len(firm), 1)
+            p, q = a - centre, b - centre
+            p2, q2 = (p * p).sum(axis=1), (q * q).sum(axis=1)
+            squared = np.c_[-2 * p, p2, np.ones(len(p))] @ np.c_[q, np.ones(len(q)), q2].T
+            # Not so either where a number is missing or infinite.
+            if not squared.min() >= share * (p2.max() + q2.max()):
+                scale = np.add.outer(p2, q2)
+                left, right = np.nonzero(~((squared >= share * scale) & np.isfinite(squared)))
+                step = max(1, (1 << 20) // max(a.shape[1], 1))
+                for start in range(0, len(left), step):
+                    i, j = left[start : start + step], right[start : start + step]
+                    squared[i, j] = ((a[i] - b[j]) ** 2).sum(axis=1)
+            return np.sqrt(squared, out=squared)
+
+    return distances
+
+
 def euclidean_silhouette(
-    df: DataFrame, key: str, label: str, vector: str = "x", block_rows: int = BLOCK_ROWS
+    df: DataFrame, key: str, label: str, vector: str = "x", block_rows: int | None = None
 ) -> DataFrame:
     """(key, label, neighbour, width) by Euclidean distance between all rows.
 
-    ``key`` must be unique. The distances of a block pair are summed per label
-    inside the task; sums, not pairs, are shuffled.
+    ``key`` must be unique. Every two blocks of rows meet once. The distances of a block pair are
+    summed per label inside the task, for the rows of both; sums, not pairs, are shuffled. The
+    size of a block follows from the width of the vectors and the number of labels unless given,
+    so a task holds no more for wide vectors or many labels.
     """
     stored = materialise(df.select(key, label, vector), "silhouette")
+    sizes = materialise(stored.groupBy(F.col(label).alias("other")).agg(F.count(F.lit(1)).alias("rows")), "label-rows")
+    if block_rows is None:
+        width = stored.agg(F.max(F.size(vector))).first()[0] or 1
+        fitting = min(PAIRED_NUMBERS // max(width, 1), PAIRED_SUMS // max(sizes.count(), 1))
+        block_rows = max(math.isqrt(PAIRED_SUMS), min(PAIRED_ROWS, fitting))
     types = {f.name: f.dataType.simpleString() for f in stored.schema.fields}
     schema = f"{key} {types[key]}, {label} {types[label]}, other {types[label]}, total double"
-    slice_rows = SLICE_ROWS
+    measure, slice_rows, tile_rows = _euclidean(), SLICE_ROWS, TILE_ROWS
 
-    def sums(_, left, right):
+    def by_label(rows):
+        """Rows in the order of their labels, their vectors, codes, and the names behind these."""
+        import numpy as np
+        import pandas as pd
+
+        codes, names = pd.factorize(rows[label], sort=True)
+        codes = np.arange(len(names))[codes]
+        order = np.argsort(codes, kind="stable")
+        rows = rows.iloc[order]
+        return rows, np.stack(rows[vector].to_numpy()).astype(float), codes[order], names
+
+    def listed(rows, total, names):
         import numpy as np
         import pandas as pd
 
-        if not (len(left) and len(right)):
-            return pd.DataFrame({key: [], label: [], "other": [], "total": []})
-        a = np.stack(left[vector].to_numpy()).astype(float)
-        b = np.stack(right[vector].to_numpy()).astype(float)
-        codes, names = pd.factorize(right[label], sort=True)
-        member = np.eye(len(names))[codes]
-        total = np.empty((len(a), len(names)))
-        for start in range(0, len(a), slice_rows):
-            part = a[start : start + slice_rows]
-            squared = np.zeros((len(part), len(b)))
-            for j in range(a.shape[1]):
-                squared += np.subtract.outer(part[:, j], b[:, j]) ** 2
-            total[start : start + slice_rows] = np.sqrt(squared) @ member
         return pd.DataFrame(
             {
-                key: np.repeat(left[key].to_numpy(), len(names)),
-                label: np.repeat(left[label].to_numpy(), len(names)),
-                "other": np.tile(names, len(left)),
+                key: np.repeat(rows[key].to_numpy(), len(names)),
+                label: np.repeat(rows[label].to_numpy(), len(names)),
+                "other": np.tile(names, len(rows)),
                 "total": total.ravel(),
             }
         )
 
-    totals = in_blocks(stored, key, sums, schema, block_rows, both_sides=True)
-    sizes = stored.groupBy(F.col(label).alias("other")).agg(F.count(F.lit(1)).alias("rows"))
+    def sums(pair, left, right):
+        import numpy as np
+        import pandas as pd
+
+        if not (len(left) and len(right)):
+            return pd.DataFrame({key: [], label: [], "other": [], "total": []})
+        left, a, a_codes, a_names = by_label(left)
+        right, b, b_codes, b_names = by_label(right)
+        # A block against itself gives all its sums from one side.
+        both = pair[0] != pair[1]
+        to_b, to_a = np.zeros((len(a), len(b_names))), np.zeros((len(b), len(a_names)))
+        starts = lambda codes: np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        for j in range(0, len(b), tile_rows):
+            tile = slice(j, j + tile_rows)
+            b_cuts = starts(b_codes[tile])
+            for i in range(0, len(a), slice_rows):
+                part = slice(i, i + slice_rows)
+                found = measure(a[part], b[tile])
+                to_b[part, b_codes[tile][b_cuts]] += np.add.reduceat(found, b_cuts, axis=1)
+                if both:
+                    a_cuts = starts(a_codes[part])
+                    to_a[tile, a_codes[part][a_cuts]] += np.add.reduceat(found, a_cuts, axis=0).T
+        found = listed(left, to_b, b_names)
+        return pd.concat([found, listed(right, to_a, a_names)]) if both else found
+
+    totals = in_blocks(stored, key, sums, schema, block_rows)
     per_label = totals.groupBy(key, label, "other").agg(F.sum("total").alias("total"))
     own = F.col("other") == F.col(label)
     means = per_label.join(sizes, "other").groupBy(key, label).agg(

@@ -366,6 +366,34 @@ def test_squared_silhouette_equals_brute_force(labelled):
     assert np.allclose(widths(si.squared_silhouette(df, "id", "label")), brute_silhouette(points, labels, 2))
 
 
+def test_distances_by_products_equal_differences():
+    """Copies, near copies far from the origin, huge, missing and infinite numbers."""
+    random = np.random.default_rng(8)
+    a = random.normal(size=(40, 5)) + 1e6
+    a[5], a[6], a[7, 2], a[8, 3], a[9] = a[4], a[4] + 1e-7, np.nan, np.inf, 1e200
+    b = np.concatenate([a[::-1], random.normal(size=(9, 5))])
+    with np.errstate(all="ignore"):
+        want = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    for rows in (slice(0, 49), slice(38, 49), slice(33, 36)):
+        found = si._euclidean()(a, b[rows])
+        assert np.allclose(found, want[:, rows], rtol=1e-9, atol=0, equal_nan=True)
+
+
+def test_euclidean_silhouette_meets_every_two_blocks_once(spark, monkeypatch):
+    """Wide vectors and many labels make blocks small, and no two blocks meet twice."""
+    random = np.random.default_rng(2)
+    points, labels = random.normal(size=(90, 3)), random.integers(0, 4, 90)
+    data = [(i, [float(v) for v in p], int(c)) for i, (p, c) in enumerate(zip(points, labels))]
+    df = spark.createDataFrame(data, "id long, x array<double>, label int")
+    given, blocks = [], si.in_blocks
+    monkeypatch.setattr(si, "in_blocks", lambda *a, **k: given.append((a, k)) or blocks(*a, **k))
+    monkeypatch.setattr(si, "PAIRED_SUMS", 100)
+    monkeypatch.setattr(si, "PAIRED_NUMBERS", 75)
+    found = si.euclidean_silhouette(df, "id", "label")
+    assert np.allclose(widths(found), brute_silhouette(points, labels, 1))
+    assert given[0][0][4] == 25 and not given[0][1].get("both_sides")
+
+
 @pytest.mark.parametrize("block_rows", [1000, 7])
 def test_euclidean_silhouette_equals_brute_force(labelled, block_rows):
     points, labels, df = labelled
