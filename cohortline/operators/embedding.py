@@ -28,6 +28,8 @@ MERGED = 8
 #: Smallest share of a matrix's largest eigenvalue that counts as more than rounding; and as
 #: more than what the landmarks leave out, unless that is less itself.
 RANK, FIT_RANK = 1e-10, 1e-3
+#: Rows that meet all landmarks at once, and rows of a sum that are sent and merged as one.
+SLICE_ROWS, STRIP_ROWS = 1000, 128
 
 
 @dataclass(frozen=True)
@@ -64,18 +66,19 @@ def _unspanned(vectors: DataFrame, rows: np.ndarray) -> DataFrame:
     similarity = _similarity()
     values, turn = _spectrum(similarity(rows, rows)) if len(rows) else (np.zeros(0), np.zeros((0, 0)))
     inverse = (turn / values) @ turn.T
-    kind = vectors.schema["client_id"].dataType.simpleString()
+    kind, slice_rows = vectors.schema["client_id"].dataType.simpleString(), SLICE_ROWS
 
     def left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
         for batch in batches:
-            if len(batch):
-                x = np.stack(batch["x"].to_numpy())
+            for start in range(0, len(batch), slice_rows):
+                part = batch.iloc[start : start + slice_rows]
+                x = np.stack(part["x"].to_numpy())
                 near = similarity(x, rows) if len(rows) else np.zeros((len(x), 0))
                 rest = 1.0 - ((near @ inverse) * near).sum(axis=1)
                 # Rounded, so that batches of other sizes choose the same rows.
-                yield batch.assign(left=np.maximum(rest, 0.0).round(9))
+                yield part.assign(left=np.maximum(rest, 0.0).round(9))
 
     return vectors.select("client_id", "x").mapInPandas(
         left, f"client_id {kind}, x array<double>, left double"
@@ -118,8 +121,9 @@ def _kernel() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
 
 def kernel_sums(vectors: DataFrame, rows: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """Over all rows: their number, the sum of their kernel values with ``rows``, and the sum of
-    the products of these. Partial sums are merged ``MERGED`` at a time until one is left."""
-    kernel = _kernel()
+    the products of these. Every task sends its sums in strips of ``STRIP_ROWS`` rows, and those of
+    one strip are merged ``MERGED`` at a time until one is left, so a merge holds a few strips only."""
+    kernel, slice_rows, strip_rows = _kernel(), SLICE_ROWS, STRIP_ROWS
     m = len(rows)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,32 +132,39 @@ def kernel_sums(vectors: DataFrame, rows: np.ndarray) -> tuple[int, np.ndarray,
 
         n, first, second = 0, np.zeros(m), np.zeros((m, m))
         for batch in batches:
-            for start in range(0, len(batch), 2000):
-                near = kernel(np.stack(batch["x"].iloc[start : start + 2000].to_numpy()), rows)
-                n, first, second = n + len(near), first + near.sum(axis=0), second + near.T @ near
-        if n:
-            yield pd.DataFrame({"n": [n], "first": [first.tobytes()], "second": [second.tobytes()]})
+            for start in range(0, len(batch), slice_rows):
+                near = kernel(np.stack(batch["x"].iloc[start : start + slice_rows].to_numpy()), rows)
+                n, first = n + len(near), first + near.sum(axis=0)
+                for strip in range(0, m, strip_rows):
+                    second[strip : strip + strip_rows] += near[:, strip : strip + strip_rows].T @ near
+        for strip in range(0, m if n else 0, strip_rows):
+            held = {"first": [first[strip : strip + strip_rows].tobytes()]}
+            held["second"] = [second[strip : strip + strip_rows].tobytes()]
+            yield pd.DataFrame({"strip": [strip], "n": [n], **held})
 
     def merged(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
         import pandas as pd
 
-        first, second = np.zeros(m), np.zeros(m * m)
-        for one, two in zip(parts["first"], parts["second"]):
-            first, second = first + np.frombuffer(one), second + np.frombuffer(two)
-        held = {"part": [int(key[0])], "n": [int(parts["n"].sum())]}
+        # In one order, whatever order the parts come in.
+        parts = parts.sort_values("part")
+        first, second = (sum(map(np.frombuffer, parts[c])) for c in ("first", "second"))
+        held = {"part": [int(key[1])], "strip": [int(key[0])], "n": [int(parts["n"].sum())]}
         return pd.DataFrame({**held, "first": [first.tobytes()], "second": [second.tobytes()]})
 
-    schema = "n long, first binary, second binary"
+    schema = "strip int, n long, first binary, second binary"
     sums = vectors.select("x").mapInPandas(partial, schema)
     sums = materialise(sums.withColumn("part", F.spark_partition_id().cast("long")), "kernel-sums")
-    while sums.count() > 1:
-        groups = sums.withColumn("part", F.floor(F.col("part") / MERGED)).groupBy("part")
+    while sums.count() > -(-m // strip_rows):
+        groups = sums.withColumn("to", F.floor(F.col("part") / MERGED)).groupBy("strip", "to")
         sums = materialise(groups.applyInPandas(merged, f"part long, {schema}"), "kernel-sums")
-    held = sums.first()
-    if held is None:
-        return 0, np.zeros(m), np.zeros((m, m))
-    return held["n"], np.frombuffer(held["first"]), np.frombuffer(held["second"]).reshape(m, m)
+    n, first, second = 0, np.zeros(m), np.zeros((m, m))
+    # As many rows as the matrix has strips.
+    for held in sums.toLocalIterator():
+        place = slice(held["strip"], held["strip"] + strip_rows)
+        n, first[place] = held["n"], np.frombuffer(held["first"])
+        second[place] = np.frombuffer(held["second"]).reshape(-1, m)
+    return n, first, second
 
 
 def fit_landmarks(vectors: DataFrame, rows: np.ndarray, k: int, unexplained: float = 0.0) -> Landmarks:
@@ -186,16 +197,17 @@ def place(vectors: DataFrame, landmarks: Landmarks) -> DataFrame:
     """(client_id, x): coordinates of every row, computed batch by batch."""
     kernel = _kernel()
     rows, mean, project = landmarks.rows, landmarks.mean, landmarks.project
-    kind = vectors.schema["client_id"].dataType.simpleString()
+    kind, slice_rows = vectors.schema["client_id"].dataType.simpleString(), SLICE_ROWS
 
     def coordinates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
         import pandas as pd
 
         for batch in batches:
-            if len(batch):
-                placed = (kernel(np.stack(batch["x"].to_numpy()), rows) - mean) @ project
-                yield pd.DataFrame({"client_id": batch["client_id"], "x": list(placed)})
+            for start in range(0, len(batch), slice_rows):
+                part = batch.iloc[start : start + slice_rows]
+                placed = (kernel(np.stack(part["x"].to_numpy()), rows) - mean) @ project
+                yield pd.DataFrame({"client_id": part["client_id"], "x": list(placed)})
 
     return vectors.mapInPandas(coordinates, f"client_id {kind}, x array<double>")
 

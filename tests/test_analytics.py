@@ -205,6 +205,21 @@ def test_axes_do_not_depend_on_partitions(spark):
     assert np.allclose(found[0], found[1], atol=1e-8) and np.allclose(found[0], found[2], atol=1e-8)
 
 
+@pytest.mark.parametrize("strip, parts", [(128, 1), (7, 40)])
+def test_kernel_sums_merge_by_strips(spark, monkeypatch, strip, parts):
+    """No row of sums holds more than one strip, and slices of any size give the same sums."""
+    points, stored = crowd(300), []
+    monkeypatch.setattr(em, "STRIP_ROWS", strip)
+    monkeypatch.setattr(em, "SLICE_ROWS", 13)
+    keep = em.materialise
+    monkeypatch.setattr(em, "materialise", lambda df, name: stored.append(keep(df, name)) or stored[-1])
+    near = em._kernel()(points, points[:30])
+    n, first, second = em.kernel_sums(make(spark, points).repartition(parts), points[:30])
+    assert n == 300 and np.allclose(first, near.sum(axis=0)) and np.allclose(second, near.T @ near)
+    for sums in stored:
+        assert sums.agg(F.max(F.octet_length("second"))).first()[0] <= strip * 30 * 8
+
+
 def test_equal_rows_and_no_rows_have_no_axis(spark):
     equal = make(spark, np.ones((5, 3)))
     placed, fitted = em.landmark_mds(equal, k=2)
