@@ -102,11 +102,13 @@ def assign(coordinates: DataFrame, fitted: Micro, cuts: dict[str, int]) -> DataF
 
         norms = (points**2).sum(axis=1)
         for batch in batches:
-            if len(batch):
-                x = np.stack(batch["x"].to_numpy())
+            # Small slices: a slice is compared with all points at once.
+            for start in range(0, len(batch), 1000):
+                part = batch.iloc[start : start + 1000]
+                x = np.stack(part["x"].to_numpy())
                 micro = (norms - 2 * x @ points.T).argmin(axis=1)
                 dist = np.sqrt(((x - points[micro]) ** 2).sum(axis=1))
-                held = {"client_id": batch["client_id"], "x": batch["x"], "micro": micro}
+                held = {"client_id": part["client_id"], "x": part["x"], "micro": micro}
                 yield pd.DataFrame({**held, "dist": dist})
 
     schema = f"client_id {kind}, x array<double>, micro int, dist double"
