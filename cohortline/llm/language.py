@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortline.core.workspace import materialise
-from cohortline.llm.common import id_and_text, quoted, remainder, text_key
+from cohortline.llm.common import id_and_text, quoted, remainder, slices, text_key
 from cohortline.llm.sampling import FOLDS, below
 
 #: Hashed features (a power of two), longest n-gram, sampled documents over all languages.
@@ -126,7 +126,7 @@ def _frequencies(learn: DataFrame) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rows = np.zeros((1 << BITS) + 1, np.int64), 0
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 found, _ = gram_counts(text)
                 seen[found] += 1
@@ -208,7 +208,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             languages, scores = [], []
             for text in batch.column("text").to_pylist():
                 language, score = UNKNOWN, 0.0

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cohortline.core.workspace import materialise
-from cohortline.llm.common import Cache, id_and_text, remainder, text_key
+from cohortline.llm.common import Cache, id_and_text, remainder, slices, text_key
 from cohortline.llm.sampling import fit_sigmoid, labelled_sample, one_per_family, sigmoid
 
 #: Labelled rows per class, terms, least test statistic (strict, as very many terms are
@@ -34,6 +34,8 @@ LEADS = (4, 5, 6, 7, 8)
 #: A leading part that occurs at least so often in a text is a term of its own.
 LEVELS = (2, 3)
 THRESHOLD, EVIDENCE = 0.7, 5
+#: Words whose terms a task remembers.
+CACHED = 100_000
 _word = re.compile(r"\w+")
 
 
@@ -198,8 +200,8 @@ def term_counts(docs: DataFrame, terms: list[str], keep: list[str]) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, levels = sent.value
-        known = Cache(lambda c: tuple(vocabulary[t] for t in terms_of(c) if t in vocabulary))
-        for batch in batches:
+        known = Cache(lambda c: tuple(vocabulary[t] for t in terms_of(c) if t in vocabulary), CACHED)
+        for batch in slices(batches):
             found, counts = [], []
             for text in batch.column("text").to_pylist():
                 held = Counter(t for chunk in filter(None, map(known.__getitem__, text.split())) for t in chunk)
