@@ -22,6 +22,9 @@ from cohortline.llm.components import connected_components
 COSINE, TABLES, HASHES, PROBES, SEED = 0.93, 5, 2, 2, 7
 #: Vectors of a bucket compared in one task; larger buckets become several tiles.
 TILE = 2000
+#: Numbers in the vectors of one group of tiles, about; tiles of up to so many rows are compared
+#: together; numbers or links held at once.
+GROUP_NUMBERS, WHOLE, WORKED = 2_000_000, 64, 1_000_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -115,39 +118,78 @@ def _post(tables: int, hashes: int, probes: int):
     return run
 
 
+def _close_pairs(unit: np.ndarray, run: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one run at the least cosine; ``run`` numbers consecutive equal rows."""
+    starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    sizes = np.diff(np.r_[starts, len(run)])
+    for start, size in zip(starts[sizes > WHOLE], sizes[sizes > WHOLE]):
+        part = unit[start : start + size]
+        for first in range(0, size, 256):
+            near = part[first : first + 256] @ part.T >= cosine
+            near &= np.arange(first, first + len(near))[:, None] < np.arange(size)[None, :]
+            a, b = np.nonzero(near)
+            yield start + first + a, start + b
+    # Small runs are taken all together: each row with the next one of its run, the one after, ...
+    low = np.flatnonzero(np.repeat(sizes <= WHOLE, sizes))
+    block = max(1, WORKED // max(1, unit.shape[1]))
+    for step in range(1, min(WHOLE, len(run))):
+        low = low[: np.searchsorted(low, len(run) - step)]
+        low = low[run[low] == run[low + step]]
+        for first in range(0, len(low), block):
+            a = low[first : first + block]
+            a = a[np.einsum("ij,ij->i", unit[a], unit[a + step]) >= cosine]
+            yield a, a + step
+
+
 def _compare(cosine: float, table: pa.Table) -> pa.Table:
-    """Links of a tile: how many copies each vector links to here, and its local root.
+    """Links of some tiles: how many copies each vector links to here, and its local root.
 
     A pair that meets in several buckets counts in the first of them only, which its two
     lists of buckets tell. In a tile of two different parts, only pairs across count.
     """
     table = table.combine_chunks()
-    rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
-    bucket = table.column("bucket")[0].as_py()
-    side, cross = table.column("side").to_numpy(), table.column("cross")[0].as_py()
-    vectors = table.column("vector").combine_chunks()
-    unit = unit_rows(vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(rep), -1))
+    label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+    place = [table.column(c).to_numpy() for c in ("high", "low", "bucket")]
+    rep, copies, side = (table.column(c).to_numpy() for c in ("rep", "copies", "side"))
+    bucket, cross = place[-1], place[0] != place[1]
     codes = table.column("codes").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
-    n, links, root = len(rep), np.zeros(len(rep), np.int64), np.arange(len(rep))
-    for first in range(0, n, 256):
-        near = unit[first : first + 256] @ unit.T >= cosine
-        near &= np.arange(first, first + len(near))[:, None] < np.arange(n)[None, :]
-        if cross:
-            near &= side[first : first + 256, None] != side[None, :]
-        a, b = np.nonzero(near)
-        a += first
-        common = np.full(len(a), np.iinfo(np.int64).max)
-        for column in range(codes.shape[1]):
-            meets = (codes[b] == codes[a, column][:, None]).any(axis=1)
-            common[meets] = np.minimum(common[meets], codes[a[meets], column])
-        a, b = a[common == bucket], b[common == bucket]
-        np.add.at(links, a, copies[b])
-        np.add.at(links, b, copies[a])
-        root = local_roots(n, np.r_[a, np.arange(n)], np.r_[b, root])
+    links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
+    for rows, matrix in _by_length(table.column("vector").combine_chunks()):
+        order = np.lexsort([c[rows] for c in (*place, label)])
+        rows, unit = rows[order], unit_rows(matrix[order])
+        cut = np.zeros(len(rows), bool)
+        for c in (*place, label):
+            cut[1:] |= c[rows[1:]] != c[rows[:-1]]
+        ends, held = [[], []], 0
+        for a, b in _close_pairs(unit, np.cumsum(cut), cosine):
+            a, b = rows[a], rows[b]
+            apart = ~cross[a] | (side[a] != side[b])
+            a, b = a[apart], b[apart]
+            common = np.full(len(a), np.iinfo(np.int64).max)
+            for column in range(codes.shape[1]):
+                meets = (codes[b] == codes[a, column][:, None]).any(axis=1)
+                common[meets] = np.minimum(common[meets], codes[a[meets], column])
+            first = common == bucket[a]
+            ends[0].append(a[first])
+            ends[1].append(b[first])
+            held += first.sum()
+            if held >= WORKED:
+                root = _joined(ends, links, root, copies)
+                ends, held = [[], []], 0
+        if held:
+            root = _joined(ends, links, root, copies)
     has = np.flatnonzero(links)
     return pa.table({"node": rep[has], "root": rep[root[has]], "links": links[has]})
 
 
+def _joined(ends: list, links: np.ndarray, root: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Roots after links between the rows of ``ends``, whose copies are added to ``links``."""
+    a, b = map(np.concatenate, ends)
+    links += np.bincount(a, copies[b], len(links)).astype(np.int64)
+    links += np.bincount(b, copies[a], len(links)).astype(np.int64)
+    return local_roots(len(root), np.r_[a, np.arange(len(root))], np.r_[b, root])
+
+
 def near_vectors(
     vectors: DataFrame,
     cosine: float = COSINE,
@@ -155,6 +197,7 @@ def near_vectors(
     hashes: int = HASHES,
     probes: int = PROBES,
     tile: int = TILE,
+    group_numbers: int = GROUP_NUMBERS,
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vec_id, embedding, label``.
 
@@ -167,6 +210,7 @@ def near_vectors(
 
     ``tables``, ``hashes`` and ``probes`` set the recall (tests hold it to brute force). All vectors are indexed. A
     bucket of more than ``tile`` vectors is compared in tiles by several tasks, none left out.
+    Tiles are dealt by hash to groups of about ``group_numbers`` numbers, each compared by one call.
     """
     value = F.col("embedding")
     kind = dict(vectors.select("embedding").dtypes)["embedding"]
@@ -197,9 +241,12 @@ def near_vectors(
     spread = spread.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("side", "other"), F.greatest("side", "other")
-    tiled = spread.withColumns({"low": low, "high": high, "cross": F.col("side") != F.col("other")})
-    groups = tiled.groupBy(*place, "low", "high")
-    found = groups.applyInArrow(lambda table: _compare(cosine, table), "node long, root long, links long")
+    tiled = spread.withColumns({"low": low, "high": high})
+    # Most buckets hold a few vectors: many tiles are compared by one call.
+    numbers = sizes.agg(F.sum(F.col("count") * F.ceil(F.col("count") / tile) * F.col("dims"))).first()[0] or 0
+    groups = F.pmod(F.xxhash64(*place, "low", "high"), F.lit(max(1, -(-numbers // group_numbers))))
+    dealt = tiled.withColumn("dealt", groups).drop("dims", "parts", "other", "cross").groupBy("dealt")
+    found = dealt.applyInArrow(lambda table: _compare(cosine, table), "node long, root long, links long")
     found = materialise(found, "vector-links")
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -361,6 +361,14 @@ def test_embedding_recall(spark):
     assert (got.loc[frame["vec_id"], "n_links"].values <= links).all()
 
 
+def test_dealing_of_tiles_never_changes_links(spark):
+    rng = np.random.default_rng(2)
+    given = [(i, (rng.normal(size=16) * 0.05 + np.eye(16)[i % 3]).tolist(), i % 2) for i in range(150)]
+    frame = spark.createDataFrame(given, "vec_id long, embedding array<double>, label int")
+    one, many = ({tuple(r) for r in embeddings.near_vectors(frame, tile=20, group_numbers=n).collect()} for n in (10**9, 100))
+    assert one == many and sum(r[1] for r in one)
+
+
 def test_fingerprints(spark, odd_docs):
     docs = table(spark, "documents").limit(90).select("doc_id", "text")
     docs = docs.union(odd_docs.filter("doc_id is null or doc_id != 5").select(F.col("doc_id") - 100, "text"))

@@ -334,3 +334,29 @@ def test_packing_takes_added_tokens_as_the_library_does(text):
     path = public_tokenizers.path("byte_bpe_50k.json")
     want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
     assert np.frombuffer(packing.tokens(path, added=True).encode(text), "<u4").tolist() == want
+
+
+def test_tiles_of_many_buckets_are_compared_by_one_call():
+    """Small and large buckets, parts, labels and lengths side by side, against every pair."""
+    rng, rows = np.random.default_rng(1), []
+    for label, bucket, size, dims, low, high in [("a", 7, 5, 8, 0, 0), ("b", 7, 90, 8, 0, 0), ("a", 9, 3, 4, 0, 0), ("a", 9, 130, 8, 0, 1), ("a", 11, 6, 8, 0, 0)]:
+        for _ in range(size):
+            vector = np.r_[1.0, np.zeros(dims - 1)] + rng.normal(size=dims) * 0.15
+            codes = [bucket, 9] if bucket != 9 else [9, 20]
+            rows.append((label, len(rows), 1 + len(rows) % 3, vector, codes, bucket, int(rng.integers(2)), low, high))
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    names = ["label", "rep", "copies", "vector", "codes", "bucket", "side", "low", "high"]
+    got = embeddings._compare(0.93, pa.table({n: [r[i] for r in rows] for i, n in enumerate(names)}))
+    links, root = dict.fromkeys((r[1] for r in rows), 0), {r[1]: r[1] for r in rows}
+    for i, a in enumerate(rows):
+        for b in rows[:i]:
+            same = a[0] == b[0] and a[5] == b[5] and a[7:] == b[7:] and len(a[3]) == len(b[3])
+            if same and (a[7] == a[8] or a[6] != b[6]) and min(set(a[4]) & set(b[4])) == a[5]:
+                if a[3] @ b[3] >= 0.93 * np.linalg.norm(a[3]) * np.linalg.norm(b[3]):
+                    links[a[1]] += b[2]
+                    links[b[1]] += a[2]
+                    one, other = root[a[1]], root[b[1]]
+                    root = {k: one if r == other else r for k, r in root.items()}
+    assert dict(zip(got["node"].to_pylist(), got["links"].to_pylist())) == {k: n for k, n in links.items() if n}
+    mine = dict(zip(got["node"].to_pylist(), got["root"].to_pylist()))
+    assert len({(mine[k], root[k]) for k in mine}) == len(set(mine.values())) == len({root[k] for k in mine})
