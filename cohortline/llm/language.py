@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortline.core.workspace import materialise
+from cohortline.core.workspace import frugal, materialise
 from cohortline.llm.common import id_and_text, quoted, remainder, slices, text_key
 from cohortline.llm.sampling import FOLDS, below
 
@@ -136,7 +136,8 @@ def _frequencies(learn: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used])], names=["f", "n"])
 
     counted = learn.select("text").mapInArrow(run, "f long, n long").groupBy("f")
-    table = counted.agg(F.sum("n").alias("n")).toArrow()
+    with frugal(learn.sparkSession):
+        table = counted.agg(F.sum("n").alias("n")).toArrow()
     seen = np.zeros((1 << BITS) + 1, np.int64)
     seen[table.column("f").to_numpy()] = table.column("n").to_numpy()
     return seen[:-1], int(seen[-1])

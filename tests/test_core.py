@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +93,35 @@ def test_materialise_stores_rows_and_metadata(spark, rows):
     assert "Scan parquet" in stored._jdf.queryExecution().toString() or stored.inputFiles()
 
 
+def test_materialise_leaves_no_shuffle_files(spark):
+    def shuffled():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {p for d in dirs for p in Path(d).rglob("shuffle_*")}
+
+    before, setting = shuffled(), spark.conf.get(workspace.CLEANUP, None)
+    stored = workspace.materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert shuffled() <= before and stored.count() == 7
+    assert spark.conf.get(workspace.CLEANUP, None) == setting
+    spark.conf.set(workspace.CLEANUP, "false")
+    with pytest.raises(Exception, match="no such thing"):
+        workspace.materialise(spark.range(1).select(F.raise_error(F.lit("no such thing"))), "failing")
+    assert spark.conf.get(workspace.CLEANUP) == "false"
+    spark.conf.unset(workspace.CLEANUP)
+
+
+def test_stored_texts_reach_python_in_small_batches(spark):
+    """Batches are bounded by bytes, so long texts don't fill a worker."""
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    found = [r["n"] for r in workspace.materialise(texts.mapInArrow(sizes, "n long"), "sizes").collect()]
+    assert sum(found) == 3000 and max(found) < 1000
+
+
 class Conf(dict):
     def get(self, key, default=None):
         return super().get(key, default)
