@@ -172,10 +172,11 @@ def fit(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE) -> M
     # Bounded by the sample: only n-gram counts, not texts, reach the driver.
     table = _grams(chosen).toArrow()
     place = {language: i for i, language in enumerate(languages)}
-    grams = zip(table.column("found").to_pylist(), table.column("counts").to_pylist())
+    # Counts are read where they lie: copies of them would stay in the driver's memory.
+    grams = zip(table.column("found"), table.column("counts"))
     order = table.column("o").to_numpy()
     data = [
-        (np.frombuffer(f, np.int32), np.frombuffer(c, np.int32), place[language])
+        (np.frombuffer(f.as_buffer(), np.int32), np.frombuffer(c.as_buffer(), np.int32), place[language])
         for (f, c), language in zip(grams, table.column("lang").to_pylist())
     ]
     data = [data[i] for i in np.argsort(order, kind="stable")]

@@ -158,7 +158,7 @@ def choose_terms(sample: DataFrame, limit: int = TERMS) -> list[str]:
         return []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, known = (Counter(), Counter()), Cache(terms_of)
+        counts, known = (Counter(), Counter()), Cache(terms_of, CACHED)
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
                 held = Counter(t for chunk in text.split() for t in known[chunk])
