@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortline.core.skew import measured
@@ -134,8 +135,8 @@ def similar_profiles(vectors: DataFrame, most: float) -> DataFrame:
     the first ones that hold more than a share ``most`` of a profile's sum. Only profiles that
     share one of these, and whose sums are near enough, are compared. A combination of an activity
     and a size that many profiles have is dealt in parts of ``PART_ROWS``, and every two parts
-    meet once, so neither a task nor the driver holds all its profiles. Rows without any care are one
-    class, far from all others.
+    meet once, so neither a task nor the driver holds all its profiles. Two parts are compared by
+    one call on their matrices. Rows without any care are one class, far from all others.
     """
     if not 0 < most < 1:
         raise ValueError("the distance must lie between 0 and 1")
@@ -178,29 +179,27 @@ def similar_profiles(vectors: DataFrame, most: float) -> DataFrame:
     many = many.select(*keys, F.ceil(F.col("count") / PART_ROWS).cast("int").alias("parts"))
     many = measured(materialise(many, "frequent-prefixes"), keys)
 
-    def posted(sizes: Column, names: dict[str, str], other: str, mine: str) -> DataFrame:
+    def posted(sizes: Column, name: str, other: str, mine: str) -> DataFrame:
         spread = held.withColumn("place", F.explode("places")).withColumn("at", F.explode(sizes))
         spread = many.join(spread, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         spread = spread.withColumn(mine, F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         spread = spread.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        return spread.select(*cell, *[F.col(c).alias(n) for c, n in names.items()])
+        # All profiles of a part in one row.
+        dealt = spread.select(*cell, F.struct(*columns).alias("held")).repartition(cells, *cell)
+        return dealt.groupBy(*cell).agg(F.collect_list("held").alias(name))
 
     cell = [*keys, "part_1", "part_2"]
     columns = ("id", "rows", "x", "total", "places")
-    index = posted(F.array("size"), {c: f"{c}_2" for c in columns}, "part_1", "part_2")
-    asked = posted(F.array("size", F.col("size") + 1), {c: f"{c}_1" for c in columns}, "part_2", "part_1")
     # Pairs, not bytes, are the work of a task, so the number of tasks is given.
     cells = _partitions(classes, -(-classes.count() // PART_ROWS))
+    index = posted(F.array("size"), "held_2", "part_1", "part_2")
+    asked = posted(F.array("size", F.col("size") + 1), "held_1", "part_2", "part_1")
     # The size of exploded rows is not known to the planner: it would send them to all tasks.
-    both = asked.repartition(cells, *cell).join(index.repartition(cells, *cell).hint("merge"), cell)
-    ordered_pair = F.struct("total_1", "id_1") < F.struct("total_2", "id_2")
-    near = F.col("total_1") >= F.col("total_2") * (least * (1 - 1e-9))
-    # A pair meets at every place that both have: only the first one counts.
-    once = F.array_min(F.array_intersect("places_1", "places_2")) == F.col("place")
-    low = F.aggregate(F.zip_with("x_1", "x_2", lambda p, q: F.least(p, q)), zero, lambda s, v: s + v)
-    found = both.filter(ordered_pair & near & once).withColumn("low", low)
-    dist = 1 - F.col("low") / (F.col("total_1") + F.col("total_2") - F.col("low"))
-    found = found.withColumn("dist", dist).filter(F.col("dist") <= most + 1e-12)
+    both = asked.join(index.hint("merge"), cell).select("place", "held_1", "held_2")
+    kinds = {c: held.schema[c].dataType.simpleString() for c in ("id", "rows", "total")}
+    schema = ", ".join(f"{c}_{side} {kind}" for side in (1, 2) for c, kind in kinds.items())
+    found = both.mapInArrow(_near_pairs(dims, most), schema + ", dist double")
+    found = found.filter(F.struct("total_1", "id_1") < F.struct("total_2", "id_2"))
     swapped = F.col("id_1") > F.col("id_2")
     either = lambda one, two: F.when(swapped, F.col(two)).otherwise(F.col(one))
     return found.select(
@@ -212,6 +211,61 @@ def similar_profiles(vectors: DataFrame, most: float) -> DataFrame:
     )
 
 
+def _near_pairs(dims: int, most: float) -> Callable:
+    """Pairs of each two lists of profiles that are near, the one of smaller (or equal) sum first.
+
+    A pair that shares more than one place of its prefixes is given at the first of them only.
+    """
+    least, slice_rows = (1.0 - most) * (1 - 1e-9), SLICE_ROWS
+
+    def laid_out(profiles: pa.StructArray) -> tuple:
+        total = profiles.field("total").to_numpy(zero_copy_only=False)
+        profiles = profiles.take(pa.array(np.argsort(total, kind="stable")))
+        count = len(profiles)
+        x = profiles.field("x").flatten().to_numpy(zero_copy_only=False).reshape(count, dims)
+        places = profiles.field("places")
+        held = np.zeros((count, dims), bool)
+        held[np.repeat(np.arange(count), places.value_lengths()), places.flatten()] = True
+        return profiles, np.ascontiguousarray(x.T), profiles.field("total").to_numpy(zero_copy_only=False), held
+
+    def near(place: int, one: tuple, two: tuple) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        (_, x_1, total_1, held_1), (_, x_2, total_2, held_2) = one, two
+        for start in range(0, len(total_1), slice_rows):
+            total = total_1[start : start + slice_rows, None]
+            # Sums are in order: only those within the distance of the slice are looked at.
+            begin = np.searchsorted(total_2, total[0, 0])
+            end = np.searchsorted(total_2 * least, total[-1, 0], "right")
+            others = total_2[begin:end]
+            low = np.zeros((len(total), len(others)))
+            for p, q in zip(x_1[:, start : start + slice_rows], x_2[:, begin:end]):
+                low += np.minimum.outer(p, q)
+            with np.errstate(invalid="ignore"):
+                dist = 1 - low / (total + others - low)
+            i, j = np.nonzero((dist <= most + 1e-12) & (total <= others) & (total >= others * least))
+            dist = dist[i, j]
+            i, j = i + start, j + begin
+            first = ~(held_1[i, :place] & held_2[j, :place]).any(axis=1)
+            yield i[first], j[first], dist[first]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch.column("held_1"), batch.column("held_2")]
+            for row, place in enumerate(batch.column("place").to_pylist()):
+                # Slices of the values of both lists of the row.
+                one, two = (laid_out(c.slice(row, 1).flatten()) for c in lists)
+                for i, j, dist in near(place, one, two):
+                    if len(i):
+                        columns = [
+                            side[0].field(name).take(pa.array(at))
+                            for side, at in ((one, i), (two, j))
+                            for name in ("id", "rows", "total")
+                        ]
+                        names = [f"{name}_{side}" for side in (1, 2) for name in ("id", "rows", "total")]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array(dist)], names=[*names, "dist"])
+
+    return run
+
+
 def _partitions(df: DataFrame, blocks: int) -> int:
     """Partitions for the pairs of some blocks: about two a pair, and enough for every core."""
     cores = df.sparkSession.sparkContext.defaultParallelism

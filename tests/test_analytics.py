@@ -1,5 +1,6 @@
 import linkage as li
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,28 @@ def test_similar_profiles_meet_in_parts(spark, monkeypatch):
     assert sorted(found.collect()) == want and want
 
 
+def test_similar_profiles_are_compared_by_parts(spark, monkeypatch):
+    """Parts meet as one row each, not pair by pair; ids of any type, one of them missing."""
+    monkeypatch.setattr(ds, "PART_ROWS", 30)
+    table = make(spark, crowd(200, seed=4))
+    want = sorted((str(r["a"]), str(r["b"]), r["dist"]) for r in ds.similar_profiles(table, 0.4).collect())
+    text = table.withColumn("client_id", F.concat(F.lit("c"), F.lpad(F.col("client_id").cast("string"), 4, "0")))
+    found = ds.similar_profiles(text, 0.4)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    found = [(str(int(r["a"][1:])), str(int(r["b"][1:])), r["dist"]) for r in found.collect()]
+    assert sorted(found) == want and want
+    missing = table.withColumn("client_id", F.when(F.col("client_id") != 7, F.col("client_id")))
+    found = ds.similar_profiles(missing, 0.4).collect()
+    assert len(found) == len(want)
+    assert sum(r["a"] is None or r["b"] is None for r in found) == sum("7" in pair[:2] for pair in want) > 0
+    near = ds._near_pairs(2, 0.5)
+    rows = [{"id": i, "rows": 1, "x": [float(i + 1), 1.0], "total": i + 2.0, "places": [0, 1]} for i in range(300)]
+    cells = pa.RecordBatch.from_pylist([{"place": place, "held_1": rows, "held_2": rows} for place in (1, 0)])
+    pairs = pa.Table.from_batches(near(iter([cells])))
+    want = sum(1 - (min(i, j) + 2) / (max(i, j) + 2) <= 0.5 + 1e-12 for i in range(300) for j in range(i, 300))
+    assert pairs.num_rows == want
+
+
 def test_similar_profiles_of_odd_tables(spark):
     table = make(spark, np.zeros((3, 2)))
     assert ds.similar_profiles(table, 0.5).count() == 0
